@@ -49,18 +49,16 @@ def number_rows(df: DataFrame, order: list, group: list[str] | None = None,
     rows = cut_lineage(sorted_rows)
     rows = rows.withColumn("_part", F.shiftright("_at", POSITION_BITS)) \
                .withColumn("_pos", F.col("_at").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)))
-    spans = rows.groupBy(*group, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_part") \
-                   .rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p")) \
+        .agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    marks = [f"_g{i}" for i in range(len(group))]
+    before = Window.partitionBy(*marks).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    on = [rows["_part"] == spans["_part"]]
-    on += [rows[g].eqNullSafe(spans[g]) for g in group]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = rows.join(spans, cond)
-    number = spans["_before"] + rows["_pos"] - spans["_first"] + 1
-    return joined.select(*[rows[c] for c in df.columns], number.cast("bigint").alias(name))
+    same = F.col("_part") == F.col("_p")
+    for g, m in zip(group, marks):
+        same = same & F.col(g).eqNullSafe(F.col(m))
+    number = F.col("_before") + F.col("_pos") - F.col("_first") + 1
+    return rows.join(spans, same).select(*df.columns, number.cast("bigint").alias(name))
 
 
 def forward_fill(df: DataFrame, group: list[str], position: str, columns: list[str],

@@ -1,6 +1,6 @@
 """All registered queries in one place."""
 
-from estatelens.plans import extraction_queries, mapping_queries  # noqa: F401
+from estatelens.plans import estate_queries, extraction_queries, mapping_queries  # noqa: F401
 from estatelens.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "migration_report"

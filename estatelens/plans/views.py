@@ -256,18 +256,19 @@ SELECT p_partkey AS component_id, {_t('[[name]]_[[k]]')} AS name,
 FROM part
 """
 
-# Spreadsheet-style rows: a sheet per order, five rows per line item.
+# Spreadsheet-style rows: a sheet per customer, five rows per order.
 SUMMARY_ROWS = f"""
-SELECT sheet, row_no, CASE k WHEN 0 THEN CASE WHEN l_linenumber % 3 = 1 THEN 'Graph Name' ELSE 'note' END
-                   WHEN 1 THEN CASE WHEN l_linenumber % 3 = 1 THEN 'Summary' ELSE 'note' END
-                   WHEN 2 THEN 'Input Files' WHEN 3 THEN 'item' ELSE CASE l_linenumber % 2 WHEN 0 THEN 'Output Files' ELSE 'item' END END AS key,
-  CASE k WHEN 0 THEN concat('graph_', {s('l_orderkey')}, '_', {s('l_linenumber')})
-         WHEN 1 THEN concat('loads part ', {s('l_partkey')})
-         WHEN 3 THEN concat({s('l_linenumber')}, '00_IFIL part', {s('l_partkey')}, ' - /in/', {s('l_suppkey')}, '.dat - rows of ', l_shipmode)
-         WHEN 4 THEN concat('x', {s('l_linenumber')}, ' sup', {s('l_suppkey')}, ' - /out/', {s('l_partkey')}, '.dat')
+SELECT sheet, row_no, CASE k WHEN 0 THEN CASE WHEN o_orderkey % 3 = 1 THEN 'Graph Name' ELSE 'note' END
+                   WHEN 1 THEN CASE WHEN o_orderkey % 3 = 1 THEN 'Summary' ELSE 'note' END
+                   WHEN 2 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'misc' ELSE 'Input Files' END
+                   WHEN 3 THEN 'item' ELSE CASE o_orderkey % 2 WHEN 0 THEN 'Output Files' ELSE 'item' END END AS key,
+  CASE k WHEN 0 THEN concat('graph_', {s('o_orderkey')})
+         WHEN 1 THEN concat('loads orders of ', {s('o_custkey')})
+         WHEN 3 THEN concat({s('o_orderkey')}, '_IFIL part', {s('o_custkey')}, ' - /in/', {s('o_custkey')}, '.dat - rows of ', o_orderpriority)
+         WHEN 4 THEN concat('x', {s('o_orderkey')}, ' sup', {s('o_custkey')}, ' - /out/', {s('o_orderkey')}, '.dat')
          ELSE '' END AS value
-FROM (SELECT l_orderkey AS sheet, l_linenumber * 5 + k AS row_no, k, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS l_shipmode
-      FROM lineitem CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) five) cells
+FROM (SELECT o_custkey AS sheet, o_orderkey * 5 + k AS row_no, k, o_orderkey, o_custkey, o_orderpriority
+      FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) five) cells
 """
 
 NOTEBOOKS = f"""
@@ -314,7 +315,7 @@ FROM conversations
 
 # Components with input and output fields written as `name:type` lists.
 COMPONENT_SCHEMAS = f"""
-SELECT concat('c', {s('l_orderkey')}, '_', {s('l_linenumber')}) AS component_id,
+SELECT concat('c', {s('l_orderkey')}, '_', {s('l_linenumber')}, '_', {s('l_partkey')}, '_', {s('l_suppkey')}) AS component_id,
   concat('p', {s('l_suppkey')}) AS process_id,
   concat(CASE l_linenumber % 2 WHEN 0 THEN 'load_' ELSE 'stage_load_' END, {s('l_partkey % 50')}) AS name,
   CASE l_suppkey % 2 WHEN 0 THEN 'hadoop' ELSE 'databricks' END AS system,
@@ -345,7 +346,7 @@ USES = {
     "scripts": ["part"], "components": ["lineitem"], "processes": ["supplier", "nation"],
     "edges": ["orders"], "flow": ["orders", "lineitem"], "gaps": ["events"], "files": ["part"],
     "workflows": ["part"], "job_files": ["part"], "blocks": ["part"], "graph_components": ["part"],
-    "summary_rows": ["lineitem"], "notebooks": ["part"], "analysis_json": ["part"],
+    "summary_rows": ["orders"], "notebooks": ["part"], "analysis_json": ["part"],
     "item_json": ["events"], "questions": ["conversations"], "component_schemas": ["lineitem"],
     "measured": ["orders"],
 }
