@@ -1,6 +1,8 @@
 """All registered queries in one place."""
 
-from estatelens.plans import estate_queries, extraction_queries, mapping_queries  # noqa: F401
+from estatelens.plans import (  # noqa: F401
+    estate_queries, extraction_queries, lineage_queries, mapping_queries,
+)
 from estatelens.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "migration_report"
