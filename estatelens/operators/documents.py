@@ -24,13 +24,20 @@ def normalize_terms(df: DataFrame, text="question", corrections=None) -> DataFra
     return df.withColumn(text, normalized_terms(text, corrections))
 
 
+WORDS_OF_ALL_LANGUAGES = "(?U)"  # questions are prose: letters with accents belong to words
+
+
+def has_pattern(text, pattern: str) -> Column:
+    return as_col(text).rlike(WORDS_OF_ALL_LANGUAGES + pattern)
+
+
 def question_systems(text) -> Column:
-    t = as_col(text)
-    return F.array_compact(F.array(*[F.when(t.rlike(p), s) for s, p in vocab.QUESTION_SYSTEMS.items()]))
+    return F.array_compact(F.array(*[F.when(has_pattern(text, p), s) for s, p in vocab.QUESTION_SYSTEMS.items()]))
 
 
 def question_entities(text) -> Column:
-    return F.array_sort(F.array_distinct(find_many(text, vocab.QUESTION_ENTITY_PATTERNS)))
+    patterns = [WORDS_OF_ALL_LANGUAGES + p for p in vocab.QUESTION_ENTITY_PATTERNS]
+    return F.array_sort(F.array_distinct(find_many(text, patterns)))
 
 
 def question_keywords(text) -> Column:
@@ -52,7 +59,7 @@ def classify_questions(df: DataFrame, text="question") -> DataFrame:
     rules = [(contains_any(low, phrases), intent, conf) for intent, conf, phrases in vocab.INTENT_OVERRIDES]
     rules.insert(2, (compare, "comparison", 0.95))
     scores = F.array(*[
-        F.struct(sum((low.rlike(p).cast("int") for p in patterns), F.lit(0)).alias("score"),
+        F.struct(sum((has_pattern(low, p).cast("int") for p in patterns), F.lit(0)).alias("score"),
                  F.lit(-i).alias("order"), F.lit(intent).alias("intent"))
         for i, (intent, patterns) in enumerate(vocab.INTENT_PATTERNS.items())])
     df = df.withColumn("_best", F.array_max(scores))

@@ -604,7 +604,7 @@ def code_size(spark, folder):
 
 
 @query("transformation_rule", oracle="""
-SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN CASE l_returnflag WHEN 'R' THEN 'Direct mapping' ELSE l_returnflag END
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN CASE l_returnflag WHEN 'R' THEN 'Direct mapping' ELSE l_returnflag END
   ELSE concat('cast: ', l_linestatus, CASE WHEN l_linenumber % 3 = 2 THEN '; plain' ELSE '' END) END AS rule FROM lineitem
 """)
 def transformation_rule(spark, folder):

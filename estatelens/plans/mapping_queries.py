@@ -145,7 +145,7 @@ def migration_report(spark, folder):
 
 @query("migration_gaps", views=("scripts",), oracle=f"""
 WITH {SIG},{ALL_PAIRS},{MAPS},{WF_GAPS}
-SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS severity_rank FROM wf_gaps
+SELECT *, CAST(CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS BIGINT) AS severity_rank FROM wf_gaps
 """)
 def migration_gaps(spark, folder):
     m, all_sigs = maps(spark, folder)
