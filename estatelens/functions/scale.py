@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,9 +28,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the written rows survive the loss of any executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes the rows to a table in the shared folder and reads them back.
+
+    The rows are computed once, survive the loss of any executor, and later steps read only
+    the columns they need. (A checkpoint would compute the rows twice and keep them opaque.)
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small scan dealt out over all cores, ahead of costly work per row.
+
+    A scan with at least as many splits as cores stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_pairs(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt out ahead of costly work: few bytes would end up in few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 POSITION_BITS = 33  # low bits of monotonically_increasing_id: position inside a partition

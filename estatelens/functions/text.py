@@ -32,13 +32,19 @@ def find_many(text, patterns, group: int = 1) -> Column:
 def contains_any(text, values) -> Column:
     """True when the text contains one of the literal values (case as given)."""
     text = as_col(text)
-    return F.exists(words(values), lambda w: text.contains(w))
+    out = F.lit(False)
+    for v in values:
+        out = out | text.contains(v)
+    return out
 
 
 def contained_words(text, values) -> Column:
-    """The vocabulary words that occur in the lower-cased text, sorted."""
+    """The vocabulary words that occur in the lower-cased text, sorted.
+
+    One literal test per word compiles, and the lower-cased text is shared between them.
+    """
     low = F.lower(as_col(text))
-    return F.array_sort(F.filter(words(values), lambda w: low.contains(w)))
+    return F.array_compact(F.array(*[F.when(low.contains(w), w) for w in sorted(values)]))
 
 
 def lookup(key, table: dict, default: str) -> Column:

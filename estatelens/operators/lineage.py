@@ -1,7 +1,7 @@
 """Lineage graphs as edge tables: build, reach, trace, layer, endpoints.
 
-Loops run one join per level and stop on an empty frontier. Each level is written with a
-reliable checkpoint, so plans stay short and a lost executor costs one level at most.
+Loops run one join per level and stop on an empty frontier. Each level is written to the
+shared folder, so plans stay short and a lost executor costs one level at most.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions import vocab
-from estatelens.functions.scale import substrings
+from estatelens.functions.scale import cut_lineage, number_rows, spread_pairs, substrings
 from estatelens.functions.sets import (
     at_least, count_map_similarity, keyword_similarity, name_similarity, set_key,
 )
@@ -47,28 +47,35 @@ def _classes(profiles: DataFrame) -> DataFrame:
 def table_overlaps(left: DataFrame, right: DataFrame, min_jaccard: float = 0.0) -> DataFrame:
     """Pairs (left_key, right_key) of distinct table sets with their Jaccard value.
 
-    Inputs: (key, tables). Tables are ranked rarest first; a pair at or above `min_jaccard`
-    must share a table within each side's rank prefix, so common tables are joined only
-    where a set has nothing rarer. Candidate keys are made distinct with partial
-    aggregation before any table array travels with them.
+    Inputs: (key, tables). Tables are numbered rarest first; a pair at or above
+    `min_jaccard` must share a table within each side's first numbers, so common tables are
+    joined only where a set has nothing rarer. The candidate join and its distinct carry two
+    numbers per row; the sets join in once per pair.
     """
     both = left.select("tables").unionByName(right.select("tables"))
-    ranks = both.select(F.explode("tables").alias("t")).groupBy("t").agg(F.count("*").alias("freq"))
+    freq = both.select(F.explode("tables").alias("t")).groupBy("t").agg(F.count("*").alias("freq"))
+    numbers = number_rows(freq, ["freq", "t"], name="no").select("t", "no")
 
-    def prefixed(df, side):
-        rows = df.select("key", F.explode("tables").alias("t")).join(ranks, "t")
-        ranked = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("freq", "t"))).alias("r"))
-        n = F.size("r")
+    def numbered(df):
+        rows = df.select("key", F.explode("tables").alias("t")).join(numbers, "t")
+        sets = rows.groupBy("key").agg(F.array_sort(F.collect_list("no")).alias("nos"))
+        return cut_lineage(sets.withColumn("id", F.monotonically_increasing_id()))
+
+    def prefixed(sets, side):
+        n = F.size("nos")
         length = n - F.ceil(n * F.lit(min_jaccard)) + 1 if min_jaccard > 0 else n
-        return ranked.select(F.col("key").alias(f"{side}_key"), F.explode(
-            F.transform(F.slice("r", F.lit(1), F.least(length, n).cast("int")), lambda s: s["t"])).alias("t"))
-
-    candidates = prefixed(left, "left").join(prefixed(right, "right"), "t").select("left_key", "right_key").distinct()
-    side = lambda df, p: df.select(F.col("key").alias(f"{p}_key"), F.col("tables").alias(f"{p}_tables"))
-    pairs = candidates.join(side(left, "left"), "left_key").join(side(right, "right"), "right_key")
-    shared = F.size(F.array_intersect("left_tables", "right_tables"))
-    score = shared / (F.size("left_tables") + F.size("right_tables") - shared)
-    pairs = pairs.select("left_key", "right_key", shared.alias("shared"), score.alias("table_score"))
+        return sets.select(F.col("id").alias(f"{side}_id"),
+                           F.explode(F.slice("nos", F.lit(1), F.least(length, n).cast("int"))).alias("no"))
+
+    a, b = numbered(left), numbered(right)
+    candidates = spread_pairs(
+        prefixed(a, "left").join(prefixed(b, "right"), "no").select("left_id", "right_id").distinct())
+    side = lambda sets, p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "key", "nos")])
+    pairs = candidates.join(side(a, "left"), "left_id").join(side(b, "right"), "right_id").select(
+        "left_key", "right_key", F.size(F.array_intersect("left_nos", "right_nos")).alias("shared"),
+        (F.size("left_nos") + F.size("right_nos")).alias("total"))
+    score = F.col("shared") / (F.col("total") - F.col("shared"))
+    pairs = pairs.select("left_key", "right_key", "shared", score.alias("table_score"))
     return pairs.filter(F.round("table_score", 9) >= min_jaccard) if min_jaccard > 0 else pairs
 
 
@@ -79,7 +86,7 @@ def score_process_pairs(profiles: DataFrame, source: str, target: str, threshold
     if threshold <= rest:
         raise ValueError("thresholds up to 0.6 would need pairs without a shared table")
     min_jaccard = math.floor((threshold - rest) / w["tables"] * 1e9) / 1e9
-    classes = _classes(profiles)
+    classes = cut_lineage(_classes(profiles))
     side = lambda system: classes.filter(F.col("system") == system)
     distinct = lambda system: side(system).groupBy(F.col("class_key").alias("key")).agg(
         F.first("tables").alias("tables"), F.first("domains").alias("domains"),

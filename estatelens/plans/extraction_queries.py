@@ -11,7 +11,7 @@ from estatelens.operators import scripts as sc
 from estatelens.operators import spark_scripts as spk
 from estatelens.operators import sql_scripts as sql
 from estatelens.plans.registry import lit, lit_list, query
-from estatelens.plans.views import table, view
+from estatelens.plans.views import texts, view
 
 
 def files(spark, folder, *exts, columns=("file_id", "content")):
@@ -302,7 +302,7 @@ SELECT doc_id, array_to_string(list_sort(list_filter({lit_list(vocab.BUSINESS_TE
 FROM documents
 """)
 def business_keywords(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder)
     return sc.business_keywords(docs).select(
         "doc_id", "keywords", contained_words("text", vocab.DOMAIN_KEYWORDS).alias("domains"))
 

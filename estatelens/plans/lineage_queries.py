@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estatelens.functions import vocab
+from estatelens.functions.scale import cut_lineage
 from estatelens.functions.text import extension
 from estatelens.operators import graphs as gr
 from estatelens.operators import jobs as jb
@@ -15,7 +16,7 @@ from estatelens.operators import oozie as oz
 from estatelens.operators.scripts import script_locations
 from estatelens.plans.extraction_queries import _CLASS, LOCATIONS_SQL
 from estatelens.plans.registry import lit, lit_list, query
-from estatelens.plans.views import table, view
+from estatelens.plans.views import table, texts, view
 
 # --- lineage -------------------------------------------------------------------------
 
@@ -73,7 +74,7 @@ def reach_upstream(spark, folder):
 
 def _flow_steps(spark, folder):
     """Tables read and written per step: customers feed orders, orders feed parts, parts feed suppliers."""
-    flow = view(spark, folder, "flow")
+    flow = cut_lineage(view(spark, folder, "flow"))
     step = flow.select(F.concat_ws("->", "src", "dst").alias("script"), "src", "dst")
     return step.select("script", F.col("src").alias("tab")), step.select("script", F.col("dst").alias("tab"))
 
@@ -196,7 +197,7 @@ SELECT doc_id, len(list_filter(['der', 'the', 'que', 'les'], lambda k: contains(
 WHERE len(list_filter(['der', 'the', 'que', 'les'], lambda k: contains(lower(array_to_string(string_split(text, chr(10))[1:20], chr(10))), k))) >= 2
 """)
 def sniff_documents(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = texts(spark, folder).select("doc_id", F.col("text").alias("content"))
     return jb.sniff_format(docs, ["der", "the", "que", "les"]).select("doc_id", "hits")
 
 
@@ -209,6 +210,11 @@ def _jobs(spark, folder):
     return jb.jil_jobs(jb.job_files(view(spark, folder, "job_files")).select("file_id", "content"))
 
 
+def _stored_jobs(spark, folder):
+    """Parsed jobs, written once for plans that read them several times."""
+    return cut_lineage(_jobs(spark, folder).select("job_name", "command", "condition"))
+
+
 _JOBS = """jobs AS (
   SELECT file_id, concat('load_', CAST(file_id AS VARCHAR)) AS job_name, regexp_extract(content, 'command: (.+)', 1) AS command, regexp_extract(content, 'machine: (.+)', 1) AS machine,
     regexp_extract(content, 'condition: (.+)', 1) AS condition, replace(regexp_extract(content, 'description: (.+)', 1), '"', '') AS description FROM job_files WHERE contains(content, 'insert_job:')
@@ -255,7 +261,11 @@ def jobs_to_graphs(spark, folder):
 
 
 def _job_map(spark, folder):
-    refs = jb.job_graphs(_jobs(spark, folder)).filter("graph IS NOT NULL").select("job_name", F.col("graph").alias("ref"))
+    return _map_of(jb.job_graphs(_jobs(spark, folder)), spark, folder)
+
+
+def _map_of(jobs, spark, folder):
+    refs = cut_lineage(jobs.filter("graph IS NOT NULL").select("job_name", F.col("graph").alias("ref")))
     return refs.join(mt.containing_names(refs, _known(spark, folder)), "ref").select("job_name", F.col("name").alias("graph"))
 
 
@@ -266,8 +276,9 @@ d AS (SELECT unnest(regexp_extract_all(condition, '\\b[sd]\\(([^)]+)\\)', 1)) AS
 SELECT src, dst, a.graph AS source_graph, b.graph AS target_graph FROM d JOIN m a ON a.job_name = src JOIN m b ON b.job_name = dst
 """)
 def lift_edges(spark, folder):
-    deps = jb.job_dependencies(_jobs(spark, folder)).select(F.col("source_job").alias("src"), F.col("target_job").alias("dst"))
-    return ln.lift_edges(deps, _job_map(spark, folder).withColumnRenamed("job_name", "job"))
+    jobs = _stored_jobs(spark, folder)
+    deps = jb.job_dependencies(jobs).select(F.col("source_job").alias("src"), F.col("target_job").alias("dst"))
+    return ln.lift_edges(deps, _map_of(jb.job_graphs(jobs), spark, folder).withColumnRenamed("job_name", "job"))
 
 
 @query("job_flow", views=("job_files",), oracle=f"""
@@ -276,7 +287,7 @@ s AS (SELECT unnest(regexp_extract_all(condition, '\\b[sd]\\(([^)]+)\\)', 1)) AS
 SELECT (SELECT count(*) FROM jobs WHERE job_name NOT IN (SELECT dst FROM s)) AS entry_jobs, (SELECT count(*) FROM jobs) AS total_jobs, (SELECT count(*) FROM jobs WHERE starts_with(job_name, 'load_')) AS graph_jobs, (SELECT count(*) FROM s) AS total_dependencies
 """)
 def job_flow(spark, folder):
-    jobs = _jobs(spark, folder)
+    jobs = _stored_jobs(spark, folder)
     deps = jb.job_dependencies(jobs).select(F.col("source_job").alias("src"), F.col("target_job").alias("dst"))
     return ln.job_flow(jb.job_graphs(jobs).select(F.col("job_name").alias("job"), "graph"), deps)
 

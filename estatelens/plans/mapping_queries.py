@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from estatelens.functions import vocab
+from estatelens.functions.scale import cut_lineage
 from estatelens.functions.text import clean_table, contained_words, normal_name, short_id
 from estatelens.operators import matching as mt
 from estatelens.operators import workflow_mapping as wm
@@ -88,7 +89,7 @@ def sigs(spark, folder):
 
 
 def maps(spark, folder):
-    all_sigs = sigs(spark, folder)
+    all_sigs = cut_lineage(sigs(spark, folder))  # the script texts are read once
     return wm.group_mappings(all_sigs, SRC, TGT), all_sigs
 
 
@@ -107,7 +108,7 @@ FROM p GROUP BY 1, 2, 3, 4
 """)
 def pair_similarity(spark, folder):
     """Workflow pairs at or above the threshold, counted per score."""
-    groups = wm.pair_similarity(sigs(spark, folder), SRC, TGT)
+    groups = wm.pair_similarity(cut_lineage(sigs(spark, folder)), SRC, TGT)
     rounded = [F.round(c, 6).alias(c) for c in wm.SIMS]
     return groups.select(*rounded, "n_pairs").groupBy(*wm.SIMS).agg(F.sum("n_pairs").alias("n_pairs"))
 
@@ -212,7 +213,7 @@ SELECT sname, tname, round(least(CASE WHEN top > 0 THEN raw / top ELSE 0 END
 """)
 def logic_similarity(spark, folder):
     """Logic similarity of the workflows that carry the same name in both systems."""
-    all_sigs = sigs(spark, folder)
+    all_sigs = cut_lineage(sigs(spark, folder))
     side = lambda system, p: all_sigs.filter(F.col("system") == system).select(
         F.col("name").alias(f"{p}name"), normal_name("name").alias("k"),
         F.col("transformation_types").alias(f"{p}_transformations"),
@@ -279,7 +280,7 @@ WITH {PROFILES} SELECT s.process_id AS left_key, t.process_id AS right_key, len(
 FROM prof s JOIN prof t ON s.system = 'hadoop' AND t.system = 'databricks' WHERE round({jac('s.ts', 't.ts')}, 9) >= 0.25
 """)
 def table_overlap(spark, folder):
-    profiles = mt.process_profiles(view(spark, folder, "processes"), view(spark, folder, "components"))
+    profiles = cut_lineage(mt.process_profiles(view(spark, folder, "processes"), view(spark, folder, "components")))
     side = lambda system: profiles.filter(F.col("system") == system).select(F.col("process_id").alias("key"), "tables")
     return mt.table_overlaps(side(SRC), side(TGT), 0.25)
 
@@ -395,7 +396,7 @@ FROM sig s JOIN sig t ON s.system = 'hadoop' AND t.system = 'databricks' AND reg
 """)
 def set_operations(spark, folder):
     """Table sets of same-name workflows: intersection, difference and union."""
-    all_sigs = sigs(spark, folder)
+    all_sigs = cut_lineage(sigs(spark, folder))
     side = lambda system, p: all_sigs.filter(F.col("system") == system).select(
         F.col("name").alias(f"{p}name"), normal_name("name").alias("k"), F.col("source_tables").alias(f"{p}_src"), F.col("target_tables").alias(f"{p}_tgt"))
     return side(SRC, "s").join(side(TGT, "t"), "k").select(

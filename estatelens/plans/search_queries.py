@@ -11,7 +11,7 @@ from estatelens.functions.scale import shared_folder
 from estatelens.operators import documents as dc
 from estatelens.operators import search as se
 from estatelens.plans.registry import lit, lit_list, query
-from estatelens.plans.views import table, view
+from estatelens.plans.views import table, texts, view
 from estatelens.sources import files as src
 from estatelens.sources import sinks
 from estatelens.streaming import incremental as inc
@@ -147,7 +147,7 @@ def profile_csv(spark, folder):
 SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, length(text) AS characters, md5(array_to_string(string_split(text, chr(10))[1:20], chr(10))) AS preview FROM documents
 """)
 def profile_text(spark, folder):
-    p = src.profile_text(table(spark, folder, "documents").select("doc_id", "text"))
+    p = src.profile_text(texts(spark, folder).select("doc_id", "text"))
     return p.withColumn("preview", F.md5("preview"))
 
 
@@ -322,14 +322,14 @@ r AS (SELECT id, term, tf * idf AS w FROM c JOIN d USING (term)), n AS (SELECT i
 SELECT id, term, round(w / norm, 6) AS weight FROM r JOIN n USING (id) WHERE norm > 0
 """)
 def vectorize(spark, folder):
-    return se.vectorize(table(spark, folder, "documents"), key="doc_id")
+    return se.vectorize(texts(spark, folder), key="doc_id")
 
 
 @query("hashed_vectors")
 def hashed_vectors(spark, folder):
     """Fixed-size text vectors; the sum of squares shows that each is normalised (no SQL form)."""
     from pyspark.ml.functions import vector_to_array
-    docs = se.hashed_vectors(table(spark, folder, "documents").select("doc_id", "text"), size=1024)
+    docs = se.hashed_vectors(texts(spark, folder).select("doc_id", "text"), size=1024)
     squares = F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x * x)
     return docs.select("doc_id", F.round(squares, 6).alias("squares"))
 
@@ -349,7 +349,7 @@ def _phrases(spark):
 
 
 def _text_docs(spark, folder):
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return texts(spark, folder).select(F.col("doc_id").alias("id"), "text")
 
 
 @query("bm25", oracle=f"WITH {BM} SELECT query_id, id, score, rk AS rank FROM bmr WHERE rk <= 10")

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from estatelens.functions.scale import spread
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -356,10 +358,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+LIGHT = {"edges", "flow", "gaps", "processes", "components", "measured"}  # little work per row
+
+
+def texts(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """A table of texts, spread over the cores before the work on them."""
+    return spread(table(spark, folder, name))
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A derived view over the tables of one folder."""
     for used in USES[name]:
-        table(spark, folder, used).createOrReplaceTempView(used)
+        df = table(spark, folder, used)
+        (df if name in LIGHT else spread(df)).createOrReplaceTempView(used)
     return spark.sql(VIEWS[name])
 
 
