@@ -34,7 +34,7 @@ def block_components(blocks: DataFrame) -> DataFrame:
         .withColumn("component_id", F.regexp_extract("block_text", BLOCK_ID, 1)).filter(F.col("component_id") != "")
     # the header of a block is `{id|type|name|`
     parts = F.split(F.regexp_extract("block_text", r"(\{\d+\|[^|]+\|[^|]+\|)", 1), r"\|")
-    name = F.when(parts.getItem(1) == F.col("component_type"), F.trim(parts.getItem(2)))
+    name = F.when(F.get(parts, F.lit(1)) == F.col("component_type"), F.trim(F.get(parts, F.lit(2))))
     return rows.withColumn("component_name", F.coalesce(name, F.concat_ws("_", "component_type", "component_id"))) \
         .drop("block_text")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from estatelens.functions import vocab
 from estatelens.functions.scale import shared_folder
 from estatelens.operators import documents as dc
+from estatelens.operators import pig_scripts as pig
 from estatelens.operators import search as se
 from estatelens.plans.registry import lit, lit_list, query
 from estatelens.plans.views import table, texts, view
@@ -186,6 +187,25 @@ def to_documents_sttm(spark, folder):
     return dc.to_documents(c, "sttm", "component_id")
 
 
+@query("to_documents_transformation", views=("scripts",), oracle=f"""
+SELECT CAST(script_id AS VARCHAR) AS id, 'transformation' AS doc_type, concat('Transformation: filter', chr(10), 'Code: ', x, chr(10), 'Condition: ', regexp_extract(x, {lit(pig.STATEMENTS['filter'])}, 3)) AS content
+FROM (SELECT script_id, unnest(regexp_extract_all(content, {lit(pig.STATEMENTS['filter'])}, 0)) AS x FROM scripts) s
+""")
+def to_documents_transformation(spark, folder):
+    steps = pig.pig_transformations(view(spark, folder, "scripts").select(F.col("script_id").cast("string").alias("script_id"), "content"))
+    steps = steps.filter("step_type = 'filter'").withColumn("kind", F.col("step_type"))
+    return dc.to_documents(steps, "transformation", "script_id")
+
+
+@query("to_documents_lineage", views=("scripts",), oracle="""
+SELECT CAST(script_id AS VARCHAR) AS id, 'lineage' AS doc_type, unnest([concat('Lineage: pass_through', chr(10), 'Source: k', chr(10), 'Target: k'), concat('Lineage: calculated', chr(10), 'Source: calculated', chr(10), 'Target: w')]) AS content
+FROM scripts WHERE system = 'abinitio'
+""")
+def to_documents_lineage(spark, folder):
+    rows = pig.column_lineage(view(spark, folder, "scripts").select(F.col("script_id").cast("string").alias("script_id"), "content"))
+    return dc.to_documents(rows, "lineage", "script_id")
+
+
 @query("where_meta", oracle="SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src8'")
 def where_meta(spark, folder):
     docs = table(spark, folder, "documents").withColumn("metadata", F.create_map(F.lit("origin"), F.col("source")))

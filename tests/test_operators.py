@@ -332,3 +332,15 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     hits = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
     plan = se.topk_per_group(hits, 2, ["g"], ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_answer_context_searches_the_named_system(spark):
+    from estatelens.plans import analysis
+    docs = spark.createDataFrame([(1, [0.0, 0.0], "hadoop", "process", "one"), (2, [0.1, 0.0], "databricks", "process", "two"),
+                                  (3, [5.0, 5.0], "hadoop", "gap", "three")],
+                                 "id long, vector array<double>, system string, doc_type string, content string")
+    asks = spark.createDataFrame([(7, "explain the hadop job", [0.0, 0.0]), (8, "hello", [0.0, 0.0])],
+                                 "query_id long, question string, vector array<double>")
+    result = analysis.answer_context(asks, docs, 2)
+    assert {(r["query_id"], r["id"]) for r in result["hits"].collect()} == {(7, 1), (7, 3), (8, 1), (8, 2)}
+    assert {r["query_id"]: r["confidence"] for r in result["context"].collect()} == {7: "medium", 8: "medium"}
