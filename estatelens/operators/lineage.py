@@ -66,23 +66,17 @@ def trace_table(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops:
     """
     reads = cut_lineage(reads.select("script", "tab").distinct())
     writes = cut_lineage(writes.select("script", "tab").distinct())
-    frontier = start.select("tab").distinct()
-    known, done, hops = frontier, None, None
+    frontier, hops = start.select("tab").distinct(), None
     for hop in range(1, max_hops + 1):
         scripts = reads.join(frontier, "tab").select("script").distinct()
-        if done is not None:
-            scripts = scripts.join(done, "script", "left_anti")
-        scripts = cut_lineage(scripts)
-        if scripts.isEmpty():
+        if hops is not None:
+            scripts = scripts.join(hops.select("script"), "script", "left_anti")
+        level = cut_lineage(scripts.withColumn("hop", F.lit(hop)))
+        if level.isEmpty():
             break
-        done = scripts if done is None else done.unionByName(scripts)
-        level = scripts.withColumn("hop", F.lit(hop))
         hops = level if hops is None else hops.unionByName(level)
-        outputs = writes.join(scripts, "script", "left_semi").select("tab").distinct()
-        frontier = cut_lineage(outputs.join(known, "tab", "left_anti"))
-        known = known.unionByName(frontier)
-        if frontier.isEmpty():
-            break
+        # tables of earlier hops may come again: all scripts that read them are done
+        frontier = writes.join(level, "script", "left_semi").select("tab").distinct()
     if hops is None:
         hops = reads.limit(0).select("script", F.lit(0).alias("hop"))
     return hops.join(reads.withColumnRenamed("tab", "source_table"), "script") \
@@ -97,8 +91,8 @@ def trace_column(lineage: DataFrame, start: DataFrame, max_hops: int = 10) -> Da
     `start` has (tab, col).
     """
     rows = cut_lineage(lineage.distinct())
-    frontier = start.select("tab", "col").distinct()
-    known, out = frontier, None
+    known = start.select("tab", "col").distinct()
+    frontier, out = known, None
     source = (F.col("source_table") == F.col("tab")) & (F.col("source_column") == F.col("col"))
     for hop in range(1, max_hops + 1):
         step = cut_lineage(rows.join(frontier, source, "left_semi").withColumn("hop", F.lit(hop)))
@@ -106,8 +100,8 @@ def trace_column(lineage: DataFrame, start: DataFrame, max_hops: int = 10) -> Da
             break
         out = step if out is None else out.unionByName(step)
         targets = step.select(F.col("target_table").alias("tab"), F.col("target_column").alias("col")).distinct()
-        frontier = cut_lineage(targets.join(known, ["tab", "col"], "left_anti"))
-        known = known.unionByName(frontier)
+        frontier = targets.join(known, ["tab", "col"], "left_anti")
+        known = known.unionByName(targets)
     return out if out is not None else rows.limit(0).withColumn("hop", F.lit(0))
 
 
@@ -120,21 +114,25 @@ def hop_graph(hops: DataFrame) -> DataFrame:
 def topo_layers(edges: DataFrame, max_layers: int = 1000) -> DataFrame:
     """Layer per node of an acyclic graph; nodes on or behind a cycle get no layer.
 
-    `edges` has (src, dst). Each round removes the nodes without a remaining predecessor.
+    `edges` has (src, dst). Each round removes the nodes without a remaining predecessor;
+    only successors of the nodes just removed can be free in the next round.
     """
     left = cut_lineage(edges.select("src", "dst").distinct())
-    nodes = cut_lineage(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    layers, rest = None, nodes
+    nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    heads = lambda e: e.select(F.col("dst").alias("node")).distinct()
+    layers, waiting = None, left.select(F.col("src").alias("node")).distinct()
     for layer in range(max_layers):
-        free = cut_lineage(rest.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        free = cut_lineage(waiting.join(heads(left), "node", "left_anti").withColumn("layer", F.lit(layer)))
         if free.isEmpty():
             break
-        level = free.withColumn("layer", F.lit(layer))
-        layers = level if layers is None else layers.unionByName(level)
-        rest = cut_lineage(rest.join(free, "node", "left_anti"))
-        left = cut_lineage(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
-    cyclic = rest.select("node", F.lit(None).cast("int").alias("layer"))
-    return cyclic if layers is None else layers.unionByName(cyclic)
+        layers = free if layers is None else layers.unionByName(free)
+        gone = free.select(F.col("node").alias("src"))
+        waiting = heads(left.join(gone, "src", "left_semi"))
+        left = cut_lineage(left.join(gone, "src", "left_anti"))
+    if layers is None:
+        return nodes.withColumn("layer", F.lit(None).cast("int"))
+    cyclic = nodes.join(layers.select("node"), "node", "left_anti")
+    return layers.unionByName(cyclic.withColumn("layer", F.lit(None).cast("int")))
 
 
 def graph_endpoints(edges: DataFrame) -> DataFrame:

@@ -151,10 +151,10 @@ def equivalent_component(pairs: DataFrame, source: DataFrame, target: DataFrame)
     name, datasets). Both sides are reduced to one row per join key before joining, so no
     step emits all pairs of a process or a dataset.
     """
-    src = source.join(pairs, source["process_id"] == pairs["source_process"]) \
-        .select("component_id", F.col("target_process").alias("pid"), F.lower("name").alias("nm"), "datasets")
-    tgt = target.join(pairs.select("target_process").distinct(), target["process_id"] == F.col("target_process"))\
-        .select("component_id", F.col("target_process").alias("pid"), F.lower("name").alias("nm"), "datasets")
+    columns = ["component_id", F.col("target_process").alias("pid"), F.lower("name").alias("nm"), "datasets"]
+    src = cut_lineage(source.join(pairs, F.col("process_id") == F.col("source_process")).select(*columns))
+    tgt = cut_lineage(target.join(pairs.select("target_process").distinct(), F.col("process_id") == F.col("target_process"))
+                      .select(*columns))
     names = tgt.groupBy("pid", "nm").agg(F.min("component_id").alias("hit"))
     src_names = src.select("pid", "nm").distinct()
     # names are few compared with components; both directions of containment are equality joins

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from estatelens.functions import text as tx
 from estatelens.functions import vocab
+from estatelens.functions.scale import cut_lineage
 from estatelens.operators import gaps as gp
 from estatelens.operators import pig_scripts as pig
 from estatelens.operators import rollups as ru
@@ -84,7 +85,8 @@ SELECT source_component, target_component, coalesce(split_part(hit, ':', 1), '')
   left(md5(concat(source_component, '_', target_component, '_', split_part(tf, ':', 1))), 16) AS mapping_id, 'cross_system' AS mapping_type FROM h
 """)
 def cross_process_mappings(spark, folder):
-    comps = components(spark, folder).withColumn("inputs", F.array("input_dataset")).withColumn("outputs", F.array("output_dataset"))
+    comps = cut_lineage(components(spark, folder).withColumn("inputs", F.array("input_dataset"))
+                        .withColumn("outputs", F.array("output_dataset")))
     return st.cross_process_mappings(process_pairs(spark, folder), comps, comps)
 
 
@@ -307,7 +309,8 @@ SELECT left(md5(concat('col_', source_process, '_', target_process)), 16) AS gap
 FROM pairs JOIN i ON id = source_process WHERE NOT EXISTS (SELECT 1 FROM i t WHERE t.id = target_process AND t.item = i.item)
 """)
 def missing_columns(spark, folder):
-    items = components(spark, folder).select(F.col("process_id").alias("id"), F.explode("out_fields").alias("f")).select("id", F.col("f.name").alias("item"))
+    fields_ = components(spark, folder).select(F.col("process_id").alias("id"), F.explode("out_fields").alias("f"))
+    items = cut_lineage(fields_.select("id", F.col("f.name").alias("item")).distinct())
     return gp.missing_items(_ids(process_pairs(spark, folder)), items, items, "missing_columns")
 
 
