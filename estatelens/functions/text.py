@@ -113,6 +113,12 @@ def line_count(text) -> Column:
     return newlines(text) + 1
 
 
+def file_lines(text) -> Column:
+    """Lines as a reader of the file counts them: a last line break opens no new line."""
+    text = as_col(text)
+    return newlines(text) + F.when((text == "") | text.endswith(NEWLINE), 0).otherwise(1)
+
+
 def file_name(path) -> Column:
     return F.element_at(F.split(as_col(path), "/"), -1)
 

@@ -34,12 +34,14 @@ def missing_items(pairs: DataFrame, source: DataFrame, target: DataFrame, gap_ty
     `pairs` has (source_id, target_id); `source` and `target` have (id, item). One row per
     missing item, so a pair with very many items stays spread over tasks.
     """
-    have = source.select(F.col("id").alias("source_id"), F.lower("item").alias("item")).distinct().join(pairs, "source_id")
-    want = target.select(F.col("id").alias("target_id"), F.lower("item").alias("item")).distinct()
-    prefix = "data" if gap_type == "data_coverage" else "col"
+    tables = gap_type == "data_coverage"
+    item = (F.col("item") if tables else F.lower("item")).alias("item")  # column names match in any case
+    have = source.select(F.col("id").alias("source_id"), item).distinct().join(pairs, "source_id")
+    want = target.select(F.col("id").alias("target_id"), item).distinct()
+    prefix = "data" if tables else "col"
     return have.join(want, ["target_id", "item"], "left_anti").select(
         short_id(F.lit(prefix), "source_id", "target_id").alias("gap_id"), F.lit(gap_type).alias("gap_type"),
-        F.lit("high" if gap_type == "data_coverage" else "medium").alias("severity"), "source_id", "target_id", "item")
+        F.lit("high" if tables else "medium").alias("severity"), "source_id", "target_id", "item")
 
 
 def count_mismatch(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
@@ -120,9 +122,17 @@ def quality_gaps(steps: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def missing_rules(steps: DataFrame, source: str, target: str, min_chars: int = 10) -> DataFrame:
-    """Distinct conditions longer than `min_chars` of the source that the target lacks."""
-    rules = lambda system: steps.filter((F.col("system") == system) & (F.length("condition") > min_chars)) \
-        .select(F.col("condition").alias("rule")).distinct()
+    """Distinct rules of the source that the target lacks.
+
+    Rules are conditions longer than `min_chars` and, where the column exists, meanings.
+    """
+    def rules(system):
+        own = steps.filter(F.col("system") == system)
+        out = own.filter(F.length("condition") > min_chars).select(F.col("condition").alias("rule"))
+        if "meaning" in steps.columns:
+            out = out.unionByName(own.filter(F.length("meaning") > 0).select(F.col("meaning").alias("rule")))
+        return out.distinct()
+
     return rules(source).join(rules(target), "rule", "left_anti")
 
 

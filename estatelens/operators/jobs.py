@@ -29,10 +29,11 @@ def sniff_format(files: DataFrame, keywords=None, n_lines: int = 20, min_hits: i
 
 
 def job_files(files: DataFrame) -> DataFrame:
-    """Job files by extension, or by content where a file has no extension."""
-    ext = extension("path")
-    return files.filter((ext == ".jil") | ((ext == "") & ~file_name("path").contains(".")
-                                           & (keyword_hits("content") >= 2)))
+    """Job files by extension, or by content where a file has none or an upper-case one."""
+    name = file_name("path")
+    last = F.element_at(F.split(name, r"\."), -1)
+    unclear = ~name.contains(".") | ((F.upper(last) == last) & (F.lower(last) != last))
+    return files.filter((extension("path") == ".jil") | (unclear & (keyword_hits("content") >= 2)))
 
 
 def jil_jobs(files: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def _param_parts(params):
 def oozie_actions(files: DataFrame) -> DataFrame:
     """One row per action: name, type, script, parameters, inputs and outputs by keyword."""
     keep = [c for c in files.columns if c != "content"]
-    rows = parsed(files).select(*keep, F.explode("wf.action").alias("a"))
+    rows = parsed(files).select(*keep, F.col("wf._frequency").alias("frequency"), F.explode("wf.action").alias("a"))
     none = F.array().cast(NO_STRINGS)
     has = lambda t: F.col(f"a.`{t}`").isNotNull()
     kind = F.coalesce(*[F.when(has(t), t) for t in vocab.ACTION_TYPES], F.when(has("workflow"), "coordinator"), F.lit("unknown"))
@@ -108,9 +108,13 @@ def oozie_actions(files: DataFrame) -> DataFrame:
     pick = lambda spark_, hive, pig, sqoop, shell: (
         F.when(has("spark"), spark_).when(has("hive"), hive).when(has("pig"), pig)
         .when(has("sqoop"), sqoop).when(has("shell"), shell).otherwise(none))
+    trigger = F.array(F.concat(F.lit("frequency="), F.coalesce("frequency", F.lit("unknown"))),
+                      F.concat(F.lit("referenced_workflow="), F.col("a.workflow.`app-path`")))
+    name = F.when(has("workflow"), "coordinator_trigger").otherwise(F.coalesce("a._name", F.lit("unknown")))
     return rows.select(
-        *keep, F.coalesce("a._name", F.lit("unknown")).alias("action"), kind.alias("action_type"), script.alias("script"),
-        F.transform(params, lambda p: F.concat_ws("=", p["key"], p["value"])).alias("parameters"),
+        *keep, name.alias("action"), kind.alias("action_type"), script.alias("script"),
+        F.when(has("workflow"), trigger).otherwise(
+            F.transform(params, lambda p: F.concat_ws("=", p["key"], p["value"]))).alias("parameters"),
         pick(spark_in, hive_in, pig_in, one(r"--table\s+(\S+)"), shell_in).alias("inputs"),
         pick(spark_out, none, pig_out, one(r"--target-dir\s+(\S+)"), shell_out).alias("outputs"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from estatelens.functions import vocab
 from estatelens.functions.matches import explode_structs, explode_values
 from estatelens.functions.text import (
-    as_col, contained_words, contains_any, extension, file_name, file_stem, find_all, find_many,
+    as_col, contained_words, contains_any, extension, file_lines, file_name, file_stem, find_all, find_many,
     line_count, words,
 )
 
@@ -213,7 +213,7 @@ def script_inventory(files: DataFrame, references: DataFrame) -> DataFrame:
     skip = F.exists(words(vocab.SKIP_FOLDERS), lambda w: F.col("path").contains(w))
     rows = files.filter(~skip).select(
         path_group("path", "top").alias("repo"), kind.alias("script_type"), file_name("path").alias("name"),
-        line_count("content").alias("lines")).filter(F.col("script_type") != "Other")
+        file_lines("content").alias("lines")).filter(F.col("script_type") != "Other")
     used = references.select(F.col("name")).distinct().withColumn("_used", F.lit(True))
     return (rows.join(used, "name", "left").groupBy("repo", "script_type")
             .agg(F.count("*").alias("files"), F.sum("lines").alias("lines"),

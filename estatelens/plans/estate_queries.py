@@ -242,8 +242,7 @@ def quality_gaps(spark, folder):
 
 
 @query("rule_gaps", views=("scripts",), oracle=f"""
-WITH {STEPS}, lost AS (SELECT DISTINCT condition FROM steps WHERE system = 'abinitio' AND length(condition) > 4 EXCEPT SELECT condition FROM steps WHERE system = 'databricks' AND length(condition) > 4),
-long_lost AS (SELECT DISTINCT condition FROM steps WHERE system = 'hadoop' AND length(condition) > 10 EXCEPT SELECT condition FROM steps WHERE system = 'databricks')
+WITH {STEPS}, long_lost AS (SELECT DISTINCT condition FROM steps WHERE system = 'hadoop' AND length(condition) > 10 EXCEPT SELECT condition FROM steps WHERE system = 'databricks')
 SELECT 'missing_business_logic' AS gap_type, 'high' AS severity, count(*) AS missing_rules, array_to_string(list_sort(list(condition))[1:5], '|') AS sample_rules FROM long_lost
 """)
 def rule_gaps(spark, folder):
@@ -251,10 +250,10 @@ def rule_gaps(spark, folder):
 
 
 @query("missing_rules", views=("scripts",), oracle=f"""
-WITH {STEPS} SELECT DISTINCT condition AS rule FROM steps WHERE system = 'databricks' AND length(condition) > 4 EXCEPT SELECT condition FROM steps WHERE system = 'abinitio' AND length(condition) > 4
+WITH {STEPS} SELECT DISTINCT condition AS rule FROM steps WHERE system = 'databricks' AND length(condition) > 4 EXCEPT SELECT condition FROM steps WHERE system = 'hadoop' AND length(condition) > 4
 """)
 def missing_rules(spark, folder):
-    return gp.missing_rules(steps(spark, folder), "databricks", "abinitio", min_chars=4)
+    return gp.missing_rules(steps(spark, folder), "databricks", SRC, min_chars=4)
 
 
 @query("io_gaps", views=("scripts",), oracle=f"""

@@ -375,7 +375,7 @@ def filter_names(spark, folder):
 
 
 @query("script_inventory", views=("files",), oracle="""
-WITH f AS (SELECT string_split(path, '/')[2] AS repo, regexp_extract(path, '([^/]*)$', 1) AS name, length(content) - length(replace(content, chr(10), '')) + 1 AS lines,
+WITH f AS (SELECT string_split(path, '/')[2] AS repo, regexp_extract(path, '([^/]*)$', 1) AS name, length(content) - length(replace(content, chr(10), '')) + CASE WHEN ends_with(content, chr(10)) THEN 0 ELSE 1 END AS lines,
   CASE regexp_extract(path, '\\.([^./]*)$', 1) WHEN 'py' THEN 'PySpark' WHEN 'pig' THEN 'Pig' WHEN 'sh' THEN 'Shell' WHEN 'sql' THEN 'Hive' WHEN 'hql' THEN 'Hive' END AS script_type
   FROM files WHERE NOT contains(path, '.git') AND NOT contains(path, '__pycache__') AND NOT contains(path, 'target') AND NOT contains(path, 'build')),
 r AS (SELECT DISTINCT regexp_extract(unnest(regexp_extract_all(content, '<script>([^<]+)</script>', 1)), '([^/]*)$', 1) AS name FROM files WHERE path LIKE '%.xml')

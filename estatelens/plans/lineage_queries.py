@@ -309,13 +309,13 @@ def detect_workflows(spark, folder):
     return oz.detect_workflows(view(spark, folder, "workflows"))
 
 
-_ACT = """a AS (SELECT wf_id, unnest(regexp_extract_all(content, '(?s)<action.*?</action>', 0)) AS x FROM workflows),
-b AS (SELECT wf_id, x, coalesce(nullif(regexp_extract(x, '<action name="([^"]*)"', 1), ''), 'unknown') AS action, CASE WHEN contains(x, '<workflow>') THEN 'coordinator' ELSE regexp_extract(x, '<action[^>]*><([a-z-]+)', 1) END AS action_type FROM a)"""
+_ACT = """a AS (SELECT wf_id, regexp_extract(content, 'frequency="([^"]*)"', 1) AS f, unnest(regexp_extract_all(content, '(?s)<action.*?</action>', 0)) AS x FROM workflows),
+b AS (SELECT wf_id, x, CASE WHEN contains(x, '<workflow>') THEN 'coordinator_trigger' ELSE regexp_extract(x, '<action name="([^"]*)"', 1) END AS action, f, CASE WHEN contains(x, '<workflow>') THEN 'coordinator' ELSE regexp_extract(x, '<action[^>]*><([a-z-]+)', 1) END AS action_type FROM a)"""
 
 
 @query("oozie_actions", views=("workflows",), oracle=f"""
 WITH {_ACT} SELECT wf_id, action, action_type, CASE action_type WHEN 'spark' THEN regexp_extract(x, '<jar>([^<]*)', 1) WHEN 'shell' THEN regexp_extract(x, '<exec>([^<]*)', 1) ELSE regexp_extract(x, '<script>([^<]*)', 1) END AS script,
-  array_to_string(regexp_extract_all(x, '<param>([^<]*)', 1), '|') AS parameters,
+  CASE action_type WHEN 'coordinator' THEN concat('frequency=', f, '|referenced_workflow=', regexp_extract(x, '<app-path>([^<]*)', 1)) ELSE array_to_string(regexp_extract_all(x, '<param>([^<]*)', 1), '|') END AS parameters,
   CASE action_type WHEN 'spark' THEN array_to_string(list_filter(regexp_extract_all(x, '<arg>([^<]*)', 1), lambda v: regexp_matches(lower(v), 'table|input|source')), '|')
     WHEN 'shell' THEN array_to_string(list_filter(regexp_extract_all(x, '<argument>([^<]*)', 1), lambda v: regexp_matches(lower(v), 'table|input|source')), '|')
     WHEN 'pig' THEN regexp_extract(x, '<param>INPUT_TABLE=([^<]*)', 1)

@@ -105,7 +105,7 @@ def detect_json_structure(spark, folder):
 
 @query("json_items", views=("item_json",), oracle="""
 SELECT event_id AS source_id, CAST(0 AS BIGINT) AS item_no, regexp_extract(content, '"id": "([^"]*)"', 1) AS id, CASE WHEN starts_with(content, '[') THEN regexp_extract(content, '"type": "([^"]*)"', 1) ELSE regexp_extract(content, '^\\{"(\\w+)"', 1) END AS doc_type FROM item_json
-UNION ALL SELECT event_id, 1, concat('json_', CASE WHEN starts_with(content, '[') THEN 'unknown' ELSE regexp_extract(content, '^\\{"(\\w+)"', 1) END, '_1'), CASE WHEN starts_with(content, '[') THEN 'unknown' ELSE regexp_extract(content, '^\\{"(\\w+)"', 1) END FROM item_json
+UNION ALL SELECT event_id, 1, concat('json_', CASE WHEN starts_with(content, '[') THEN 'item' ELSE regexp_extract(content, '^\\{"(\\w+)"', 1) END, '_1'), CASE WHEN starts_with(content, '[') THEN 'unknown' ELSE regexp_extract(content, '^\\{"(\\w+)"', 1) END FROM item_json
 """)
 def json_items(spark, folder):
     return src.json_items(view(spark, folder, "item_json"), "event_id").drop("content")
