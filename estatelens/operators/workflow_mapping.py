@@ -238,26 +238,25 @@ class Mappings:
 
     N:1: a target with several sources. 1:N: a source with several targets that is part of no
     N:1 mapping. 1:1: what remains. Rows stand for `members` workflows of the anchor class.
+
+    A close pair shares at least the tables its coarse classes share, so it scores at least
+    as much: every source of an accepted coarse class is a partner of every target there.
     """
 
     def __init__(self, pairs: PairTable):
         self.pairs = pairs
         self.targets = cut_lineage(pairs.side_totals("target"))
         self.sources = cut_lineage(pairs.side_totals("source"))
-        # source classes that feed any N:1 target, through a close pair or a coarse pair
-        many = self.targets.filter(F.col("partners") > 1).select(F.col("key").alias("t_key"), F.col("coarse").alias("t_coarse"))
-        by_close = pairs.accepted_close().join(many.select("t_key"), "t_key", "left_semi").select(F.col("s_key").alias("key"))
-        # coarse partners: any target of the coarse class that is not a close pair of the source
-        many_count = self.targets.filter(F.col("partners") > 1).groupBy(F.col("coarse").alias("t_coarse")).agg(
-            F.count("*").alias("many"))
-        offered = pairs.coarse.join(many_count, "t_coarse").groupBy("s_coarse").agg(F.sum("many").alias("offered"))
-        near_many = (pairs.close.join(many.select("t_key"), "t_key", "left_semi")
-                     .join(pairs.coarse.select("s_coarse", "t_coarse"), ["s_coarse", "t_coarse"], "left_semi")
-                     .groupBy(F.col("s_key").alias("key")).agg(F.count("*").alias("near_many")))
-        by_coarse = (self.sources.join(offered, self.sources["coarse"] == offered["s_coarse"])
-                     .join(near_many, "key", "left")
-                     .filter(F.col("offered") > F.coalesce("near_many", F.lit(0))).select("key"))
-        self.used = cut_lineage(by_close.unionByName(by_coarse).distinct())
+        self.n1 = self.targets.filter(F.col("partners") > 1).select(F.col("key").alias("t_key"), F.col("coarse").alias("t_coarse"))
+        # source classes that feed an N:1 target, through a close pair or a coarse pair
+        near = pairs.accepted_close().join(self.n1.select("t_key"), "t_key", "left_semi").select(F.col("s_key").alias("key"))
+        feeding = pairs.coarse.join(self.n1.select("t_coarse").distinct(), "t_coarse", "left_semi").select("s_coarse").distinct()
+        far = self.sources.join(feeding, self.sources["coarse"] == feeding["s_coarse"], "left_semi").select("key")
+        self.used = cut_lineage(near.unionByName(far).distinct())
+
+    def free(self) -> DataFrame:
+        """Source classes outside all N:1 mappings; each of their targets has one source."""
+        return self.sources.join(self.used, "key", "left_anti")
 
     def rows(self) -> DataFrame:
         """One row per mapping class: kind, anchor side and key, members, partners, mean scores."""
@@ -266,62 +265,113 @@ class Mappings:
         n1 = self.targets.filter(F.col("partners") > 1).select(
             F.lit("N:1").alias("kind"), F.col("key").alias("target_key"), F.lit(None).cast("string").alias("source_key"),
             "members", F.col("partners").alias("n_sources"), F.lit(1).cast("bigint").alias("n_targets"), *means(self.targets))
-        free = self.sources.join(self.used, "key", "left_anti")
+        free = self.free()
         rest = free.select(
             F.when(F.col("partners") > 1, "1:N").otherwise("1:1").alias("kind"),
             F.lit(None).cast("string").alias("target_key"), F.col("key").alias("source_key"), "members",
             F.lit(1).cast("bigint").alias("n_sources"), F.col("partners").alias("n_targets"), *means(free))
         return n1.unionByName(rest).withColumn("confidence", confidence("overall_sim"))
 
-    def table_diff(self) -> DataFrame:
-        """Shared, missing and added tables per mapping class, as rows.
+    def outputs(self) -> tuple[DataFrame, DataFrame]:
+        """Tables written by the sources of N:1 targets, without a list per target.
 
-        N:1 compares the sources' outputs with the target; 1:N and 1:1 compare like with like.
+        First (t_coarse, tab): tables all targets of a coarse class receive. Second
+        (t_key, tab): tables a target receives on top of that through close pairs.
         """
-        left, right, p = self.pairs.left, self.pairs.right, self.pairs
+        p = self.pairs
+        writes = p.left.select(F.col("coarse").alias("s_coarse"), F.explode("target_tables").alias("tab")).distinct()
+        offered = p.coarse.select("s_coarse", "t_coarse").join(self.n1.select("t_coarse").distinct(), "t_coarse", "left_semi") \
+            .join(writes, "s_coarse").select("t_coarse", "tab").distinct()
+        own = p.left.select(F.col("key").alias("s_key"), F.explode("target_tables").alias("tab"))
+        extra = p.accepted_close().select("s_key", "t_key").join(self.n1, "t_key").join(own, "s_key") \
+            .select("t_key", "t_coarse", "tab").distinct().join(offered, ["t_coarse", "tab"], "left_anti")
+        return offered, extra.select("t_key", "tab")
+
+    def _target_tables(self, offered: DataFrame, extra: DataFrame) -> DataFrame:
+        """Own tables of N:1 targets (use = read | write) with a flag: some source writes them."""
+        own = self.pairs.right.select(F.col("key").alias("t_key"), F.explode(F.concat(
+            F.transform("source_tables", lambda x: F.struct(F.lit("read").alias("use"), x.alias("tab"))),
+            F.transform("target_tables", lambda x: F.struct(F.lit("write").alias("use"), x.alias("tab"))))).alias("o")) \
+            .select("t_key", "o.*").join(self.n1, "t_key")
+        yes = F.lit(True)
+        out = own.join(offered.withColumn("in_class", yes), ["t_coarse", "tab"], "left") \
+                 .join(extra.withColumn("in_extra", yes), ["t_key", "tab"], "left")
+        return out.select("t_key", "t_coarse", "use", "tab", F.coalesce("in_class", "in_extra", F.lit(False)).alias("received"))
+
+    def _free_tables(self) -> DataFrame:
+        """(kind, anchor_key, tab, relation) of 1:N and 1:1 mappings."""
+        p = self.pairs
         tabs = lambda df, col, key: df.select(F.col("key").alias(key), F.explode(col).alias("tab"))
-        near = p.accepted_close().select("s_key", "t_key")
-        # tables written by all sources of an N:1 target: from close pairs, then coarse classes
-        n1 = self.targets.filter(F.col("partners") > 1).select(F.col("key").alias("t_key"), F.col("coarse").alias("t_coarse"))
-        near_out = near.join(n1.select("t_key"), "t_key").join(tabs(left, "target_tables", "s_key"), "s_key").select("t_key", "tab")
-        # a coarse partner's table counts when more classes write it than are close pairs of the target
-        writers = left.select("coarse", F.explode("target_tables").alias("tab")).groupBy(F.col("coarse").alias("s_coarse"), "tab") \
-            .agg(F.count("*").alias("writers"))
-        offered = p.coarse.select("s_coarse", "t_coarse").join(writers, "s_coarse").groupBy("t_coarse", "tab") \
-            .agg(F.sum("writers").alias("writers"))
-        taken = (p.close.join(n1.select("t_key"), "t_key", "left_semi")
-                 .join(p.coarse.select("s_coarse", "t_coarse"), ["s_coarse", "t_coarse"], "left_semi")
-                 .join(tabs(left, "target_tables", "s_key"), "s_key").groupBy("t_key", "tab").agg(F.count("*").alias("taken")))
-        far_out = (n1.join(offered, "t_coarse").join(taken, ["t_key", "tab"], "left")
-                   .filter(F.col("writers") > F.coalesce("taken", F.lit(0))).select("t_key", "tab"))
-        out = near_out.unionByName(far_out).distinct()
-        flags = lambda base, other, key, name: base.join(
-            other.withColumn(name, F.lit(True)), [key, "tab"], "left").fillna(False, [name])
-        reads_t, writes_t = tabs(right, "source_tables", "t_key"), tabs(right, "target_tables", "t_key")
-        known = flags(flags(out, reads_t, "t_key", "read"), writes_t, "t_key", "written")
-        n1_rows = known.filter("read").select("t_key", "tab", F.lit("shared").alias("relation")) \
-            .unionByName(known.filter("not written").select("t_key", "tab", F.lit("missing").alias("relation"))) \
-            .unionByName(writes_t.join(n1.select("t_key"), "t_key", "left_semi").join(out, ["t_key", "tab"], "left_anti")
-                         .select("t_key", "tab", F.lit("added").alias("relation")))
-        n1_rows = n1_rows.select(F.lit("N:1").alias("kind"), F.col("t_key").alias("anchor_key"), "tab", "relation")
-        # free sources: their targets have one source each, so listing them is linear
-        free = self.sources.join(self.used, "key", "left_anti").select(
-            F.col("key").alias("s_key"), F.col("coarse").alias("s_coarse"),
-            F.when(F.col("partners") > 1, "1:N").otherwise("1:1").alias("kind"))
-        far = (free.join(p.coarse.select("s_coarse", "t_coarse"), "s_coarse")
-               .join(right.select(F.col("key").alias("t_key"), F.col("coarse").alias("t_coarse")), "t_coarse")
-               .join(p.close.select("s_key", "t_key"), ["s_key", "t_key"], "left_anti").select("s_key", "t_key", "kind"))
-        edges = near.join(free.select("s_key", "kind"), "s_key").select("s_key", "t_key", "kind").unionByName(far)
-        t_reads = edges.join(reads_t, "t_key").select("s_key", "kind", "tab").distinct()
-        t_writes = edges.join(writes_t, "t_key").select("s_key", "kind", "tab").distinct()
-        s_reads = free.select("s_key", "kind").join(tabs(left, "source_tables", "s_key"), "s_key")
-        s_writes = free.select("s_key", "kind").join(tabs(left, "target_tables", "s_key"), "s_key")
-        rel = lambda df, name: df.select("kind", F.col("s_key").alias("anchor_key"), "tab", F.lit(name).alias("relation"))
+        free = self.free().select(F.col("key").alias("s_key"), F.col("coarse").alias("s_coarse"),
+                                  F.when(F.col("partners") > 1, "1:N").otherwise("1:1").alias("kind"))
+        near = p.accepted_close().select("s_key", "t_key").join(free.select("s_key", "kind"), "s_key")
+        far = free.join(p.coarse.select("s_coarse", "t_coarse"), "s_coarse").join(
+            p.right.select(F.col("key").alias("t_key"), F.col("coarse").alias("t_coarse")), "t_coarse")
+        edges = near.select("s_key", "t_key", "kind").unionByName(far.select("s_key", "t_key", "kind")).distinct()
+        of_targets = lambda col: edges.join(tabs(p.right, col, "t_key"), "t_key").select("s_key", "kind", "tab").distinct()
+        of_source = lambda col: free.select("s_key", "kind").join(tabs(p.left, col, "s_key"), "s_key")
         on = ["s_key", "kind", "tab"]
-        return n1_rows.unionByName(rel(s_reads.join(t_reads, on, "left_semi"), "shared")) \
+        t_writes = of_targets("target_tables")
+        s_writes = of_source("target_tables")
+        rel = lambda df, name: df.select("kind", F.col("s_key").alias("anchor_key"), "tab", F.lit(name).alias("relation"))
+        return rel(of_source("source_tables").join(of_targets("source_tables"), on, "left_semi"), "shared") \
             .unionByName(rel(s_writes.join(t_writes, on, "left_anti"), "missing")) \
             .unionByName(rel(t_writes.join(s_writes, on, "left_anti"), "added"))
 
+    def table_diff(self) -> DataFrame:
+        """Shared and added tables of every mapping, missing tables of 1:N and 1:1 mappings.
+
+        N:1 compares the sources' outputs with the target; 1:N and 1:1 compare like with like.
+        The missing tables of N:1 mappings would repeat per target what its class receives:
+        see `table_counts`, `missing_tables` and, for chosen mappings, `expand_missing`.
+        """
+        own = self._target_tables(*self.outputs())
+        row = lambda df, name: df.select(F.lit("N:1").alias("kind"), F.col("t_key").alias("anchor_key"), "tab", F.lit(name).alias("relation"))
+        return row(own.filter((F.col("use") == "read") & F.col("received")), "shared") \
+            .unionByName(row(own.filter((F.col("use") == "write") & ~F.col("received")), "added")) \
+            .unionByName(self._free_tables())
+
+    def table_counts(self) -> DataFrame:
+        """Numbers of shared, missing and added tables per mapping class."""
+        offered, extra = self.outputs()
+        is_write = F.col("use") == "write"
+        own = self._target_tables(offered, extra).groupBy("t_key").agg(
+            F.count_if((F.col("use") == "read") & F.col("received")).alias("n_shared"),
+            F.count_if(is_write & F.col("received")).alias("kept"), F.count_if(is_write & ~F.col("received")).alias("n_added"))
+        of_class = offered.groupBy("t_coarse").agg(F.count("*").alias("of_class"))
+        of_extra = extra.groupBy("t_key").agg(F.count("*").alias("of_extra"))
+        n1 = self.n1.join(of_class, "t_coarse", "left").join(of_extra, "t_key", "left").join(own, "t_key", "left") \
+            .fillna(0, ["of_class", "of_extra", "n_shared", "kept", "n_added"])
+        n1 = n1.select(F.lit("N:1").alias("kind"), F.col("t_key").alias("anchor_key"), "n_shared",
+                       (F.col("of_class") + F.col("of_extra") - F.col("kept")).alias("n_missing"), "n_added")
+        counted = self._free_tables().groupBy("anchor_key").agg(*[
+            F.count_if(F.col("relation") == r).alias(f"n_{r}") for r in ("shared", "missing", "added")])
+        free = self.free().select(F.when(F.col("partners") > 1, "1:N").otherwise("1:1").alias("kind"), F.col("key").alias("anchor_key")) \
+            .join(counted, "anchor_key", "left").fillna(0, ["n_shared", "n_missing", "n_added"])
+        return n1.unionByName(free.select(*n1.columns))
+
+    def missing_tables(self) -> DataFrame:
+        """Distinct tables that some mapping misses in its target."""
+        offered, extra = self.outputs()
+        writes = self.pairs.right.select(F.col("key").alias("t_key"), F.explode("target_tables").alias("tab")).join(self.n1, "t_key")
+        size = self.n1.groupBy("t_coarse").agg(F.count("*").alias("targets"))
+        writers = writes.groupBy("t_coarse", "tab").agg(F.count("*").alias("writers"))
+        by_class = offered.join(size, "t_coarse").join(writers, ["t_coarse", "tab"], "left") \
+            .filter(F.coalesce("writers", F.lit(0)) < F.col("targets")).select("tab")
+        by_extra = extra.join(writes.select("t_key", "tab"), ["t_key", "tab"], "left_anti").select("tab")
+        free = self._free_tables().filter(F.col("relation") == "missing").select("tab")
+        return by_class.unionByName(by_extra).unionByName(free).distinct()
+
+    def expand_missing(self, anchors: DataFrame) -> DataFrame:
+        """Missing tables of chosen N:1 mappings (column `anchor_key`), as rows."""
+        offered, extra = self.outputs()
+        chosen = self.n1.join(anchors.select(F.col("anchor_key").alias("t_key")).distinct(), "t_key", "left_semi")
+        rows = chosen.join(offered, "t_coarse").select("t_key", "tab").unionByName(
+            extra.join(chosen.select("t_key"), "t_key", "left_semi"))
+        writes = self.pairs.right.select(F.col("key").alias("t_key"), F.explode("target_tables").alias("tab"))
+        return rows.join(writes, ["t_key", "tab"], "left_anti").select(
+            F.lit("N:1").alias("kind"), F.col("t_key").alias("anchor_key"), "tab", F.lit("missing").alias("relation"))
+
     def mapped(self, side: str) -> DataFrame:
         """Signature classes of one side with at least one partner."""
         return (self.targets if side == "target" else self.sources).select("key", "members")
@@ -452,38 +502,24 @@ def mappings_for(mappings: Mappings, sigs: DataFrame, source: str, target: str,
 
     Only the workflows that fit the name are expanded to their partners' anchors.
     """
-    fits = lambda system: members(sigs, system).filter(F.lower("name").contains(text.lower()))
     p = mappings.pairs
-    hit_s = fits(source).select("key").distinct().join(p.left.select("key", "coarse"), "key")
-    # sources that fit -> anchors: their N:1 targets, else their own row
-    n1 = mappings.targets.filter(F.col("partners") > 1)
-    near = p.accepted_close().join(hit_s.select(F.col("key").alias("s_key")), "s_key", "left_semi").select(F.col("t_key").alias("key"))
-    far_t = (p.coarse.join(hit_s.groupBy(F.col("coarse").alias("s_coarse")).agg(F.count("*").alias("fit")), "s_coarse")
-             .groupBy("t_coarse").agg(F.sum("fit").alias("fit")))
-    near_fit = (p.close.join(hit_s.select(F.col("key").alias("s_key")), "s_key", "left_semi")
-                .join(p.coarse.select("s_coarse", "t_coarse"), ["s_coarse", "t_coarse"], "left_semi")
-                .groupBy(F.col("t_key").alias("key")).agg(F.count("*").alias("near_fit")))
-    far = (n1.join(far_t, n1["coarse"] == far_t["t_coarse"]).join(near_fit, "key", "left")
-           .filter(F.col("fit") > F.coalesce("near_fit", F.lit(0))).select("key"))
-    n1_keys = near.unionByName(far).distinct().join(n1.select("key"), "key", "left_semi")
-    table = mapping_table(mappings, sigs, source, target)
-    by_source_n1 = members(sigs, target).join(n1_keys, "key").select(F.col("name").alias("anchor")).distinct() \
-        .withColumn("anchor_side", F.lit("target")).withColumn("matched_side", F.lit("source"))
-    by_source = fits(source).select(F.col("name").alias("anchor")).withColumn("anchor_side", F.lit("source")) \
-        .withColumn("matched_side", F.lit("source"))
-    by_target_n1 = fits(target).select(F.col("name").alias("anchor")).withColumn("anchor_side", F.lit("target")) \
-        .withColumn("matched_side", F.lit("target"))
-    # targets that fit and hang on a free source: that source is the anchor
-    free = mappings.sources.join(mappings.used, "key", "left_anti").select(
-        F.col("key").alias("s_key"), F.col("coarse").alias("s_coarse"))
-    hit_t = fits(target).select("key").distinct().join(p.right.select("key", "coarse"), "key")
-    t_near = p.accepted_close().join(hit_t.select(F.col("key").alias("t_key")), "t_key", "left_semi") \
-        .join(free.select("s_key"), "s_key", "left_semi").select(F.col("s_key").alias("key"))
-    t_far = (free.join(p.coarse.select("s_coarse", "t_coarse"), "s_coarse")
-             .join(hit_t.select(F.col("key").alias("t_key"), F.col("coarse").alias("t_coarse")), "t_coarse")
-             .join(p.close.select("s_key", "t_key"), ["s_key", "t_key"], "left_anti").select(F.col("s_key").alias("key")))
-    by_target = members(sigs, source).join(t_near.unionByName(t_far).distinct(), "key") \
-        .select(F.col("name").alias("anchor")).distinct() \
-        .withColumn("anchor_side", F.lit("source")).withColumn("matched_side", F.lit("target"))
-    hits = by_source_n1.unionByName(by_source).unionByName(by_target_n1).unionByName(by_target)
-    return table.join(hits, ["anchor", "anchor_side"])
+    fits = lambda system: members(sigs, system).filter(F.lower("name").contains(text.lower()))
+    keys = lambda system, own: fits(system).select("key").distinct().join(own.select("key", "coarse"), "key")
+    hit_s, hit_t = keys(source, p.left), keys(target, p.right)
+    pick = lambda df, c: df.select(F.col(c).alias("key"))
+    # sources that fit: the N:1 targets they feed, else their own row
+    near = p.accepted_close().join(pick(hit_s, "key").withColumnRenamed("key", "s_key"), "s_key", "left_semi")
+    feeding = p.coarse.join(hit_s.select(F.col("coarse").alias("s_coarse")).distinct(), "s_coarse", "left_semi").select("t_coarse").distinct()
+    fed = pick(near, "t_key").unionByName(pick(mappings.n1.join(feeding, "t_coarse", "left_semi"), "t_key")).distinct() \
+        .join(pick(mappings.n1, "t_key"), "key", "left_semi")
+    # targets that fit: their own N:1 row, else the free source they hang on
+    free = mappings.free().select(F.col("key").alias("s_key"), F.col("coarse").alias("s_coarse"))
+    t_near = p.accepted_close().join(hit_t.select(F.col("key").alias("t_key")), "t_key", "left_semi").join(free, "s_key", "left_semi")
+    reached = p.coarse.join(hit_t.select(F.col("coarse").alias("t_coarse")).distinct(), "t_coarse", "left_semi").select("s_coarse").distinct()
+    hung = pick(t_near, "s_key").unionByName(pick(free.join(reached, "s_coarse", "left_semi"), "s_key")).distinct()
+    named = lambda df, side, matched: df.select(F.col("name").alias("anchor")).distinct() \
+        .withColumn("anchor_side", F.lit(side)).withColumn("matched_side", F.lit(matched))
+    hits = named(members(sigs, target).join(fed, "key"), "target", "source") \
+        .unionByName(named(fits(source), "source", "source")).unionByName(named(fits(target), "target", "target")) \
+        .unionByName(named(members(sigs, source).join(hung, "key"), "source", "target"))
+    return mapping_table(mappings, sigs, source, target).join(hits, ["anchor", "anchor_side"])

@@ -51,11 +51,11 @@ def validate_migration(scripts: DataFrame, source: str, target: str, threshold:
     maps = workflow_mapping.group_mappings(sigs, source, target, threshold)
     report = workflow_mapping.migration_report(maps, sigs, source, target)
     found = workflow_mapping.migration_gaps(maps, sigs, source, target)
-    diff = maps.table_diff()
     critical = found.agg(F.count_if(F.col("severity") == "critical").alias("n"))
-    missing = diff.filter(F.col("relation") == "missing").agg(F.countDistinct("tab").alias("n"))
+    lost = maps.missing_tables()
+    missing = lost.agg(F.count("*").alias("n"))
     return {"signatures": sigs, "mappings": workflow_mapping.mapping_table(maps, sigs, source, target),
-            "table_diff": diff, "report": report, "gaps": found,
+            "table_diff": maps.table_diff(), "table_counts": maps.table_counts(), "missing_tables": lost, "report": report, "gaps": found,
             "recommendations": workflow_mapping.migration_recommendations(report, critical, missing)}
 
 

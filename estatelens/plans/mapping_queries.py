@@ -119,12 +119,35 @@ def group_mappings(spark, folder):
     return wm.mapping_table(m, all_sigs, SRC, TGT)
 
 
-@query("mapping_table_diff", views=("scripts",), oracle=f"WITH {SIG},{ALL_PAIRS},{MAPS},{DIFFS} SELECT * FROM diffs")
+def anchors(all_sigs):
+    """Workflow names of both sides by kind of mapping they can anchor."""
+    side = lambda system, kinds: wm.members(all_sigs, system).select(
+        F.col("key").alias("anchor_key"), F.col("name").alias("anchor"), F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+    return side(TGT, ["N:1"]).unionByName(side(SRC, ["1:N", "1:1"]))
+
+
+@query("mapping_table_diff", views=("scripts",), oracle=f"""
+WITH {SIG},{ALL_PAIRS},{MAPS},{DIFFS} SELECT * FROM diffs WHERE NOT (kind = 'N:1' AND relation = 'missing')
+""")
 def mapping_table_diff(spark, folder):
     m, all_sigs = maps(spark, folder)
-    names = wm.members(all_sigs, SRC).unionByName(wm.members(all_sigs, TGT)).select(
-        F.col("key").alias("anchor_key"), F.col("name").alias("anchor"))
-    return m.table_diff().join(names, "anchor_key").select("kind", "anchor", "tab", "relation")
+    return m.table_diff().join(anchors(all_sigs), ["anchor_key", "kind"]).select("kind", "anchor", "tab", "relation")
+
+
+@query("mapping_table_counts", views=("scripts",), oracle=f"""
+WITH {SIG},{ALL_PAIRS},{MAPS},{DIFFS} SELECT m.kind, m.anchor, count(*) FILTER (relation = 'shared') AS n_shared, count(*) FILTER (relation = 'missing') AS n_missing, count(*) FILTER (relation = 'added') AS n_added
+FROM maps m LEFT JOIN diffs d ON d.kind = m.kind AND d.anchor = m.anchor GROUP BY 1, 2
+""")
+def mapping_table_counts(spark, folder):
+    m, all_sigs = maps(spark, folder)
+    return m.table_counts().join(anchors(all_sigs), ["anchor_key", "kind"]).select("kind", "anchor", "n_shared", "n_missing", "n_added")
+
+
+@query("missing_output_tables", views=("scripts",), oracle=f"""
+WITH {SIG},{ALL_PAIRS},{MAPS},{DIFFS} SELECT DISTINCT tab FROM diffs WHERE relation = 'missing'
+""")
+def missing_output_tables(spark, folder):
+    return maps(spark, folder)[0].missing_tables()
 
 
 @query("mapping_stats", views=("scripts",), oracle=f"""
@@ -167,7 +190,7 @@ UNION ALL SELECT 'missing_tables', CAST(missing AS DOUBLE) FROM r WHERE missing
 def migration_recommendations(spark, folder):
     m, all_sigs = maps(spark, folder)
     critical = wm.migration_gaps(m, all_sigs, SRC, TGT).agg(F.count_if(F.col("severity") == "critical").alias("n"))
-    missing = m.table_diff().filter(F.col("relation") == "missing").agg(F.countDistinct("tab").alias("n"))
+    missing = m.missing_tables().agg(F.count("*").alias("n"))
     return wm.migration_recommendations(wm.migration_report(m, all_sigs, SRC, TGT), critical, missing)
 
 

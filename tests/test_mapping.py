@@ -130,10 +130,17 @@ def test_table_diff_equals_brute_force(spark, hot_limit):
             want |= {(kind, anchor, t, rel) for t in tabs}
     m = wm.group_mappings(sigs, "hadoop", "databricks", hot_limit=hot_limit)
     names = wm.members(sigs, "hadoop").unionByName(wm.members(sigs, "databricks")).select(F.col("key").alias("anchor_key"), "name")
-    got = {(r["kind"], r["name"], r["tab"], r["relation"]) for r in m.table_diff().join(names, "anchor_key").collect()}
-    # classes of equal signatures share their rows: keep the anchors of each kind only
-    got = {g for g in got if (g[0], g[1]) in brute_mappings(pairs)}
+    diff = m.table_diff().unionByName(m.expand_missing(m.rows().select(F.col("target_key").alias("anchor_key"))))
+    got = {(r["kind"], r["name"], r["tab"], r["relation"]) for r in diff.join(names, "anchor_key").collect()}
+    # a source and a target can have equal signatures: keep the anchors of each kind only
+    maps = brute_mappings(pairs)
+    got = {g for g in got if (g[0], g[1]) in maps}
     assert got == want
+    counts = {(r["kind"], r["name"]): (r["n_shared"], r["n_missing"], r["n_added"])
+              for r in m.table_counts().join(names, "anchor_key").collect() if (r["kind"], r["name"]) in maps}
+    number = lambda key, rel: sum(1 for w in want if w[:2] == key and w[3] == rel)
+    assert counts == {k: tuple(number(k, r) for r in ("shared", "missing", "added")) for k in maps}
+    assert {r["tab"] for r in m.missing_tables().collect()} == {w[2] for w in want if w[3] == "missing"}
 
 
 @pytest.mark.parametrize("text", ["h1", "d2", "3"])
