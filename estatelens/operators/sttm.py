@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions.matches import explode_structs
-from estatelens.functions.scale import number_rows
+from estatelens.functions.scale import cut_lineage, number_rows
 from estatelens.functions.text import as_col, hive_datatype, line_for_column, short_id
 
 # --- Fixed values: columns of the report --------------------------------------
@@ -78,36 +78,76 @@ def component_mappings(components: DataFrame) -> DataFrame:
     return rows.withColumn("mapping_id", short_id("component_id", "mapping_key")).drop("mapping_key")
 
 
-def cross_process_mappings(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
-    """Field mappings between connected components of matched processes.
+def _with_fields(components: DataFrame, datasets: str, fields: Column) -> DataFrame:
+    rows = components.select("component_id", "process_id", F.array_sort(F.array_distinct(datasets)).alias("sets"),
+                             fields.alias("fields"))
+    return rows.filter(F.size("fields") > 0)
+
+
+def _sides(pairs: DataFrame, source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of the matched processes with the datasets and fields that count."""
+    of = lambda df, side: df.join(pairs.select(F.col(f"{side}_process").alias("process_id")).distinct(), "process_id", "left_semi")
+    read = F.when(F.size("in_fields") > 0, F.col("in_fields")).otherwise(F.col("out_fields"))
+    return (_with_fields(of(source, "source"), "outputs", F.col("out_fields")),
+            _with_fields(of(target, "target"), "inputs", read))
+
+
+CLASS = ["process_id", "sets", "fields"]  # components that agree in these connect and map alike
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    counted = rows.groupBy(*CLASS).agg(F.count("*").alias("n"))
+    return cut_lineage(counted.withColumn("class", F.monotonically_increasing_id()))
+
 
-    Components connect when an output dataset of one is an input dataset of the other.
-    Connections are found on ids only; the schemas join in afterwards.
+def cross_process_classes(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """Field mappings between classes of connected components of matched processes.
+
+    Components connect when an output dataset of one is an input dataset of the other. They
+    are first grouped into classes with the same process, datasets and fields, so a dataset
+    shared by very many components joins a few classes; `n_pairs` tells how many component
+    pairs a row stands for.
     """
-    outs = source.select(F.col("component_id").alias("source_component"), F.col("process_id").alias("source_process"),
-                         F.explode(F.array_distinct("outputs")).alias("dataset")).join(pairs, "source_process")
-    ins = target.select(F.col("component_id").alias("target_component"), F.col("process_id").alias("target_process"),
-                        F.explode(F.array_distinct("inputs")).alias("dataset"))
-    links = outs.join(ins, ["target_process", "dataset"]).select("source_component", "target_component").distinct()
-    left = source.filter(F.size("out_fields") > 0).select(F.col("component_id").alias("source_component"),
-                                                           F.col("out_fields").alias("s_fields"))
-    t_fields = F.when(F.size("in_fields") > 0, F.col("in_fields")).otherwise(F.col("out_fields"))
-    right = target.select(F.col("component_id").alias("target_component"), t_fields.alias("t_fields")) \
-        .filter(F.size("t_fields") > 0)
-    rows = links.join(left, "source_component").join(right, "target_component")
+    return _class_mappings(pairs, *(_classes(side) for side in _sides(pairs, source, target)))
+
+
+def _class_mappings(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in ("class", "process_id", "fields", "n")])
+    outs = left.select(F.col("class").alias("source_class"), F.col("process_id").alias("source_process"),
+                       F.explode("sets").alias("dataset")).join(pairs, "source_process")
+    ins = right.select(F.col("class").alias("target_class"), F.col("process_id").alias("target_process"),
+                       F.explode("sets").alias("dataset"))
+    links = outs.join(ins, ["target_process", "dataset"]).select("source_class", "target_class").distinct()
+    rows = links.join(named(left, "source"), "source_class").join(named(right, "target"), "target_class")
 
     def one(t):
-        hit = first_by_name("s_fields", t["name"])
+        hit = first_by_name("source_fields", t["name"])
         return F.struct(F.coalesce(hit["name"], F.lit("")).alias("source_column"),
                         F.coalesce(hit["type"], F.lit("")).alias("source_type"),
                         t["name"].alias("target_column"), t["type"].alias("target_type"),
                         hit.isNull().alias("is_derived"))
 
-    rows = explode_structs(rows, F.transform("t_fields", one), drop=("s_fields", "t_fields"))
-    return rows.withColumn("mapping_id", short_id("source_component", "target_component", "target_column")) \
+    rows = explode_structs(rows, F.transform("target_fields", one), drop=("source_fields", "target_fields"))
+    return rows.withColumn("n_pairs", F.col("source_n") * F.col("target_n")).drop("source_n", "target_n") \
+        .withColumnsRenamed({"source_process_id": "source_process", "target_process_id": "target_process"}) \
         .withColumn("mapping_type", F.lit("cross_system"))
 
 
+def cross_process_mappings(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """The class mappings listed per component pair, with mapping ids.
+
+    The list is as long as the number of connected pairs; `cross_process_classes` is not.
+    """
+    sides = _sides(pairs, source, target)
+    classes = [_classes(side) for side in sides]
+    rows = _class_mappings(pairs, *classes).drop("n_pairs", "source_process", "target_process")
+    for side, members, own in zip(("source", "target"), sides, classes):
+        ids = members.join(own, CLASS).select(F.col("class").alias(f"{side}_class"), F.col("component_id").alias(f"{side}_component"))
+        rows = rows.join(ids, f"{side}_class")
+    return rows.drop("source_class", "target_class").withColumn(
+        "mapping_id", short_id("source_component", "target_component", "target_column"))
+
+
 def sttm_report(mappings: DataFrame, order: list, process_name="process_name", system="system") -> DataFrame:
     """The 24-column report with ids numbered in the given order."""
     rows = number_rows(mappings, order, name="_no")

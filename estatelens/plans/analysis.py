@@ -42,7 +42,7 @@ def compare_estates(processes: DataFrame, components: DataFrame, source: str, ta
         all_gaps = all_gaps.unionByName(g.select(*GAP_COLUMNS))
     linked = components.withColumn("inputs", F.array("input_dataset")).withColumn("outputs", F.array("output_dataset"))
     return {"pairs": pairs, "gaps": all_gaps.distinct(),
-            "mappings": sttm.cross_process_mappings(pairs, linked, linked)}
+            "mappings": sttm.cross_process_classes(pairs, linked, linked)}
 
 
 def validate_migration(scripts: DataFrame, source: str, target: str, threshold: float = vocab.PAIR_THRESHOLD) -> dict[str, DataFrame]:

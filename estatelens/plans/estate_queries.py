@@ -74,19 +74,38 @@ def basic_mappings(spark, folder):
         "component_id", "source_table", "target_table", "target_column", "target_type", "processing_order", "mapping_type")
 
 
-@query("cross_process_mappings", views=("processes", "component_schemas"), oracle=f"""
-WITH {PROCESS_PAIRS},
-links AS (SELECT DISTINCT s.component_id AS source_component, t.component_id AS target_component, s.out_spec AS ss, CASE t.in_spec WHEN '' THEN t.out_spec ELSE t.in_spec END AS ts
+_LINKS = f"""{PROCESS_PAIRS},
+links AS (SELECT DISTINCT source_process, target_process, s.component_id AS source_component, t.component_id AS target_component, s.out_spec AS ss, CASE t.in_spec WHEN '' THEN t.out_spec ELSE t.in_spec END AS ts
   FROM component_schemas s JOIN pairs ON s.process_id = source_process JOIN component_schemas t ON t.process_id = target_process AND t.input_dataset = s.output_dataset),
 f AS (SELECT *, unnest(string_split(ts, ',')) AS tf FROM links WHERE ss <> '' AND ts <> ''),
-h AS (SELECT *, list_filter(string_split(ss, ','), lambda x: lower(split_part(x, ':', 1)) = lower(split_part(tf, ':', 1)))[1] AS hit FROM f)
+h AS (SELECT *, list_filter(string_split(ss, ','), lambda x: lower(split_part(x, ':', 1)) = lower(split_part(tf, ':', 1)))[1] AS hit FROM f)"""
+
+
+def _linked(spark, folder):
+    return cut_lineage(components(spark, folder).withColumn("inputs", F.array("input_dataset"))
+                       .withColumn("outputs", F.array("output_dataset")))
+
+
+@query("cross_process_classes", views=("processes", "component_schemas"), oracle=f"""
+WITH {_LINKS} SELECT source_process, target_process, coalesce(split_part(hit, ':', 1), '') AS source_column, split_part(tf, ':', 1) AS target_column, hit IS NULL AS is_derived, count(*) AS n_pairs
+FROM h GROUP BY 1, 2, 3, 4, 5
+""")
+def cross_process_classes(spark, folder):
+    """Component pairs per process pair and column mapping."""
+    comps = _linked(spark, folder)
+    rows = st.cross_process_classes(process_pairs(spark, folder), comps, comps)
+    return rows.groupBy("source_process", "target_process", "source_column", "target_column", "is_derived").agg(
+        F.sum("n_pairs").alias("n_pairs"))
+
+
+@query("cross_process_mappings", views=("processes", "component_schemas"), oracle=f"""
+WITH {_LINKS}
 SELECT source_component, target_component, coalesce(split_part(hit, ':', 1), '') AS source_column, coalesce(split_part(hit, ':', 2), '') AS source_type,
   split_part(tf, ':', 1) AS target_column, split_part(tf, ':', 2) AS target_type, hit IS NULL AS is_derived,
   left(md5(concat(source_component, '_', target_component, '_', split_part(tf, ':', 1))), 16) AS mapping_id, 'cross_system' AS mapping_type FROM h
 """)
 def cross_process_mappings(spark, folder):
-    comps = cut_lineage(components(spark, folder).withColumn("inputs", F.array("input_dataset"))
-                        .withColumn("outputs", F.array("output_dataset")))
+    comps = _linked(spark, folder)
     return st.cross_process_mappings(process_pairs(spark, folder), comps, comps)
 
 
