@@ -10,8 +10,6 @@ from estatelens.functions.matches import explode_structs
 from estatelens.functions.text import as_col, contains_any, file_name, find_all, find_many, words
 
 WORKFLOW_SCHEMA = """
-_name STRING, _frequency STRING, _start STRING, _end STRING,
-parameters STRUCT<property: ARRAY<STRUCT<name: STRING, value: STRING>>>,
 action ARRAY<STRUCT<
   _name: STRING,
   spark: STRUCT<master: STRING, jar: STRING, class: STRING, arg: ARRAY<STRING>>,
@@ -29,6 +27,7 @@ action ARRAY<STRUCT<
 ROOT_TAG = r"(?s)^\s*(?:<\?.*?\?>\s*)?(?:<!--.*?-->\s*)*<(?:[\w.-]+:)?([\w.-]+)"
 QUERY_TABLES = [r"(?i)FROM\s+([a-zA-Z0-9_]+)", r"(?i)JOIN\s+([a-zA-Z0-9_]+)",
                 r"(?i)INTO\s+TABLE\s+([a-zA-Z0-9_]+)", r"(?i)INTO\s+([a-zA-Z0-9_]+)"]
+FREQUENCY = r'<[^>]*coordinator-app[^>]*\sfrequency="([^"]*)"'
 SCRIPT_TAGS = r"<(?:[\w-]+:)?(?:script|file|exec|jar|app-path|main-class)>([^<]*)</"
 TABLE_PROPERTY = r"<name>table</name>\s*<value>([^<]+)</value>"
 HDFS_PATH = r'hdfs://[^<>"\s]+'
@@ -86,7 +85,9 @@ def _param_parts(params):
 def oozie_actions(files: DataFrame) -> DataFrame:
     """One row per action: name, type, script, parameters, inputs and outputs by keyword."""
     keep = [c for c in files.columns if c != "content"]
-    rows = parsed(files).select(*keep, F.col("wf._frequency").alias("frequency"), F.explode("wf.action").alias("a"))
+    # the attribute comes from the text: a second use of the parsed struct would parse again
+    rows = parsed(files).select(*keep, F.nullif(F.regexp_extract("content", FREQUENCY, 1), F.lit("")).alias("frequency"),
+                                F.explode("wf.action").alias("a"))
     none = F.array().cast(NO_STRINGS)
     has = lambda t: F.col(f"a.`{t}`").isNotNull()
     kind = F.coalesce(*[F.when(has(t), t) for t in vocab.ACTION_TYPES], F.when(has("workflow"), "coordinator"), F.lit("unknown"))

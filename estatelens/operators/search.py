@@ -157,7 +157,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, text="text") -> DataFrame:
     Only tokens that occur in a query leave their document's row.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    lengths = docs.select("id", F.size(tokens(text)).alias("dl"), tokens(text).alias("ts"))
+    lengths = docs.select("id", tokens(text).alias("ts")).select("id", F.size("ts").alias("dl"), "ts")
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
     found = lengths.select("id", "dl", F.explode("ts").alias("term")).join(
         maybe_broadcast(terms.select("term").distinct()), "term")
