@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estatelens.functions.scale import maybe_broadcast, small_enough
+from estatelens.functions.scale import cut_lineage, maybe_broadcast, small_enough
 from estatelens.functions.text import as_col
 
 MAX_QUERIES = 4096
@@ -116,8 +116,15 @@ def ann_search(docs: DataFrame, queries: DataFrame, k: int, max_distance: float,
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+TOKEN = "[a-z0-9]+"
+
+
 def tokens(text) -> Column:
-    return F.filter(F.split(F.lower(as_col(text)), "[^a-z0-9]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(as_col(text)), F.lit(TOKEN), F.lit(0))
+
+
+def token_count(text) -> Column:
+    return F.regexp_count(F.lower(as_col(text)), F.lit(TOKEN))
 
 
 def vectorize(docs: DataFrame, text="text", key="id") -> DataFrame:
@@ -158,10 +165,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, text="text") -> DataFrame:
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
     lengths = docs.select("id", tokens(text).alias("ts")).select("id", F.size("ts").alias("dl"), "ts")
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    stats = docs.agg(F.count("*").alias("n"), F.avg(token_count(text)).alias("avgdl"))  # one row
     found = lengths.select("id", "dl", F.explode("ts").alias("term")).join(
         maybe_broadcast(terms.select("term").distinct()), "term")
-    tf = found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    # query terms only, so far smaller than the texts; read twice below
+    tf = cut_lineage(found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(stats)).select(
         "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
