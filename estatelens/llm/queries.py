@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from estatelens.llm import ngram_join
+from estatelens.llm import (
+    chat_format, embedding_dedup, language_id, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan, sentencepiece_scan,
+)
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_sentencepiece": sentencepiece_scan.op4_sentencepiece,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_chat_format": chat_format.op6_chat_format,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
+    "op8_packing": packing.op8_packing,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
+#: Operators 2, 4, 5 and 8 rest on a forest, tokenizers and a compressor, which SQL cannot say; tests hold them against plain versions.
 ORACLES = {
+    "op1_license_scan": license_scan.ORACLE.strip(),
+    "op3_secret_scan": secret_scan.ORACLE.strip(),
+    "op6_chat_format": chat_format.ORACLE.strip(),
+    "op7_embedding_dedup": embedding_dedup.ORACLE.strip(),
     "op9_ngram_jaccard": ngram_join.ORACLE.strip(),
+    "op10_line_dedup": line_dedup.ORACLE.strip(),
 }
