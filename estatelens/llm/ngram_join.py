@@ -16,6 +16,7 @@ from estatelens.llm.components import connected
 
 BAND_RATIO = 1.5  # largest size of a band over the largest size of the band below
 SEGMENT = 6.5  # n-grams that a segment of the largest set of a band should hold at least
+LEVELS = 24  # seeds tried before empty segments are indexed too
 BLOCK = 2_000_000  # n-grams of a cluster that one side of a verification task holds
 PIECE = 1 << 20  # bytes of a text hashed at once
 
@@ -87,8 +88,9 @@ class Schemes:
     sum v_i = H + 1 + slack. If every segment differed in at least v_i n-grams, the sets would differ
     in more than H: so linked sets share a signature. Empty segments give no signature; a set whose
     empty segments use up more than the slack is partitioned again with the next seed until one does
-    not. The smaller of two linked sets is in the same band or in the one below, and then near its
-    upper edge, so it is indexed for the next band as well.
+    not; after LEVELS seeds, which only tiny sets at low thresholds see, empty segments are indexed
+    too. The smaller of two linked sets may be in a lower band, so a set is indexed for each band above
+    its own that holds sizes it may link with: at high thresholds the next one, if it is near its edge.
     """
 
     def __init__(self, p: int, q: int, loads: dict[int, np.ndarray] | None = None):
@@ -105,8 +107,10 @@ class Schemes:
         band = 0
         while self.edge(band) < size:
             band += 1
-        near = self.q * size >= self.p * (self.edge(band) + 1)
-        return [b for b in (band, band + 1)[: 1 + near] if b > 0]
+        found = [band]
+        while self.q * size >= self.p * (self.edge(found[-1]) + 1):
+            found.append(found[-1] + 1)
+        return [b for b in found if b > 0]
 
     @lru_cache(maxsize=None)
     def shape(self, band: int) -> tuple[int, int, int]:
@@ -143,18 +147,19 @@ class Schemes:
             v, level = self.allocation(band), 0
             while True:
                 where = self.segments(grams, band, level)
+                count = np.bincount(where, minlength=m)
+                total = np.zeros(m, np.uint64)
                 order = np.argsort(where, kind="stable")
-                held = where[order]
-                first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-                count = np.diff(np.append(first, len(held)))
-                used = held[first]
-                total = np.add.reduceat(value[order], first)
-                name = mix(used.astype(np.uint64) + np.uint64((band * 4096 + level) << 32), 8)
-                out.append(mix(total + name, 9))
-                deletes = np.repeat((v[used] == 2) & (count > 1), count)
-                out.append(mix(np.repeat(total, count)[deletes] - value[order][deletes] + np.repeat(name, count)[deletes], 9))
-                lost = v.sum() - v[used].sum() + ((v[used] == 2) & (count == 1)).sum()
-                if lost <= slack:
+                used = np.flatnonzero(count)
+                total[used] = np.add.reduceat(value[order], np.concatenate([[0], np.cumsum(count[used])[:-1]]))
+                name = mix(np.arange(m, dtype=np.uint64) + np.uint64((band * 4096 + level) << 32), 8)
+                last = level == LEVELS
+                named = np.arange(m) if last else used
+                out.append(mix(total[named] + name[named], 9))
+                deletes = (v[where] == 2) & ((count[where] > 1) | last)
+                out.append(mix(total[where[deletes]] - value[deletes] + name[where[deletes]], 9))
+                lost = v[count == 0].sum() + ((v == 2) & (count == 1)).sum()
+                if m == 1 or last or lost <= slack:
                     break
                 level += 1
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)

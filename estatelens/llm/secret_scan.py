@@ -89,7 +89,7 @@ def _all(a: list[frozenset[str]], b: list[frozenset[str]]) -> list[frozenset[str
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """Clauses of lower-case trigrams: a text that matches has all of one clause. None: scan every text."""
-    clauses = _spelt(re._parser.parse(pattern))[1]
+    clauses = sorted(set(_spelt(re._parser.parse(pattern))[1]), key=sorted)
     return None if not clauses or frozenset() in clauses else clauses
 
 
