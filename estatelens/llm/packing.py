@@ -130,12 +130,15 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.nd
     unit patterns for sizes that ended together they are a basis.
     """
     n = len(sizes)
-    basis, use = np.zeros((n, n)), np.zeros(n)
+    basis, use, inverse, done = np.zeros((n, n)), np.zeros(n), np.zeros((n, n)), []
     for pattern, times, ended in greedy(sizes, demand, capacity):
         basis[ended[0]], use[ended[0]] = pattern, times
-        for i in ended[1:]:
-            basis[i, i] = 1
-    inverse = np.linalg.inv(basis.T)
+        for i in ended:
+            basis[i, i] = max(1, basis[i, i])
+            row = -(basis[done, i][:, None] * inverse[done]).sum(axis=0)  # the basis is triangular in this order
+            row[i] += 1
+            inverse[i] = row / basis[i, i]
+            done.append(i)
     bound = float(demand @ sizes) / capacity
     for _ in range(ROUNDS):
         price = inverse.sum(axis=0)
@@ -143,7 +146,8 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.nd
         bound = max(bound, use.sum() / worth)  # price / worth is feasible for the dual
         if worth <= 1 + 1e-9 or use.sum() <= max(bound * (1 + GAP), bound + 0.5):
             break
-        change = inverse @ pattern
+        held = np.flatnonzero(pattern)
+        change = (inverse[:, held] * pattern[held]).sum(axis=1)
         ratio = np.full(n, np.inf)
         grows = change > 1e-9
         ratio[grows] = np.maximum(use[grows], 0) / change[grows]
