@@ -29,6 +29,13 @@ def per_batch(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in small ones, where a row's results take many times its own room in Python."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a column as UTF-8 bytes; null is empty."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]

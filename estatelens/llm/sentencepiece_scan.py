@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import documents, per_batch, read, stage
+from estatelens.llm.common import documents, per_batch, read, sliced, stage
 
 CHUNK = 16_384  # code points of a chunk; longer documents are cut
 SPACE = "▁"
@@ -56,7 +56,7 @@ class Model:
         """Whether the transition weighs 0."""
         pair = (last, token)
         if pair not in self.known:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             self.known[pair] = self.merged(last + token) == [x for x in pair if x]
         return self.known[pair]
@@ -128,7 +128,7 @@ class Chunk:
                 for last, own in here.items():
                     bits |= own
                     if back is not None:
-                        back.setdefault((p, FRESH), (p - len(last), last))
+                        back.setdefault((p, FRESH), (p, last))
                 here = {FRESH: bits}
             for last, own in here.items():
                 for size in range(1, min(m.longest, self.total - p) + 1):
@@ -155,7 +155,7 @@ class Chunk:
     def transfer(self) -> list[tuple[State, State]]:
         """The finite entries of the transfer matrix: which boundary state leads to which."""
         entries = self.states(self.a)
-        past = [(s, s) for s in entries if s[1] >= self.b]
+        past = [(s, (self.b, self.b) if s[1] == self.b and self.sure(self.b) else s) for s in entries if s[1] >= self.b]
         entries = [s for s in entries if s[1] < self.b]
         if not entries:
             return past
@@ -196,7 +196,7 @@ class Chunk:
 
     def backtrace(self, entry: State, leave: State) -> list[int]:
         """Ids of the tokens between two known states."""
-        if entry == leave and entry[1] >= self.b:
+        if entry[1] >= self.b:
             return []
         places = self.sure_places()
         if places is None or places[0] == places[1]:
@@ -243,7 +243,7 @@ def _all(parts: list[set[tuple[State, State]]], start: State | None, end: State
 def chunks(docs: DataFrame, margin: int, size: int) -> DataFrame:
     """(key, doc_id, k, a, b, total, at, held): every document in chunks; `key` names a row of `docs`."""
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for key, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 s = normal(text or "")
@@ -264,7 +264,7 @@ def transfers(cut: DataFrame, path: str) -> DataFrame:
     """(key, k, total, p, q, r, s): boundary state (p, q) leads to (r, s) through chunk k."""
     def run(batches):
         m = model(path)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for row in batch.to_pylist():
                 out += [(row["key"], row["k"], row["total"], *x, *y) for x, y in Chunk(m, *(row[c] for c in _WORK)).transfer()]
@@ -302,7 +302,7 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
 
     def run(batches):
         m = model(path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows, ids, intact = batch.to_pylist(), [], []
             for row in rows:
                 chunk = Chunk(m, *(row[c] for c in _WORK))
@@ -318,7 +318,7 @@ def decode(chunks: DataFrame, path: str) -> DataFrame:
     """(key, doc_id, text) from the rows of `encode`."""
     def run(batches):
         m = model(path)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.record_batch([*(batch.column(k) for k in range(3)), pa.array([m.decode(i) for i in batch.column(3).to_pylist()], pa.string())],
                                   names=["key", "doc_id", "k", "part"])
 
