@@ -109,16 +109,18 @@ DOCUMENT_LINES = {
 }
 
 
-def to_documents(df: DataFrame, kind: str, key: str, max_items: int = 5, max_chars: int = 300, max_params: int = 10) -> DataFrame:
+def to_documents(df: DataFrame, kind: str, key: str, max_items: int | None = None, max_chars: int | None = None,
+                 max_params: int | None = None) -> DataFrame:
     """Searchable document (id, doc_type, content) per row of facts.
 
-    Datasets, parameters and logic are added when the columns exist, cut to the given caps.
+    Datasets, parameters and logic are added when the columns exist; None: whole, else cut to the caps.
     """
     line = lambda label, c: F.concat(F.lit(f"{label}: "), F.coalesce(
         F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("N/A")) if c in df.columns else F.lit("N/A"))
+    first = lambda c, n: c if n is None else F.slice(c, 1, n)
     parts = [line(label, c) for label, c in DOCUMENT_LINES[kind]]
     if "parameters" in df.columns:
-        shown = F.transform(F.slice(F.map_entries("parameters"), 1, max_params),
+        shown = F.transform(first(F.map_entries("parameters"), max_params),
                             lambda e: F.concat(F.lit("  - "), e["key"], F.lit(": "), e["value"]))
         parts.append(F.when(F.size("parameters") > 0, F.concat(F.lit("\nParameters:\n"), F.array_join(shown, "\n"))))
     if "component_count" in df.columns:
@@ -126,9 +128,10 @@ def to_documents(df: DataFrame, kind: str, key: str, max_items: int = 5, max_cha
     for column, label in (("input_datasets", "\nInput Datasets"), ("output_datasets", "Output Datasets")):
         if column in df.columns:
             parts.append(F.when(F.size(column) > 0, F.concat(
-                F.lit(f"{label}: "), F.array_join(F.slice(column, 1, max_items), ", "))))
+                F.lit(f"{label}: "), F.array_join(first(F.col(column), max_items), ", "))))
     if "logic" in df.columns:
-        parts.append(F.when(F.col("logic") != "", F.concat(F.lit("\nTransformation Logic:\n"), F.left("logic", F.lit(max_chars)))))
+        parts.append(F.when(F.col("logic") != "", F.concat(
+            F.lit("\nTransformation Logic:\n"), F.col("logic") if max_chars is None else F.left("logic", F.lit(max_chars)))))
     return df.select(F.col(key).alias("id"), F.lit(kind).alias("doc_type"), F.concat_ws("\n", *parts).alias("content"))
 
 
@@ -147,13 +150,14 @@ def where_any(docs: DataFrame, types=None, systems=None, type_column="doc_type",
     return docs.filter(F.col(system_column).isin(*systems)) if systems else docs
 
 
-def clean_docs(docs: DataFrame, max_title: int = 500, max_content: int = 50_000) -> DataFrame:
-    """Drops rows without id or content; shortens title and content and flags the latter."""
-    long = F.length("content") > max_content
+def clean_docs(docs: DataFrame, max_title: int | None = None, max_content: int | None = None) -> DataFrame:
+    """Drops rows without id or content; shortens title and content to the lengths given and flags the latter."""
+    long = F.lit(False) if max_content is None else F.length("content") > max_content
+    title, content = F.coalesce("title", F.lit("")), F.col("content")
     return docs.filter((F.coalesce(F.col("id").cast("string"), F.lit("")) != "") & (F.coalesce("content", F.lit("")) != "")) \
-        .withColumn("title", F.left(F.coalesce("title", F.lit("")), F.lit(max_title))) \
+        .withColumn("title", title if max_title is None else F.left(title, F.lit(max_title))) \
         .withColumn("truncated", long) \
-        .withColumn("content", F.when(long, F.left("content", F.lit(max_content))).otherwise(F.col("content")))
+        .withColumn("content", content if max_content is None else F.when(long, F.left("content", F.lit(max_content))).otherwise(content))
 
 
 def stem_of_graph(name) -> Column:

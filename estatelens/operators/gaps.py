@@ -136,7 +136,7 @@ def missing_rules(steps: DataFrame, source: str, target: str, min_chars: int = 1
     return rules(source).join(rules(target), "rule", "left_anti")
 
 
-def rule_gaps(steps: DataFrame, source: str, target: str, sample: int = 5) -> DataFrame:
+def rule_gaps(steps: DataFrame, source: str, target: str, sample: int) -> DataFrame:
     """One row: number of missing rules and the first few of them in sort order."""
     lost = missing_rules(steps, source, target)
     first = lost.orderBy("rule").limit(sample).agg(F.array_sort(F.collect_list("rule")).alias("sample_rules"))

@@ -17,13 +17,16 @@ SHORT_CONDITION = r"(?i)\b([sfdrntp])\(([^)]+)\)"
 LONG_CONDITION = r"(?i)\b(success|done|failure|running|terminated|notrunning)\(([^)]+)\)"
 
 
-def keyword_hits(content, keywords=None, n_lines: int = 20) -> Column:
+SNIFF_LINES = 20  # fixed value: lines of a file that tell its format
+
+
+def keyword_hits(content, keywords=None, n_lines: int = SNIFF_LINES) -> Column:
     """How many keywords occur in the first lines of a text."""
     head = F.lower(F.array_join(F.slice(F.split(as_col(content), NEWLINE), 1, n_lines), NEWLINE))
     return F.size(F.filter(words(keywords or vocab.JIL_KEYWORDS), lambda k: head.contains(k)))
 
 
-def sniff_format(files: DataFrame, keywords=None, n_lines: int = 20, min_hits: int = 2) -> DataFrame:
+def sniff_format(files: DataFrame, keywords=None, n_lines: int = SNIFF_LINES, min_hits: int = 2) -> DataFrame:
     """Files whose first lines show at least `min_hits` keywords."""
     return files.withColumn("hits", keyword_hits("content", keywords, n_lines)).filter(F.col("hits") >= min_hits)
 

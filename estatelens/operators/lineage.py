@@ -6,12 +6,20 @@ shared folder, so plans stay short and a lost executor costs one level at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions.scale import cut_lineage
 
 
+def _rounds(most: int | None) -> Iterable[int]:
+    """1, 2, ... up to `most`; None: as long as the loop finds something."""
+    return count(1) if most is None else range(1, most + 1)
+
+
 def lineage_graph(locations: DataFrame, script="script") -> DataFrame:
     """Edges (source_id, target_id, edge_type, script) between locations and scripts.
 
@@ -38,8 +46,8 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["source_id", "target_id", "edge_type"])
 
 
-def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", max_depth: int = 10) -> DataFrame:
-    """Nodes within `max_depth` steps of the start nodes, with the least depth.
+def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
+    """Nodes that the start nodes reach, within `max_depth` steps if given, with the least depth.
 
     `edges` has (src, dst), `starts` has (node). Start nodes are not returned; cycles end
     because visited nodes never enter the frontier again.
@@ -48,7 +56,7 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", ma
     steps = cut_lineage(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     frontier = starts.select("node").distinct()
     visited = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    for depth in _rounds(max_depth):
         # frontier nodes are unique, so a node with very many edges is only read, not multiplied
         found = steps.join(frontier, "node").select(F.col("next").alias("node")).distinct()
         frontier = cut_lineage(found.join(visited.select("node"), "node", "left_anti"))
@@ -58,7 +66,7 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", ma
     return visited.filter(F.col("depth") > 0)
 
 
-def trace_table(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops: int = 10) -> DataFrame:
+def trace_table(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Hops from tables through the scripts that read them to the tables those write.
 
     `reads` and `writes` have (script, tab), `start` has (tab). A script is visited once, at
@@ -67,7 +75,7 @@ def trace_table(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops:
     reads = cut_lineage(reads.select("script", "tab").distinct())
     writes = cut_lineage(writes.select("script", "tab").distinct())
     frontier, hops = start.select("tab").distinct(), None
-    for hop in range(1, max_hops + 1):
+    for hop in _rounds(max_hops):
         scripts = reads.join(frontier, "tab").select("script").distinct()
         if hops is not None:
             scripts = scripts.join(hops.select("script"), "script", "left_anti")
@@ -84,7 +92,7 @@ def trace_table(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops:
         .select("hop", "script", "source_table", "target_table")
 
 
-def trace_column(lineage: DataFrame, start: DataFrame, max_hops: int = 10) -> DataFrame:
+def trace_column(lineage: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Steps of columns across scripts: rows of `lineage` with their first hop number.
 
     `lineage` has (script, source_table, source_column, target_table, target_column),
@@ -94,7 +102,7 @@ def trace_column(lineage: DataFrame, start: DataFrame, max_hops: int = 10) -> Da
     known = start.select("tab", "col").distinct()
     frontier, out = known, None
     source = (F.col("source_table") == F.col("tab")) & (F.col("source_column") == F.col("col"))
-    for hop in range(1, max_hops + 1):
+    for hop in _rounds(max_hops):
         step = cut_lineage(rows.join(frontier, source, "left_semi").withColumn("hop", F.lit(hop)))
         if step.isEmpty():
             break
@@ -111,7 +119,7 @@ def hop_graph(hops: DataFrame) -> DataFrame:
     return hops.select(node("source").alias("from_node"), node("target").alias("to_node"), "script").distinct()
 
 
-def topo_layers(edges: DataFrame, max_layers: int = 1000) -> DataFrame:
+def topo_layers(edges: DataFrame) -> DataFrame:
     """Layer per node of an acyclic graph; nodes on or behind a cycle get no layer.
 
     `edges` has (src, dst). Each round removes the nodes without a remaining predecessor;
@@ -121,7 +129,7 @@ def topo_layers(edges: DataFrame, max_layers: int = 1000) -> DataFrame:
     nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     heads = lambda e: e.select(F.col("dst").alias("node")).distinct()
     layers, waiting = None, left.select(F.col("src").alias("node")).distinct()
-    for layer in range(max_layers):
+    for layer in count():
         free = cut_lineage(waiting.join(heads(left), "node", "left_anti").withColumn("layer", F.lit(layer)))
         if free.isEmpty():
             break
@@ -164,7 +172,7 @@ def lift_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("src", "dst", "source_graph", "target_graph")
 
 
-def nested_io(parents: DataFrame, io: DataFrame, max_levels: int = 20) -> DataFrame:
+def nested_io(parents: DataFrame, io: DataFrame) -> DataFrame:
     """Inputs and outputs of nested workflows added to every workflow above them.
 
     `parents` has (parent, child), `io` has (workflow, direction, dataset). Only facts that
@@ -174,7 +182,7 @@ def nested_io(parents: DataFrame, io: DataFrame, max_levels: int = 20) -> DataFr
     new = cut_lineage(io.select("workflow", "direction", "dataset").distinct())
     known = new
     key = ["workflow", "direction", "dataset"]
-    for _ in range(max_levels):
+    while True:
         moved = new.join(links, new["workflow"] == links["child"]).select(
             F.col("parent").alias("workflow"), "direction", "dataset").distinct()
         new = cut_lineage(moved.join(known, key, "left_anti"))

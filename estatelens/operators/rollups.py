@@ -75,33 +75,34 @@ def sequence_edges(actions: DataFrame, workflow: str, action: str, order: list)
         (F.col("position") == 1).alias("from_entry"), (F.col("position") + 1 == F.col("last")).alias("to_exit"))
 
 
-def flow_text(actions: DataFrame, workflow: str, name: str, kind: str, order: list, limit: int = 10) -> DataFrame:
-    """Text of the first actions per workflow and how many more there are.
+def flow_text(actions: DataFrame, workflow: str, name: str, kind: str, order: list, limit: int | None = None) -> DataFrame:
+    """Text of all actions per workflow, or of the first `limit` and how many more there are.
 
     Row numbers up to a limit let Spark keep `limit` rows per workflow and task before the
     shuffle; only those rows are put together.
     """
     first = actions.withColumn("_no", F.row_number().over(Window.partitionBy(workflow).orderBy(*order))) \
-        .filter(F.col("_no") <= limit)
+        .filter(F.lit(True) if limit is None else F.col("_no") <= limit)
     line = F.concat(F.lit("["), F.col("_no").cast("string"), F.lit("] "), F.col(name), F.lit(" ("), F.col(kind), F.lit(")"))
     texts = first.groupBy(workflow).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_no", line.alias("t")))), lambda s: s["t"]), "\n    ↓\n").alias("shown"))
     totals = actions.groupBy(workflow).agg(F.count("*").alias("actions"))
-    more = F.when(F.col("actions") > limit, F.concat(
+    more = F.lit("") if limit is None else F.when(F.col("actions") > limit, F.concat(
         F.lit("\n    ... and "), (F.col("actions") - limit).cast("string"), F.lit(" more actions"))).otherwise("")
     return texts.join(totals, workflow).select(workflow, "actions", F.concat("shown", more).alias("flow_text"))
 
 
-def diagram_text(edges: DataFrame, workflow: str, src: str, dst: str, order: list, limit: int = 20) -> DataFrame:
-    """Mermaid text of the first edges per workflow."""
+def diagram_text(edges: DataFrame, workflow: str, src: str, dst: str, order: list, limit: int | None = None) -> DataFrame:
+    """Mermaid text of all edges per workflow, or of the first `limit`."""
     first = edges.withColumn("_no", F.row_number().over(Window.partitionBy(workflow).orderBy(*order))) \
-        .filter(F.col("_no") <= limit)
+        .filter(F.lit(True) if limit is None else F.col("_no") <= limit)
     safe = lambda c: F.regexp_replace(as_col(c), "[-:]", "_")
     line = F.concat(F.lit("    "), safe(src), F.lit(" --> "), safe(dst))
     return first.groupBy(workflow).agg(F.concat(F.lit("graph TD\n"), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_no", line.alias("t")))), lambda s: s["t"]), "\n")).alias("diagram"))
 
 
-def sample_every(array, step: int = 2, limit: int = 5) -> Column:
-    """Every `step`-th element, at most `limit` of them."""
-    return F.slice(F.filter(as_col(array), lambda x, i: i % step == 0), 1, limit)
+def sample_every(array, step: int, limit: int | None = None) -> Column:
+    """Every `step`-th element, all or the first `limit` of them."""
+    every = F.filter(as_col(array), lambda x, i: i % step == 0)
+    return every if limit is None else F.slice(every, 1, limit)

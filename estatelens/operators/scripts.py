@@ -123,10 +123,12 @@ def file_references(files: DataFrame) -> DataFrame:
     return files.select(*keep, F.explode(refs).alias("reference"))
 
 
-def sttm_from_ddl(scripts: DataFrame, max_columns: int = 20) -> DataFrame:
-    """Target tables of a script times its first typed columns."""
+def sttm_from_ddl(scripts: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """Target tables of a script times its typed columns, all or the first `max_columns`."""
     tables = F.array_distinct(F.concat(find_all("content", INSERT_NAME), find_all("content", DDL_TARGET)))
-    columns = F.slice(find_all("content", TYPED_COLUMN), 1, max_columns)
+    columns = find_all("content", TYPED_COLUMN)
+    if max_columns is not None:
+        columns = F.slice(columns, 1, max_columns)
     pairs = F.flatten(F.transform(tables, lambda t: F.transform(columns, lambda c, i: F.struct(
         t.alias("target_table"), c.alias("target_column"), i.alias("processing_order")))))
     rows = explode_structs(scripts, pairs)

@@ -180,8 +180,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, text="text") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, k: int, depth: int = 50) -> DataFrame:
-    """Text and vector rankings fused by reciprocal rank. Both sides have text and vector."""
+def hybrid_search(docs: DataFrame, queries: DataFrame, k: int, depth: int | None = None) -> DataFrame:
+    """Text and vector rankings fused by reciprocal rank. Both sides have text and vector.
+
+    None fuses the whole rankings; `depth` only their first ranks, which can miss a document.
+    """
+    depth = max(1, docs.count()) if depth is None else depth
     by_text = bm25(docs, queries, depth).select("query_id", "id", "rank")
     by_vector = vector_search(docs, queries, depth).select("query_id", "id", "rank")
     fused = by_text.unionByName(by_vector).groupBy("query_id", "id").agg(
@@ -196,11 +200,11 @@ def topk_per_group(hits: DataFrame, k: int, group: list[str], order: list) -> Da
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def build_context(hits: DataFrame, k: int = 5, max_chars: int = 500) -> DataFrame:
-    """Context text of the top hits per query; three or more hits give high confidence."""
+def build_context(hits: DataFrame, k: int, max_chars: int | None = None) -> DataFrame:
+    """Context text of the top k hits per query, whole or cut to `max_chars`; three or more hits give high confidence."""
     top = hits.filter(F.col("rank") <= k)
     line = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("] Type: "), F.col("doc_type"), F.lit(" | System: "),
-                    F.col("system"), F.lit("\nContent: "), F.left("content", F.lit(max_chars)), F.lit("\n---"))
+                    F.col("system"), F.lit("\nContent: "), F.col("content") if max_chars is None else F.left("content", F.lit(max_chars)), F.lit("\n---"))
     text = top.groupBy("query_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))), lambda s: s["t"]), "\n").alias("context"))
     total = hits.groupBy("query_id").agg(F.count("*").alias("total_results"))

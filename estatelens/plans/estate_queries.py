@@ -265,7 +265,7 @@ WITH {STEPS}, long_lost AS (SELECT DISTINCT condition FROM steps WHERE system =
 SELECT 'missing_business_logic' AS gap_type, 'high' AS severity, count(*) AS missing_rules, array_to_string(list_sort(list(condition))[1:5], '|') AS sample_rules FROM long_lost
 """)
 def rule_gaps(spark, folder):
-    return gp.rule_gaps(steps(spark, folder), SRC, TGT)
+    return gp.rule_gaps(steps(spark, folder), SRC, TGT, sample=5)
 
 
 @query("missing_rules", views=("scripts",), oracle=f"""
@@ -567,7 +567,7 @@ SELECT wf, actions, concat(string_agg(concat('[', CAST(no AS VARCHAR), '] ', act
   CASE WHEN actions > 10 THEN concat(chr(10), '    ... and ', CAST(actions - 10 AS VARCHAR), ' more actions') ELSE '' END) AS flow_text FROM n WHERE no <= 10 GROUP BY wf, actions
 """)
 def flow_text(spark, folder):
-    return ru.flow_text(_actions(spark, folder), "wf", "action", "kind", ["l_orderkey", "l_linenumber", "action"])
+    return ru.flow_text(_actions(spark, folder), "wf", "action", "kind", ["l_orderkey", "l_linenumber", "action"], 10)
 
 
 @query("diagram_text", views=("edges",), oracle="""
@@ -576,14 +576,14 @@ SELECT src, concat('graph TD', chr(10), string_agg(concat('    ', src, ' --> ',
 """)
 def diagram_text(spark, folder):
     edges = view(spark, folder, "edges").select(F.col("src").alias("wf"), "src", "dst")
-    return ru.diagram_text(edges, "wf", "src", "dst", ["dst"]).withColumnRenamed("wf", "src")
+    return ru.diagram_text(edges, "wf", "src", "dst", ["dst"], 20).withColumnRenamed("wf", "src")
 
 
 @query("sample_every", views=("scripts",), oracle="""
 SELECT script_id, array_to_string(list_filter(string_split(content, ' '), lambda x, i: i % 2 = 1)[1:5], '|') AS sampled FROM scripts
 """)
 def sample_every(spark, folder):
-    return view(spark, folder, "scripts").select("script_id", ru.sample_every(F.split("content", " ")).alias("sampled"))
+    return view(spark, folder, "scripts").select("script_id", ru.sample_every(F.split("content", " "), 2, 5).alias("sampled"))
 
 
 # --- scalar functions ------------------------------------------------------------------

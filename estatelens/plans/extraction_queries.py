@@ -293,7 +293,7 @@ SELECT file_id, target_table, target_column, processing_order,
 FROM t JOIN c USING (file_id)
 """)
 def sttm_from_ddl(spark, folder):
-    return sc.sttm_from_ddl(files(spark, folder, ".hql", ".sql", columns=("file_id", "path", "content"))).drop("path")
+    return sc.sttm_from_ddl(files(spark, folder, ".hql", ".sql", columns=("file_id", "path", "content")), 20).drop("path")
 
 
 @query("business_keywords", oracle=f"""

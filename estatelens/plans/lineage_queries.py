@@ -506,3 +506,44 @@ WITH {_FILL} SELECT sheet, graph, coalesce(max(value) FILTER (is_summary), '') A
 """)
 def graph_summaries(spark, folder):
     return gr.graph_summaries(view(spark, folder, "summary_rows"))
+
+
+def _chains(spark, folder):
+    """Parts as chains of 30: (j, next one or null)."""
+    last = (F.col("j") % 30 == 29) | (F.col("j") == F.col("top"))
+    p = table(spark, folder, "part").select(F.col("p_partkey").alias("j"))
+    return p.crossJoin(p.agg(F.max("j").alias("top"))).select("j", F.when(~last, F.col("j") + 1).alias("k"))  # one row on the right
+
+
+def _named(letter: str, c: str):
+    return F.concat(F.lit(letter), F.col(c).cast("string"))
+
+
+@query("topo_deep", oracle="""
+SELECT concat('n', CAST(p_partkey AS VARCHAR)) AS node, CAST(p_partkey % 30 AS BIGINT) AS layer FROM part
+WHERE p_partkey % 30 <> 0 OR p_partkey < (SELECT max(p_partkey) FROM part)
+""")
+def topo_deep(spark, folder):
+    return ln.topo_layers(_chains(spark, folder).filter("k is not null").select(_named("n", "j").alias("src"), _named("n", "k").alias("dst")))
+
+
+@query("nested_io_deep", oracle="""
+SELECT concat('w', CAST(a.p_partkey AS VARCHAR)) AS workflow, 'input' AS direction, concat('d', CAST(b.p_partkey AS VARCHAR)) AS dataset
+FROM part a JOIN part b ON (a.p_partkey) // 30 = (b.p_partkey) // 30 AND b.p_partkey >= a.p_partkey
+""")
+def nested_io_deep(spark, folder):
+    c = _chains(spark, folder)
+    parents = c.filter("k is not null").select(_named("w", "j").alias("parent"), _named("w", "k").alias("child"))
+    return ln.nested_io(parents, c.select(_named("w", "j").alias("workflow"), F.lit("input").alias("direction"), _named("d", "j").alias("dataset")))
+
+
+@query("trace_deep", oracle="""
+SELECT CAST(p_partkey % 30 + 1 AS BIGINT) AS hop, concat('s', CAST(p_partkey AS VARCHAR)) AS script,
+  concat('t', CAST(p_partkey AS VARCHAR)) AS source_table, concat('t', CAST(p_partkey + 1 AS VARCHAR)) AS target_table
+FROM part WHERE p_partkey % 30 <> 29 AND p_partkey < (SELECT max(p_partkey) FROM part)
+""")
+def trace_deep(spark, folder):
+    c = _chains(spark, folder).filter("k is not null")
+    reads = c.select(_named("s", "j").alias("script"), _named("t", "j").alias("tab"))
+    writes = c.select(_named("s", "j").alias("script"), _named("t", "k").alias("tab"))
+    return ln.trace_table(reads, writes, c.filter("j % 30 = 0").select(_named("t", "j").alias("tab")))

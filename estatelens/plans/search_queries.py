@@ -141,14 +141,14 @@ SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, 'o_orderkey|o_custkey|o_o
 def profile_csv(spark, folder):
     path = scratch(spark, "orders-csv")
     table(spark, folder, "orders").write.option("header", "true").csv(path)
-    return src.profile_csv(spark, path).drop("preview")
+    return src.profile_csv(spark, path, 10).drop("preview")
 
 
 @query("profile_text", oracle="""
 SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, length(text) AS characters, md5(array_to_string(string_split(text, chr(10))[1:20], chr(10))) AS preview FROM documents
 """)
 def profile_text(spark, folder):
-    p = src.profile_text(texts(spark, folder).select("doc_id", "text"))
+    p = src.profile_text(texts(spark, folder).select("doc_id", "text"), preview=20)
     return p.withColumn("preview", F.md5("preview"))
 
 
@@ -160,21 +160,21 @@ SELECT component_id AS id, 'component' AS doc_type, concat('Component: ', compon
 def to_documents_component(spark, folder):
     c = view(spark, folder, "components").withColumn("name", F.col("component_id")) \
         .withColumn("input_datasets", F.array("input_dataset")).withColumn("output_datasets", F.array("output_dataset"))
-    return dc.to_documents(c, "component", "component_id")
+    return dc.to_documents(c, "component", "component_id", max_items=5, max_chars=300, max_params=10)
 
 
 @query("to_documents_process", views=("processes",), oracle="""
 SELECT process_id AS id, 'process' AS doc_type, concat('Process: ', name, chr(10), 'System: ', system, chr(10), 'Type: N/A', chr(10), 'Description: N/A', chr(10), 'Business Function: ', business_function, chr(10), 'File Path: ', path) AS content FROM processes
 """)
 def to_documents_process(spark, folder):
-    return dc.to_documents(view(spark, folder, "processes"), "process", "process_id")
+    return dc.to_documents(view(spark, folder, "processes"), "process", "process_id", max_items=5, max_chars=300, max_params=10)
 
 
 @query("to_documents_gap", views=("gaps",), oracle="""
 SELECT gap_id AS id, 'gap' AS doc_type, concat('Gap: ', gap_type, chr(10), 'Name: N/A', chr(10), 'Description: N/A', chr(10), 'Severity: ', severity, chr(10), 'Source System: ', source_system, chr(10), 'Target System: N/A', chr(10), 'Impact: N/A', chr(10), 'Recommendation: N/A') AS content FROM gaps
 """)
 def to_documents_gap(spark, folder):
-    return dc.to_documents(view(spark, folder, "gaps"), "gap", "gap_id")
+    return dc.to_documents(view(spark, folder, "gaps"), "gap", "gap_id", max_items=5, max_chars=300, max_params=10)
 
 
 @query("to_documents_sttm", views=("component_schemas",), oracle="""
@@ -184,7 +184,7 @@ def to_documents_sttm(spark, folder):
     c = view(spark, folder, "component_schemas").select(
         "component_id", F.lit("*").alias("source_column"), F.col("input_dataset").alias("source_table"),
         F.lit("*").alias("target_column"), F.col("output_dataset").alias("target_table"), F.col("logic").alias("rule"))
-    return dc.to_documents(c, "sttm", "component_id")
+    return dc.to_documents(c, "sttm", "component_id", max_items=5, max_chars=300, max_params=10)
 
 
 @query("to_documents_transformation", views=("scripts",), oracle=f"""
@@ -194,7 +194,7 @@ FROM (SELECT script_id, unnest(regexp_extract_all(content, {lit(pig.STATEMENTS['
 def to_documents_transformation(spark, folder):
     steps = pig.pig_transformations(view(spark, folder, "scripts").select(F.col("script_id").cast("string").alias("script_id"), "content"))
     steps = steps.filter("step_type = 'filter'").withColumn("kind", F.col("step_type"))
-    return dc.to_documents(steps, "transformation", "script_id")
+    return dc.to_documents(steps, "transformation", "script_id", max_items=5, max_chars=300, max_params=10)
 
 
 @query("to_documents_lineage", views=("scripts",), oracle="""
@@ -203,7 +203,7 @@ FROM scripts WHERE system = 'abinitio'
 """)
 def to_documents_lineage(spark, folder):
     rows = pig.column_lineage(view(spark, folder, "scripts").select(F.col("script_id").cast("string").alias("script_id"), "content"))
-    return dc.to_documents(rows, "lineage", "script_id")
+    return dc.to_documents(rows, "lineage", "script_id", max_items=5, max_chars=300, max_params=10)
 
 
 @query("where_meta", oracle="SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src8'")
@@ -223,7 +223,7 @@ SELECT doc_id AS id, left(text, 500) AS title, md5(left(text, 50000)) AS content
 """)
 def clean_docs(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("text").alias("content"))
-    return dc.clean_docs(docs).withColumn("content", F.md5("content"))
+    return dc.clean_docs(docs, 500, 50_000).withColumn("content", F.md5("content"))
 
 
 def _included(spark, folder):
@@ -391,7 +391,7 @@ SELECT query_id, id, round(score, 6) AS score, rk AS rank FROM (SELECT *, row_nu
 def hybrid_search(spark, folder):
     docs = _text_docs(spark, folder).join(_vectors(spark, folder).select("id", "vector"), "id")
     queries = _phrases(spark).join(_centres(spark, folder), "query_id")
-    return se.hybrid_search(docs, queries, 10)
+    return se.hybrid_search(docs, queries, 10, depth=50)
 
 
 @query("topk_per_group", oracle="""
@@ -410,7 +410,7 @@ SELECT query_id, md5(string_agg(concat('[Source ', CAST(rk AS VARCHAR), '] Type:
 def build_context(spark, folder):
     hits = se.bm25(_text_docs(spark, folder), _phrases(spark), 8)
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("doc_type"), F.col("source").alias("system"), F.col("text").alias("content"))
-    return se.build_context(hits.join(docs, "id")).withColumn("context", F.md5("context"))
+    return se.build_context(hits.join(docs, "id"), 5, 500).withColumn("context", F.md5("context"))
 
 
 @query("merge_hits", views=("scripts",), oracle="""
@@ -471,29 +471,40 @@ def cap_rows(spark, folder):
     return sinks.cap_rows(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 25_000)
 
 
-def _stream_docs(spark, folder):
-    """Documents split into files in the shared folder, then indexed as a stream; returns the output folder."""
-    landing, out = scratch(spark, "landing"), scratch(spark, "index")
+def _indexed(spark, folder):
+    """Two scans of the documents as files; returns the index folder.
+
+    The first scan lacks one file in seven and finds one in fifty empty. In the second, the missing
+    files are there with old time stamps, and one file in eleven has been rewritten.
+    """
+    out = scratch(spark, "index")
+    d = F.col("doc_id")
     docs = table(spark, folder, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.concat_ws(" ", "lang", "source").alias("title"),
-        F.when(F.col("doc_id") % 50 != 0, F.col("text")).alias("content"), F.lit(1).alias("version"))
-    docs.repartition(24).write.parquet(landing)
-    stream = inc.parquet_stream(spark, landing, docs.schema)
-    inc.incremental_index(stream, out, f"{out}-checkpoint")
+        "doc_id", d.cast("string").alias("id"), F.concat_ws(" ", "lang", "source").alias("title"),
+        F.when(d % 50 != 0, F.col("text")).alias("content"), d.cast("string").alias("path"), F.length("text").alias("size"))
+    first = docs.filter(d % 7 != 0).withColumn("modified", F.lit(20240101)).withColumn("version", F.lit(1))
+    rewritten = d % 11 == 0
+    second = docs.withColumn("modified", F.when(rewritten, 20240301).when(d % 7 == 0, 20200101).otherwise(20240101)) \
+        .withColumn("version", F.when(rewritten, 2).otherwise(1)) \
+        .withColumn("content", F.when(rewritten, F.concat("content", F.lit(" v2"))).otherwise(F.col("content")))
+    for scan in (first, second):
+        inc.index_changes(scan.withColumn("file_key", inc.file_key()).drop("doc_id", "path", "size", "modified"), out)
     return out
 
 
 @query("incremental_index", oracle="""
-SELECT CAST(doc_id AS VARCHAR) AS id, concat(lang, ' ', source) AS title, md5(left(text, 50000)) AS content_hash, length(text) > 50000 AS truncated FROM documents WHERE doc_id % 50 <> 0 AND text <> ''
+SELECT CAST(doc_id AS VARCHAR) AS id, concat(lang, ' ', source) AS title,
+  md5(CASE WHEN doc_id % 11 = 0 THEN concat(text, ' v2') ELSE text END) AS content_hash, CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END AS version
+FROM documents WHERE doc_id % 50 <> 0 AND text <> ''
 """)
 def incremental_index(spark, folder):
-    docs = inc.indexed_docs(spark, _stream_docs(spark, folder))
-    return docs.select("id", "title", F.md5("content").alias("content_hash"), "truncated")
+    docs = inc.indexed_docs(spark, _indexed(spark, folder))
+    return docs.select("id", "title", F.md5("content").alias("content_hash"), "version")
 
 
 @query("retry_failed", oracle="SELECT doc_id AS id, lang FROM documents WHERE doc_id % 50 = 0 OR text = ''")
 def retry_failed(spark, folder):
-    failed = inc.failed_docs(spark, _stream_docs(spark, folder)).select(F.col("id").cast("bigint").alias("id"))
+    failed = inc.failed_docs(spark, _indexed(spark, folder)).select(F.col("id").cast("bigint").alias("id"))
     return inc.retry_failed(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang"), failed)
 
 

@@ -42,6 +42,6 @@ def write_by_type(df: DataFrame, path: str, by: str = "gap_type") -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def cap_rows(df: DataFrame, order: list, n: int = 1_000_000) -> DataFrame:
+def cap_rows(df: DataFrame, order: list, n: int) -> DataFrame:
     """The first `n` rows in a stable order, without a single sorting task."""
     return number_rows(df, order, name="_no").filter(F.col("_no") <= n).drop("_no")

@@ -282,7 +282,7 @@ def test_json_source_and_csv_preview(spark, tmp_path):
     got = [(r["id"], r["doc_type"]) for r in src.read_json_items(spark, str(tmp_path / "items.json")).orderBy("item_no").collect()]
     assert got == [("g1", "gap"), ("json_gap_1", "gap")]
     (tmp_path / "t.csv").write_text("a,b\n1,2\n3,4\n")
-    row = src.profile_csv(spark, str(tmp_path / "t.csv")).collect()[0]
+    row = src.profile_csv(spark, str(tmp_path / "t.csv"), 10).collect()[0]
     assert (row["rows"], row["columns"], row["column_names"]) == (2, 2, ["a", "b"]) and len(row["preview"]) == 2
 
 
@@ -322,6 +322,31 @@ def test_script_stream(spark, tmp_path):
     assert [(r["title"], r["content"]) for r in inc.indexed_docs(spark, out).collect()] == [("a.sql", "SELECT 1")]
 
 
+def test_changed_and_old_files_are_indexed(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "o")
+    os.makedirs(folder)
+    (folder / "a.sql").write_text("one")
+    (folder / "b.sql").write_text("two")
+    seen = lambda: {(r["title"], r["content"]) for r in inc.indexed_docs(spark, out).collect()}
+    inc.index_folder(spark, str(folder), "*.sql", out)
+    assert seen() == {("a.sql", "one"), ("b.sql", "two")}
+    (folder / "a.sql").write_text("one, rewritten")
+    (folder / "c.sql").write_text("old")
+    os.utime(folder / "c.sql", (10**9, 10**9))
+    inc.index_folder(spark, str(folder), "*.sql", out)
+    assert seen() == {("a.sql", "one, rewritten"), ("b.sql", "two"), ("c.sql", "old")}
+    rows = spark.read.parquet(out).count()
+    inc.index_folder(spark, str(folder), "*.sql", out)
+    assert spark.read.parquet(out).count() == rows == 4
+
+
+def test_no_row_of_a_batch_is_lost(spark, tmp_path):
+    out = str(tmp_path / "o")
+    rows = spark.createDataFrame([("1", "a", "x", 1), ("", "b", "y", 1), (None, "c", "z", 1), ("4", None, "", 1)], "id string, title string, content string, version int")
+    inc.index_batch(out)(rows, 0)
+    assert inc.indexed_docs(spark, out).count() + inc.failed_docs(spark, out).count() == rows.count()
+
+
 def test_process_document_lists_parameters(spark):
     df = spark.createDataFrame([("p", "n", "s", {"a": "1"}, 3)], "id string, name string, system string, parameters map<string,string>, component_count int")
     text = dc.to_documents(df, "process", "id").collect()[0]["content"]
