@@ -311,9 +311,11 @@ def _ids(pairs):
 
 
 @query("missing_tables", views=("processes", "components"), oracle=f"""
-WITH {PROCESS_PAIRS}, i AS (SELECT DISTINCT process_id AS id, unnest([input_dataset, output_dataset]) AS item FROM components)
+WITH {PROCESS_PAIRS}, i AS (SELECT DISTINCT process_id AS id, unnest([input_dataset, output_dataset]) AS item FROM components),
+lost AS (SELECT source_process, target_process, item FROM pairs JOIN i ON id = source_process
+  EXCEPT SELECT source_process, target_process, item FROM pairs JOIN i ON id = target_process)
 SELECT left(md5(concat('data_', source_process, '_', target_process)), 16) AS gap_id, 'data_coverage' AS gap_type, 'high' AS severity, source_process AS source_id, target_process AS target_id, item
-FROM pairs JOIN i ON id = source_process WHERE NOT EXISTS (SELECT 1 FROM i t WHERE t.id = target_process AND t.item = i.item)
+FROM lost
 """)
 def missing_tables(spark, folder):
     items = view(spark, folder, "components").select(

@@ -127,11 +127,13 @@ def anchors(all_sigs):
 
 
 @query("mapping_table_diff", views=("scripts",), oracle=f"""
-WITH {SIG},{ALL_PAIRS},{MAPS},{DIFFS} SELECT * FROM diffs WHERE NOT (kind = 'N:1' AND relation = 'missing')
+WITH {SIG},{ALL_PAIRS},{MAPS},{DIFFS} SELECT * FROM diffs
 """)
 def mapping_table_diff(spark, folder):
     m, all_sigs = maps(spark, folder)
-    return m.table_diff().join(anchors(all_sigs), ["anchor_key", "kind"]).select("kind", "anchor", "tab", "relation")
+    every = m.rows().select(F.col("target_key").alias("anchor_key"))
+    diff = m.table_diff().unionByName(m.expand_missing(every))
+    return diff.join(anchors(all_sigs), ["anchor_key", "kind"]).select("kind", "anchor", "tab", "relation")
 
 
 @query("mapping_table_counts", views=("scripts",), oracle=f"""
