@@ -149,20 +149,26 @@ def cross_process_mappings(pairs: DataFrame, source: DataFrame, target: DataFram
 
 
 def sttm_report(mappings: DataFrame, order: list, process_name="process_name", system="system") -> DataFrame:
-    """The 24-column report with ids numbered in the given order."""
+    """The 24-column report with ids numbered in the given order.
+
+    Columns of `mappings` that bear the lower-case name of a report column fill it (flags as booleans);
+    without one, keys are N, nullable is Y, confidence 1 and texts are empty.
+    """
     rows = number_rows(mappings, order, name="_no")
+    given = lambda c: F.col(c.lower()) if c.lower() in mappings.columns else F.lit(None)
+    flag = lambda c, default: F.coalesce(F.when(given(c).cast("boolean"), "Y").when(~given(c).cast("boolean"), "N"), F.lit(default))
     known = {
         "STTM_ID": F.format_string("sttm_%05d", "_no"),
         "Process_Name": as_col(process_name), "System": as_col(system),
         "Source_Table": F.col("source_table"), "Source_Column": F.col("source_column"), "Source_Datatype": F.col("source_type"),
         "Target_Table": F.col("target_table"), "Target_Column": F.col("target_column"), "Target_Datatype": F.col("target_type"),
-        "Source_Is_PK": F.lit("N"), "Source_Is_Nullable": F.lit("Y"),
-        "Target_Is_PK": F.lit("N"), "Target_Is_Nullable": F.lit("Y"),
+        "Source_Is_PK": flag("Source_Is_PK", "N"), "Source_Is_Nullable": flag("Source_Is_Nullable", "Y"),
+        "Target_Is_PK": flag("Target_Is_PK", "N"), "Target_Is_Nullable": flag("Target_Is_Nullable", "Y"),
         "Processing_Order": F.col("processing_order"),
         "Transformation_Rule": F.coalesce(F.nullif(F.col("rule"), F.lit("")), F.lit("Direct mapping")),
-        "Mapping_Type": F.col("mapping_type"), "Mapping_Confidence": F.lit(1.0),
+        "Mapping_Type": F.col("mapping_type"), "Mapping_Confidence": F.coalesce(given("Mapping_Confidence").cast("double"), F.lit(1.0)),
     }
-    return rows.select(*[known.get(c, F.lit("")).alias(c) for c in REPORT_COLUMNS])
+    return rows.select(*[known.get(c, F.coalesce(given(c).cast("string"), F.lit(""))).alias(c) for c in REPORT_COLUMNS])
 
 
 def processing_order(components: DataFrame) -> DataFrame:

@@ -369,3 +369,13 @@ def test_answer_context_searches_the_named_system(spark):
     result = analysis.answer_context(asks, docs, 2)
     assert {(r["query_id"], r["id"]) for r in result["hits"].collect()} == {(7, 1), (7, 3), (8, 1), (8, 2)}
     assert {r["query_id"]: r["confidence"] for r in result["context"].collect()} == {7: "medium", 8: "medium"}
+
+
+def test_report_takes_columns_of_the_input(spark):
+    from estatelens.operators import sttm
+    row = ("p", "s", "a", "b", "int", "c", "d", "int", 1, "", "1:1", True, False, 0.5, "by hand")
+    names = ["process_name", "system", "source_table", "source_column", "source_type", "target_table", "target_column", "target_type",
+             "processing_order", "rule", "mapping_type", "source_is_pk", "target_is_nullable", "mapping_confidence", "notes"]
+    got = sttm.sttm_report(spark.createDataFrame([row], names), ["source_column"]).first()
+    assert (got["Source_Is_PK"], got["Target_Is_PK"], got["Target_Is_Nullable"], got["Mapping_Confidence"]) == ("Y", "N", "N", 0.5)
+    assert got["Notes"] == "by hand"
