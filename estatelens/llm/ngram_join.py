@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 from estatelens.llm.common import documents, mix, per_batch, read, stage, utf8
 from estatelens.llm.components import connected
 
-BAND_RATIO = 1.5  # largest size of a band over the largest size of the band below
-SEGMENT = 6.5  # n-grams that a segment of the largest set of a band should hold at least
+BAND_RATIO = 1.4  # largest size of a band over the largest size of the band below
+SEGMENT = 4.5  # n-grams that a segment of the largest set of a band should hold at least
+SPARE = 8.0  # standard deviations of empty segments beyond their mean that the slack covers
+HOT_SHARE = 16  # one text in so many, by hash, is counted to find frequent n-grams
+HOT_COUNT = 4  # texts of these that a frequent n-gram is in at least
+HOT_MOST = 50_000  # frequent n-grams that are left out of segments at first, the most frequent ones
+RARE_LEVELS = 2  # seeds tried without them
 LEVELS = 24  # seeds tried before empty segments are indexed too
 BLOCK = 2_000_000  # n-grams of a cluster that one side of a verification task holds
 PIECE = 1 << 20  # bytes of a text hashed at once
@@ -89,12 +94,15 @@ class Schemes:
     in more than H: so linked sets share a signature. Empty segments give no signature; a set whose
     empty segments use up more than the slack is partitioned again with the next seed until one does
     not; after LEVELS seeds, which only tiny sets at low thresholds see, empty segments are indexed
-    too. The smaller of two linked sets may be in a lower band, so a set is indexed for each band above
+    too. The first RARE_LEVELS seeds leave out frequent n-grams, whose segments would get v = 0: sets
+    differ no more without them, and unrelated texts with a line in common share no segment. Which
+    n-grams these are changes the cost only. The smaller of two linked sets may be in a lower band, so a set is indexed for each band above
     its own that holds sizes it may link with: at high thresholds the next one, if it is near its edge.
     """
 
-    def __init__(self, p: int, q: int, loads: dict[int, np.ndarray] | None = None):
+    def __init__(self, p: int, q: int, loads: dict[int, np.ndarray] | None = None, hot: np.ndarray | None = None):
         self.p, self.q, self.loads = p, q, loads or {}
+        self.hot = np.zeros(0, np.uint64) if hot is None else np.sort(hot)
 
     @lru_cache(maxsize=None)
     def edge(self, band: int) -> int:
@@ -124,7 +132,7 @@ class Schemes:
             none = (1 - 1 / m) ** low if m > 1 else 0.0
             one = low / m * (1 - 1 / m) ** (low - 1) if m > 1 else 0.0
             mean = none * (m + double) + one * double
-            slack = min(2 * m - need, math.ceil(mean + 3 * math.sqrt(mean)) if mean > 0.05 else 0)
+            slack = min(2 * m - need, math.ceil(mean + SPARE * math.sqrt(mean)) if mean > 0.05 else 0)
         return m, need + slack - m, slack
 
     @lru_cache(maxsize=None)
@@ -141,11 +149,20 @@ class Schemes:
         return (((mix(grams, 100 + level) >> np.uint64(32)) * m) >> np.uint64(32)).astype(np.int64)
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
-        out, value = [], mix(grams, 7)
-        for band in self.bands(len(grams)):
+        out, every = [], grams
+        rare = every
+        if len(self.hot):
+            near = np.minimum(np.searchsorted(self.hot, every), len(self.hot) - 1)
+            rare = every[self.hot[near] != every]
+        for band in self.bands(len(every)):
             m, _, slack = self.shape(band)
             v, level = self.allocation(band), 0
             while True:
+                grams = rare if level < RARE_LEVELS else every
+                if not len(grams):
+                    level = RARE_LEVELS
+                    continue
+                value = mix(grams, 7)
                 where = self.segments(grams, band, level)
                 count = np.bincount(where, minlength=m)
                 total = np.zeros(m, np.uint64)
@@ -158,8 +175,8 @@ class Schemes:
                 out.append(mix(total[named] + name[named], 9))
                 deletes = (v[where] == 2) & ((count[where] > 1) | last)
                 out.append(mix(total[where[deletes]] - value[deletes] + name[where[deletes]], 9))
-                lost = v[count == 0].sum() + ((v == 2) & (count == 1)).sum()
-                if m == 1 or last or lost <= slack:
+                lost = v[count == 0].sum() + ((v == 2) & (count == 1)).sum() if m > 1 or level < RARE_LEVELS else 0
+                if last or (lost <= slack and (m > 1 or len(grams) > 1 or len(every) == 1)):
                     break
                 level += 1
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
@@ -229,10 +246,25 @@ def signatures(docs: DataFrame, n: int, schemes: Schemes) -> DataFrame:
     return per_batch(docs, run, "sig long, node long")
 
 
+def frequent(docs: DataFrame, n: int) -> np.ndarray:
+    """N-grams that many texts hold, from a share of all texts; at most HOT_MOST numbers reach the driver."""
+    def run(batches):
+        for batch in batches:
+            sets = [ngram_set(t, n) for t in set(utf8(batch.column(1)))]
+            yield pa.record_batch([pa.array(_signed(np.concatenate(sets) if sets else np.zeros(0, np.uint64)))], names=["g"])
+
+    share = docs.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SHARE)) == 0)
+    top = per_batch(share, run, "g long").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_COUNT) \
+        .orderBy(F.desc("n"), "g").limit(HOT_MOST)
+    found = stage(top.select("g")).toPandas()["g"].to_numpy(np.int64)
+    return found.view(np.uint64) ^ np.uint64(1 << 63)
+
+
 def candidate_edges(rows: DataFrame) -> DataFrame:
     """(a, b): for every two nodes that share a signature, a path between them.
 
-    Rows are dealt by range of (signature, node), so a hot signature spans tasks. A task joins the
+    Rows are dealt by range of (signature, node), so a hot signature spans tasks; they are made twice,
+    for the ranges and for the rows, as that is cheaper than a table of them. A task joins the
     nodes of a run of equal signatures to the run's first node, and reports its first and last
     signature; a run that goes on in the next task is joined there through these ends.
     """
@@ -353,7 +385,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5) -> D
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = stage(classes.where("rep is not null"))
 
-    clusters = connected(candidate_edges(stage(signatures(docs, n, Schemes(p, q, loads)))))
+    clusters = connected(candidate_edges(signatures(docs, n, Schemes(p, q, loads, frequent(docs, n)))))
     members = clusters.select(F.col("node").alias("h1"), F.col("component").alias("root")).join(classes, "h1")
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     members = members.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

@@ -178,10 +178,11 @@ def near_copies(count=60, seed=5):
     return out
 
 
-@pytest.mark.parametrize("n, p, q, block", [(5, 4, 5, None), (3, 9, 10, None), (2, 1, 2, 200)])
+@pytest.mark.parametrize("n, p, q, block", [(5, 4, 5, None), (3, 9, 10, 300), (2, 1, 2, 200)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, n, p, q, block):
     if block:
         monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "HOT_SHARE", 1)
     texts = [None, "", " \n ", "One two", "one  TWO", *near_copies()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(frame(spark, texts), n, p, q).collect()}
     assert got == plain.jaccard(dict(enumerate(texts)), n, p, q)
@@ -190,10 +191,12 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, n, p, q, block):
 @pytest.mark.parametrize("p, q", [(4, 5), (9, 10), (1, 2)])
 def test_every_linked_pair_shares_a_signature(p, q):
     rng = np.random.default_rng(9)
-    schemes = ngram_join.Schemes(p, q, {3: rng.integers(0, 9, ngram_join.Schemes(p, q).shape(3)[0])})
-    for _ in range(1500):
+    hot = rng.integers(0, 2**63, 200).astype(np.uint64)
+    schemes = ngram_join.Schemes(p, q, {3: rng.integers(0, 9, ngram_join.Schemes(p, q).shape(3)[0])}, hot)
+    for _ in range(2500):
         size = int(rng.choice([1, 2, 3, 5, 7, 9, 10, 14, 22, 40, 90, 400]))
-        x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        some = rng.choice(hot, int(rng.integers(0, size + 1)) if rng.random() < 0.5 else 0)
+        x = np.unique(np.concatenate([some, rng.integers(0, 2**63, size - len(some)).astype(np.uint64)]))
         drop = int(rng.integers(0, max(1, size // 3) + 1))
         y = np.unique(np.concatenate([x[drop // 2 :], rng.integers(0, 2**63, drop - drop // 2).astype(np.uint64)]))
         shared = len(np.intersect1d(x, y))
