@@ -241,7 +241,7 @@ def _all(parts: list[set[tuple[State, State]]], start: State | None, end: State
 
 
 def chunks(docs: DataFrame, margin: int, size: int) -> DataFrame:
-    """(key, doc_id, k, a, b, total, at, held): every document in chunks; `key` names a row of `docs`."""
+    """(key, doc_id, k, a, b, total, at, held): rows of (key, doc_id, text) in chunks."""
     def run(batches):
         for batch in sliced(batches):
             out = []
@@ -253,8 +253,7 @@ def chunks(docs: DataFrame, margin: int, size: int) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 7 + [pa.string()])] if out
                                   else [pa.array([], t) for t in [pa.int64()] * 7 + [pa.string()]], names=["key", "doc_id", "k", "a", "b", "total", "at", "held"])
 
-    rows = documents(docs).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    return per_batch(rows, run, "key long, doc_id long, k long, a long, b long, total long, at long, held string")
+    return per_batch(docs, run, "key long, doc_id long, k long, a long, b long, total long, at long, held string")
 
 
 _WORK = ["held", "at", "a", "b", "total"]
@@ -281,7 +280,8 @@ def resolved(found: DataFrame) -> DataFrame:
         path = [(0, 0), *boundaries(parts, (0, 0), (total, total)), (total, total)]
         return pd.DataFrame([(int(rows["key"].iloc[0]), k, *path[k], *path[k + 1]) for k in range(len(parts))], columns=["key", "k", "p", "q", "r", "s"])
 
-    return found.groupBy("key").applyInPandas(solve, "key long, k long, p long, q long, r long, s long")
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but work: else they end up in one task
+    return found.repartition(tasks, "key").groupBy("key").applyInPandas(solve, "key long, k long, p long, q long, r long, s long")
 
 
 def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
@@ -294,24 +294,38 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     without ids. Rows that repeat are documents of their own (`key`); other columns are ignored.
     """
     margin = model(path).longest + 1
-    cut = stage(chunks(docs, margin, size))
-    short = cut.where(F.col("total") <= size).select("key", "doc_id", "k", *_WORK, F.lit(0).alias("p"), F.lit(0).alias("q"), F.col("total").alias("r"), F.col("total").alias("s"))
-    long = cut.where(F.col("total") > size)
-    states = stage(resolved(transfers(long.repartition("key", "k"), path)))
-    long = long.join(states, ["key", "k"]).select("key", "doc_id", "k", *_WORK, "p", "q", "r", "s")
+    long = F.coalesce(F.length("text"), F.lit(0)) >= size  # the leading space is one more
+    rows = documents(docs).select((F.monotonically_increasing_id() * 2 + long.cast("int")).alias("key"), "doc_id", "text")
+    cut = stage(chunks(rows.where(long), margin, size))
+    states = stage(resolved(transfers(cut.repartition("key", "k"), path)))
+    found = cut.join(states, ["key", "k"]).select("key", "doc_id", "k", *_WORK, "p", "q", "r", "s")
 
     def run(batches):
         m = model(path)
         for batch in sliced(batches):
-            rows, ids, intact = batch.to_pylist(), [], []
-            for row in rows:
+            ids, intact = [], []
+            for row in batch.to_pylist():
                 chunk = Chunk(m, *(row[c] for c in _WORK))
                 ids.append(chunk.backtrace((row["p"], row["q"]), (row["r"], row["s"])))
                 intact.append(m.decode(ids[-1]) == chunk.text(row["q"], row["s"]).replace(SPACE, " "))
-            yield pa.record_batch([*(batch.column(k) for k in range(3)), pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())],
-                                  names=["key", "doc_id", "k", "ids", "intact"])
+            yield _encoded(batch.columns[:3], ids, intact)
+
+    def run_short(batches):
+        m = model(path)
+        for batch in sliced(batches):
+            ids, intact = [], []
+            for text in batch.column(2).to_pylist():
+                s = normal(text or "")
+                ids.append(Chunk(m, s, 0, 0, len(s), len(s)).backtrace((0, 0), (len(s), len(s))))
+                intact.append(m.decode(ids[-1]) == s.replace(SPACE, " "))
+            yield _encoded([*batch.columns[:2], pa.array([0] * len(ids), pa.int64())], ids, intact)
+
+    schema = "key long, doc_id long, k long, ids array<int>, intact boolean"
+    return per_batch(rows.where(~long), run_short, schema).union(per_batch(found, run, schema))
+
 
-    return per_batch(short.unionByName(long), run, "key long, doc_id long, k long, ids array<int>, intact boolean")
+def _encoded(names: list[pa.Array], ids: list[list[int]], intact: list[bool]) -> pa.RecordBatch:
+    return pa.record_batch([*names, pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())], names=["key", "doc_id", "k", "ids", "intact"])
 
 
 def decode(chunks: DataFrame, path: str) -> DataFrame:
