@@ -26,6 +26,9 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A raw-content dictionary per language, from a bounded sample of labelled documents that are not held out.
 
+    Each language has up to DICTIONARY bytes of its own texts, whatever the others have. Sizes with
+    unequal dictionaries are compared as they are; the README has the figures for scarce languages.
+
     Each task keeps SAMPLE_DOCS rows of a language before rows move, so a language with most of the
     rows costs no more than another. The driver gets SAMPLE_DOCS * SAMPLE_CHARS characters a language.
     """
@@ -36,9 +39,9 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     texts: dict[str, list[str]] = {}
     for row in sorted(rows):
         texts.setdefault(row["lang"], []).append(row["text"])
-    # the end of a dictionary is cheapest to refer to; all languages get the same share
-    size = min([DICTIONARY, *(len("\n".join(t).encode()) for t in texts.values())])
-    return {lang: "\n".join(t).encode()[-size:] for lang, t in sorted(texts.items()) if size}
+    # the end of a dictionary is cheapest to refer to; a scarce language has a smaller one, and leaves the others theirs
+    whole = {lang: "\n".join(t).encode()[-DICTIONARY:] for lang, t in sorted(texts.items())}
+    return {lang: content for lang, content in whole.items() if content}
 
 
 class Compressors:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -150,6 +151,19 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_a_scarce_language_leaves_the_others_their_dictionaries(spark):
+    docs = read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang")
+    tiny = "zq wexi vorlu plenk drossa miv tarque oblin sefu gan hurt polic"
+    free = next(k for k in range(-1, -99, -1) if zlib.crc32(str(k).encode()) % 4 != 2)
+    found = language_id.learn(docs.union(spark.createDataFrame([(free, tiny, "zq")], "doc_id long, text string, lang string")))
+    assert found.pop("zq") == tiny.encode()
+    assert found == language_id.learn(docs) and {len(c) for c in found.values()} == {language_id.DICTIONARY}
+    rows = language_id.classify(docs, found | {"zq": tiny.encode()}).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.96
+    own = frame(spark, [" ".join(tiny.split()[::-1])])
+    assert [r["lang_pred"] for r in language_id.classify(own, found | {"zq": tiny.encode()}).collect()] == ["zq"]
+
+
 def test_held_out_labels_change_nothing_and_odd_texts(spark):
     docs = read(spark, FOLDER, "documents").select("doc_id", "text", "lang")
     other = docs.withColumn("lang", language_id.F.when(language_id.held_out(language_id.F.col("doc_id")), "zz").otherwise(language_id.F.col("lang")))
