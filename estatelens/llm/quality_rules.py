@@ -17,18 +17,22 @@ FIT_ROWS = 20_000  # labelled rows, by hash of the doc_id, that the trees draw f
 BUCKETS = 4096  # score steps of the calibration
 PRIOR = 100  # words without finds that each text is given besides, so that short texts do not stand out by chance
 LETTERS = 5  # letters of such a word
-GRADES = 20  # steps of a rate of 1
+LINE = 10  # words of a line: PRIOR words are PRIOR / LINE lines
+LONG = 10  # letters a word that count as a word_length of 1
 COST = 20.0  # rejecting a good document counts as this many bad ones kept
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RATES = ["symbols", "capitals", "exclaims"]
+# steps of a rate of 1: wide ones for rates that vary in clean texts, so that the variation stays within a step
+GRADES = {"word_length": 4, "symbols": 20, "dup_lines": 3, "repeat_words": 3, "capitals": 20, "exclaims": 20, "digits": 5, "stutter": 20}
+RATES = list(GRADES)
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(b" \t\n\x0b\f\r")] = 1
 _CLASS[list(SYMBOLS)] = 2
 _CLASS[ord("A") : ord("Z") + 1] = 3
 _CLASS[list(b"!?")] = 4
-_CLASS[0x80:0xC0] = 5  # bytes that go on with a code point
+_CLASS[ord("0") : ord("9") + 1] = 5
+_CLASS[0x80:0xC0] = 6  # bytes that go on with a code point
 
 
 def repeat_words(ids: np.ndarray) -> int:
@@ -51,8 +55,9 @@ def repeat_words(ids: np.ndarray) -> int:
 def describe(data: bytes) -> list[float]:
     """COUNTS, then RATES, of a whole text in UTF-8.
 
-    A rate is symbols a word, capitals A-Z a letter, or marks ! and ? a word, in GRADES steps; within a
-    step texts are alike, so ordinary variation of clean texts isolates nothing.
+    A rate is letters a word (of LONG), symbols a word, repeated lines a line, words in repeated windows a
+    word, capitals A-Z a letter, marks ! and ? a word, digits a letter, or words like the one before a word,
+    in steps by GRADES; within a step texts are alike, so ordinary variation of clean texts isolates nothing.
     """
     words = data.split()
     n = len(words)
@@ -60,11 +65,14 @@ def describe(data: bytes) -> list[float]:
         return [0] * len(COUNTS) + [0.0] * len(RATES)
     place = {w: k for k, w in enumerate(dict.fromkeys(words))}
     ids = np.fromiter(map(place.__getitem__, words), np.int64, n)
-    kinds = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=6)
-    chars = int(len(data) - kinds[1] - kinds[5])
+    kinds = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=7)
+    chars = int(len(data) - kinds[1] - kinds[6])
     lines = [line for line in data.split(b"\n") if line.strip()]
-    rates = [kinds[2] / (n + PRIOR), kinds[3] / (chars + LETTERS * PRIOR), kinds[4] / (n + PRIOR)]
-    return [n, chars, int(kinds[2]), len(lines) - len(set(lines)), repeat_words(ids), *(round(float(r) * GRADES) / GRADES for r in rates)]
+    dup, repeat = len(lines) - len(set(lines)), repeat_words(ids)
+    more, letters = n + PRIOR, chars + LETTERS * PRIOR
+    rates = [letters / more / LONG, kinds[2] / more, dup / (len(lines) + PRIOR / LINE), repeat / more, kinds[3] / letters, kinds[4] / more,
+             kinds[5] / letters, int((ids[1:] == ids[:-1]).sum()) / more]
+    return [n, chars, int(kinds[2]), dup, repeat, *(round(float(r) * g) / g for r, g in zip(rates, GRADES.values()))]
 
 
 def statistics(docs: DataFrame) -> DataFrame:

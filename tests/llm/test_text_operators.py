@@ -94,6 +94,33 @@ def test_forest_keeps_clean_documents_and_rejects_junk(spark):
     assert np.mean(good) >= 0.99 and np.mean(bad) <= 0.1
 
 
+def test_forest_sees_every_rate(spark):
+    rng = random.Random(4)
+    word = lambda low, high: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(low, high)))
+    prose = lambda n, low=3, high=7: [word(low, high) for _ in range(n)]
+    shape = lambda words: "\n".join(" ".join(words[k : k + 10]) for k in range(0, len(words), 10))
+
+    def repeated(k):  # a passage of 35 words twice in 255 or more words, below the base rule, without an equal line
+        words = prose(220 + k)
+        return shape([*words[:105], *words[20:55], *words[105:]])
+
+    junk = {
+        "stutter": lambda k: shape([w for w in prose(60 + k) for _ in range(2 if rng.random() < 0.5 else 1)]),
+        "dup_lines": lambda k: "\n".join(line for j in range(40 + k // 10) for line in [" ".join(prose(5)), *["a b c"] * (j % 2)]),
+        "digits": lambda k: shape([w if rng.random() < 0.6 else str(rng.randrange(10_000, 99_999)) for w in prose(200 + k)]),
+        "word_length": lambda k: shape(prose(200 + k, 10, 16)),
+        "repeat_words": repeated,
+    }
+    rows = [(k, shape(prose(100 + k)), 1, "clean") for k in range(400)]
+    rows += [(1000 * (j + 1) + k, make(k), 0, kind) for j, (kind, make) in enumerate(junk.items()) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int, kind string")
+    got = quality_rules.judge(docs, docs).join(docs.select("doc_id", "kind"), "doc_id").collect()
+    assert not any(r["base_failed"] for r in got)
+    kept = {kind: sum(r["kept"] for r in got if r["kind"] == kind) for kind in ["clean", *junk]}
+    assert kept == {"clean": 400} | dict.fromkeys(junk, 0)
+    assert {r["doc_id"] for r in quality_rules.keep(docs, docs).collect()} == {r["doc_id"] for r in got if r["kept"]}
+
+
 def test_quality_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     docs = frame(spark, ["word " * 30, None, "", " ".join(map(str, range(40)))])
