@@ -377,21 +377,39 @@ def bm25(spark, folder):
     return se.bm25(_text_docs(spark, folder), _phrases(spark), 10)
 
 
-@query("hybrid_search", oracle=f"""
+RANKED = f"""
 WITH {BM}, {VEC}, both_ids AS (SELECT id FROM vec JOIN documents ON doc_id = id),
 tk2 AS (SELECT tk.* FROM tk JOIN both_ids USING (id)), av2 AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tk2),
 hit2 AS (SELECT hit.* FROM hit JOIN both_ids USING (id)),
 idf2 AS (SELECT term, ln(1 + ((SELECT n FROM av2) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM hit2 GROUP BY term),
 bm2 AS (SELECT query_id, id, round(sum(idf * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avgdl FROM av2)))), 6) AS score FROM hit2 JOIN idf2 USING (term) JOIN qt USING (term) GROUP BY query_id, id),
 tr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM bm2),
-vr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rk FROM dist WHERE query_id IN (SELECT query_id FROM ph) AND id IN (SELECT id FROM both_ids)),
+vr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rk FROM dist WHERE query_id IN (SELECT query_id FROM ph) AND id IN (SELECT id FROM both_ids)),"""
+FUSED = "SELECT query_id, id, round(score, 6) AS score, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM fu) z WHERE rk <= 10"
+
+
+def _hybrid(spark, folder, depth=None):
+    docs = _text_docs(spark, folder).join(_vectors(spark, folder).select("id", "vector"), "id")
+    queries = _phrases(spark).join(_centres(spark, folder), "query_id")
+    return se.hybrid_search(docs, queries, 10, depth=depth)
+
+
+@query("hybrid_search", oracle=f"""{RANKED}
 fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rk)), 9) AS score FROM (SELECT * FROM tr WHERE rk <= 50 UNION ALL SELECT * FROM vr WHERE rk <= 50) a GROUP BY query_id, id)
-SELECT query_id, id, round(score, 6) AS score, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM fu) z WHERE rk <= 10
+{FUSED}
 """)
 def hybrid_search(spark, folder):
-    docs = _text_docs(spark, folder).join(_vectors(spark, folder).select("id", "vector"), "id")
-    queries = _phrases(spark).join(_centres(spark, folder), "query_id")
-    return se.hybrid_search(docs, queries, 10, depth=50)
+    """Fuses the first 50 of each ranking."""
+    return _hybrid(spark, folder, depth=50)
+
+
+@query("hybrid_search_whole", oracle=f"""{RANKED}
+fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rk)), 9) AS score FROM (SELECT * FROM tr UNION ALL SELECT * FROM vr) a GROUP BY query_id, id)
+{FUSED}
+""")
+def hybrid_search_whole(spark, folder):
+    """Fuses the whole rankings; k is the only limit."""
+    return _hybrid(spark, folder)
 
 
 @query("topk_per_group", oracle="""

@@ -37,3 +37,8 @@ def test_query(spark, con, name):
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert catalog.FLAGSHIP in catalog.QUERIES
+
+
+def test_whole_hybrid_search_goes_past_rank_50(spark):
+    whole, first = ({(r["query_id"], r["id"]) for r in catalog.QUERIES[name](spark, FOLDER).collect()} for name in ("hybrid_search_whole", "hybrid_search"))
+    assert len(whole) == len(first) == 50 and whole - first
