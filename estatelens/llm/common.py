@@ -41,6 +41,17 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
+def runs(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in runs of about `size` bytes that end before ASCII white space."""
+    at = 0
+    while at < len(data):
+        end = min(at + size, len(data))
+        while end < len(data) and data[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield data[at:end]
+        at = end
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """64 well-spread bits of 64-bit numbers (the finishing steps of splitmix64)."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % 2**64)

@@ -33,7 +33,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == set(map(str, range(1, 11))) and {"pipeline", *queries.QUERIES} <= names.keys()
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES} == set(map(str, range(1, 14))) and {"pipeline", *queries.QUERIES} <= names.keys()
 
 
 def test_stages_equal_the_plain_version(spark):
