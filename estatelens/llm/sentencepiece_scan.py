@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -241,47 +242,54 @@ def _all(parts: list[set[tuple[State, State]]], start: State | None, end: State
 
 
 def chunks(docs: DataFrame, margin: int, size: int) -> DataFrame:
-    """(key, doc_id, k, a, b, total, at, held): rows of (key, doc_id, text) in chunks."""
+    """(key, doc_id, body, k, a, b, total, at, held, marked): rows of (key, doc_id, text) in chunks.
+
+    `body` is a digest of the text, whose copies share their states; `marked`: the chunk holds the mark of a space itself.
+    """
+    names = ["key", "doc_id", "body", "k", "a", "b", "total", "at", "held", "marked"]
+    types = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5, pa.string(), pa.bool_()]
+
     def run(batches):
         for batch in sliced(batches):
             out = []
             for key, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                s = normal(text or "")
+                text = text or ""
+                s, body = normal(text), hashlib.blake2b(text.encode(), digest_size=16).digest()
                 for k, a in enumerate(range(0, max(1, len(s)), size)):
                     b, at = min(len(s), a + size), max(0, a - margin)
-                    out.append((key, doc_id, k, a, b, len(s), at, s[at : b + margin]))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 7 + [pa.string()])] if out
-                                  else [pa.array([], t) for t in [pa.int64()] * 7 + [pa.string()]], names=["key", "doc_id", "k", "a", "b", "total", "at", "held"])
+                    out.append((key, doc_id, body, k, a, b, len(s), at, s[at : b + margin], SPACE in text[max(0, a - 1) : max(0, b - 1)]))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(types), types)], names=names)
 
-    return per_batch(docs, run, "key long, doc_id long, k long, a long, b long, total long, at long, held string")
+    return per_batch(docs, run, "key long, doc_id long, body binary, k long, a long, b long, total long, at long, held string, marked boolean")
 
 
 _WORK = ["held", "at", "a", "b", "total"]
 
 
 def transfers(cut: DataFrame, path: str) -> DataFrame:
-    """(key, k, total, p, q, r, s): boundary state (p, q) leads to (r, s) through chunk k."""
+    """(body, k, total, p, q, r, s): boundary state (p, q) leads to (r, s) through chunk k; once per text."""
     def run(batches):
         m = model(path)
         for batch in sliced(batches):
             out = []
             for row in batch.to_pylist():
-                out += [(row["key"], row["k"], row["total"], *x, *y) for x, y in Chunk(m, *(row[c] for c in _WORK)).transfer()]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 7, names=["key", "k", "total", "p", "q", "r", "s"])
+                out += [(row["body"], row["k"], row["total"], *x, *y) for x, y in Chunk(m, *(row[c] for c in _WORK)).transfer()]
+            columns = list(zip(*out)) or [()] * 7
+            yield pa.record_batch([pa.array(c, pa.int64() if k else pa.binary()) for k, c in enumerate(columns)], names=["body", "k", "total", "p", "q", "r", "s"])
 
-    return per_batch(cut, run, "key long, k long, total long, p long, q long, r long, s long")
+    return per_batch(cut, run, "body binary, k long, total long, p long, q long, r long, s long").distinct()
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """(key, k, p, q, r, s): the one state at both ends of each chunk. A task holds the matrices of one document, a small part of its text."""
+    """(body, k, p, q, r, s): the one state at both ends of each chunk. A task holds the matrices of one text, a small part of it."""
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [set(zip(zip(g["p"], g["q"]), zip(g["r"], g["s"]))) for _, g in rows.groupby("k")]
         total = int(rows["total"].iloc[0])
         path = [(0, 0), *boundaries(parts, (0, 0), (total, total)), (total, total)]
-        return pd.DataFrame([(int(rows["key"].iloc[0]), k, *path[k], *path[k + 1]) for k in range(len(parts))], columns=["key", "k", "p", "q", "r", "s"])
+        return pd.DataFrame([(rows["body"].iloc[0], k, *path[k], *path[k + 1]) for k in range(len(parts))], columns=["body", "k", "p", "q", "r", "s"])
 
     tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but work: else they end up in one task
-    return found.repartition(tasks, "key").groupBy("key").applyInPandas(solve, "key long, k long, p long, q long, r long, s long")
+    return found.repartition(tasks, "body").groupBy("body").applyInPandas(solve, "body binary, k long, p long, q long, r long, s long")
 
 
 def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
@@ -290,15 +298,17 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     The ids of a document's chunks, joined, are those of the library over the whole text. A document of
     at most `size` code points is one chunk between two known states. Longer ones are cut anywhere: each
     chunk gives a transfer matrix between the states of its boundaries, the matrices are multiplied, and
-    each chunk is encoded on its own between the states found. Null and empty texts have one chunk
-    without ids. Rows that repeat are documents of their own (`key`); other columns are ignored.
+    each chunk is encoded on its own between the states found. Chunks are dealt out for their matrices and
+    once more to meet their states; texts that are not cut never move, and no text is written to a table.
+    Null and empty texts have one chunk without ids. A text that holds the mark of a space itself does not come
+    back, so `intact` is false there. Rows that repeat are documents of their own (`key`); other columns are ignored.
     """
     margin = model(path).longest + 1
     long = F.coalesce(F.length("text"), F.lit(0)) >= size  # the leading space is one more
     rows = documents(docs).select((F.monotonically_increasing_id() * 2 + long.cast("int")).alias("key"), "doc_id", "text")
-    cut = stage(chunks(rows.where(long), margin, size))
-    states = stage(resolved(transfers(cut.repartition("key", "k"), path)))
-    found = cut.join(states, ["key", "k"]).select("key", "doc_id", "k", *_WORK, "p", "q", "r", "s")
+    cut = chunks(rows.where(long), margin, size)
+    states = stage(resolved(transfers(cut.repartition("body", "k", "key"), path)))
+    found = cut.join(states.hint("merge"), ["body", "k"]).select("key", "doc_id", "k", *_WORK, "p", "q", "r", "s", "marked")
 
     def run(batches):
         m = model(path)
@@ -307,7 +317,7 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
             for row in batch.to_pylist():
                 chunk = Chunk(m, *(row[c] for c in _WORK))
                 ids.append(chunk.backtrace((row["p"], row["q"]), (row["r"], row["s"])))
-                intact.append(m.decode(ids[-1]) == chunk.text(row["q"], row["s"]).replace(SPACE, " "))
+                intact.append(not row["marked"] and m.decode(ids[-1]) == chunk.text(row["q"], row["s"]).replace(SPACE, " "))
             yield _encoded(batch.columns[:3], ids, intact)
 
     def run_short(batches):
@@ -317,7 +327,7 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
             for text in batch.column(2).to_pylist():
                 s = normal(text or "")
                 ids.append(Chunk(m, s, 0, 0, len(s), len(s)).backtrace((0, 0), (len(s), len(s))))
-                intact.append(m.decode(ids[-1]) == s.replace(SPACE, " "))
+                intact.append(m.decode(ids[-1]) == (" " + text if text else ""))
             yield _encoded([*batch.columns[:2], pa.array([0] * len(ids), pa.int64())], ids, intact)
 
     schema = "key long, doc_id long, k long, ids array<int>, intact boolean"

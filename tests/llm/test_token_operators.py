@@ -33,11 +33,12 @@ def test_chunks_give_the_ids_of_the_library(spark, size):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = [None, "", " ", *hard_texts()]
     rows = sentencepiece_scan.encode(frame(spark, texts), PIECES, size).orderBy("doc_id", "k").collect()
-    got = {}
+    got, back = {}, {}
     for r in rows:
         got.setdefault(r["doc_id"], []).extend(r["ids"])
-        assert r["intact"]
+        back[r["doc_id"]] = back.get(r["doc_id"], True) and r["intact"]
     assert {i: lib.encode(t or "") for i, t in enumerate(texts)} == got
+    assert back == {i: "▁" not in (t or "") for i, t in enumerate(texts)}
 
 
 def test_decoding_gives_the_texts_back(spark):
@@ -59,6 +60,8 @@ def test_transfer_matrices_multiply_in_any_order():
 
 def test_repeated_rows_are_documents_of_their_own(spark):
     docs = frame(spark, ["one two three"] * 2).selectExpr("cast(null as bigint) doc_id", "text", "row")
+    clashing = docs.selectExpr("doc_id", "text", "row as key", "row as body", "row as k")
+    assert sentencepiece_scan.encode(clashing, PIECES, 5).select("key").distinct().count() == 2
     assert [len(r["ids"]) for r in sentencepiece_scan.encode(docs, PIECES, 5).groupBy("key").agg(sentencepiece_scan.F.flatten(sentencepiece_scan.F.collect_list("ids")).alias("ids")).collect()] == [3, 3]
 
 
@@ -221,5 +224,13 @@ def test_packing_odd_rows(spark):
     assert packing.pack(docs.limit(0), packing.vocabulary()).collect() == []
 
 
+def test_texts_come_back_by_their_own_report(spark):
+    texts = ["a▁b", "a b", "▁" * 30, "word " * 30, "word " * 30 + "▁", None]
+    rows = sentencepiece_scan.encode(frame(spark, texts), PIECES, 50)
+    told = {r["doc_id"]: r["ok"] for r in rows.groupBy("doc_id").agg(sentencepiece_scan.F.min("intact").alias("ok")).collect()}
+    back = {r["doc_id"]: r["text"] for r in sentencepiece_scan.decode(rows, PIECES).collect()}
+    assert told == {i: back[i] == (t or "") for i, t in enumerate(texts)} == {0: False, 1: True, 2: False, 3: True, 4: False, 5: True}
+
+
 def test_the_small_table_is_read_whole(spark):
     assert sentencepiece_scan.op4_sentencepiece(spark, FOLDER).where("round_trip").count() == read(spark, FOLDER, "documents").count()
