@@ -19,7 +19,7 @@ RULES: dict[str, str] = {
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "google": r"AIza[A-Za-z0-9_-]{35}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+",
-    "key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "key": r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----(?:.*?-----END [A-Z ]*PRIVATE KEY-----|.*)",
     "url": r"[a-z]+://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%-]+@",
 }
 LEAST: dict[str, tuple[int, int]] = {"assign": (2, 6), "access": (0, 20), "hex": (0, 24)}
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     Each rule becomes a Boolean query over trigrams; an inverted index of the trigrams asked for gives
     each clause's documents, and the expressions run on these only. Rules without a mandatory trigram
     run on every text. A null text is empty. Rows that repeat a doc_id with another text are told apart
-    by a hash of it; equal rows get equal results; a null doc_id is a document like others. Columns
+    by a hash of it; a private key reaches to its last line, or without one to the end of the text; equal rows get equal results; a null doc_id is a document like others. Columns
     besides doc_id and text travel in `row`.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
