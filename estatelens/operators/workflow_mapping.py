@@ -1,15 +1,19 @@
 """Workflow signatures, pair similarity and N:1 / 1:N / 1:1 mappings between systems.
 
 Scores compare four sets: source tables, target tables, transformation kinds, keywords.
-Listing all pairs is quadratic, and most pairs differ only in sets they do not share. So
-pairs are counted in two layers that together are exact:
-
-* close pairs share a table that is not hot; they are joined through that table;
-* all other pairs can share hot tables only, so their score follows from a coarse class:
-  logic sets plus, per side, the hot tables and the set size. Classes are compared once and
-  carry the number of workflow pairs they stand for.
-
-A table is hot when more than `hot_limit` signature classes use it.
+Listing all pairs is quadratic, and most pairs share no table. So pairs are counted in three
+layers; each pair of workflows belongs to exactly one of them:
+
+* close pairs share a table that is not hot; signature classes are joined through their tables;
+* hot pairs share hot tables only, so their score follows from a coarse class: logic sets plus,
+  per side, the hot tables and the set size. Coarse classes are joined through their hot tables;
+* all other pairs share no table. Their score follows from their cells, the logic and keyword
+  sets: a cell pair counts all its workflow pairs but those of the other two layers.
+
+A pair that shares several tables is met at the first of them only. More shared tables never
+lower a score, so a pair in an accepted cell pair or coarse pair is accepted in every layer.
+A table is hot when more than `hot_limit` signature classes use it; the limit changes which
+layer counts a pair and what that costs, never a result. Sums of scores are exact integers.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelens.functions import vocab
-from estatelens.functions.scale import cut_lineage
+from estatelens.functions.scale import cut_lineage, spread_pairs
 from estatelens.functions.sets import DIGITS, at_least, jaccard, overlap, set_key
 from estatelens.functions.text import contained_words, find_all, normal_transformation
 
@@ -93,11 +97,11 @@ def _split_hot(df: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def _coarse(df: DataFrame) -> DataFrame:
-    """Adds the coarse key: logic sets, hot tables and, where hot tables exist, set sizes."""
+    """Adds the cell key (logic and keyword sets) and the coarse key: cell, hot tables and, where hot tables exist, set sizes."""
     size = lambda hot, ts: F.when(F.size(hot) > 0, F.size(ts)).otherwise(0)
     df = df.withColumn("src_size", size("hot_src", "source_tables")) \
            .withColumn("tgt_size", size("hot_tgt", "target_tables"))
-    return df.withColumn("coarse", set_key(
+    return df.withColumn("cell", set_key("transformation_types", "business_keywords")).withColumn("coarse", set_key(
         "transformation_types", "business_keywords", "hot_src", "hot_tgt",
         F.array(F.col("src_size").cast("string"), F.col("tgt_size").cast("string"))))
 
@@ -118,111 +122,138 @@ def _prepared(sigs, source, target, hot_limit):
     return cut_lineage(_coarse(_split_hot(left, hot))), cut_lineage(_coarse(_split_hot(right, hot)))
 
 
-def _close_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Class pairs that share a cold table, with exact scores."""
-    cold = lambda df, p: df.select(F.col("key").alias(f"{p}_key"), F.explode(F.concat(
-        F.transform(F.array_except("source_tables", "hot_src"), lambda t: F.concat(F.lit("src\u0001"), t)),
-        F.transform(F.array_except("target_tables", "hot_tgt"), lambda t: F.concat(F.lit("tgt\u0001"), t)),
-    )).alias("ref"))
-    keys = cold(left, "s").join(cold(right, "t"), "ref").select("s_key", "t_key").distinct()
-    pairs = keys.join(_pair(left, "s", ["key", "coarse", "n", *SETS]), "s_key") \
-                .join(_pair(right, "t", ["key", "coarse", "n", *SETS]), "t_key")
-    data = (jaccard("s_source_tables", "t_source_tables") + jaccard("s_target_tables", "t_target_tables")) / 2
+SIMS = ["data_sim", "logic_sim", "business_sim", "overall_sim"]
+_LOGIC = ["transformation_types", "business_keywords"]
+
+
+def _met(left: DataFrame, right: DataFrame, key: str, sources: str | Column, targets: str | Column) -> DataFrame:
+    """(s_<key>, t_<key>) of rows that share a table in the same role, each pair once: at the first hash that both hold.
+
+    Only hashes travel. Two tables with one hash would let a pair be met too early, which its score does not care about.
+    """
+    hashed = lambda role, ts: F.transform(ts, lambda x: F.xxhash64(F.lit(role), x))
+    side = lambda df, p: df.select(F.col(key).alias(f"{p}_{key}"), F.concat(hashed("src", sources), hashed("tgt", targets)).alias(f"{p}_all")) \
+        .select("*", F.explode(f"{p}_all").alias("ref"))
+    return side(left, "s").join(side(right, "t"), "ref") \
+        .where(F.col("ref") == F.array_min(F.array_intersect("s_all", "t_all"))).select(f"s_{key}", f"t_{key}")
+
+
+def _scored(pairs: DataFrame, data: Column, threshold: float) -> DataFrame:
     pairs = pairs.withColumn("data_sim", data) \
         .withColumn("logic_sim", jaccard("s_transformation_types", "t_transformation_types")) \
         .withColumn("business_sim", jaccard("s_business_keywords", "t_business_keywords"))
     return pairs.withColumn("overall_sim", _overall(F.col("data_sim"), F.col("logic_sim"), F.col("business_sim"))) \
-        .select("s_key", "t_key", "s_coarse", "t_coarse", "s_n", "t_n",
-                "data_sim", "logic_sim", "business_sim", "overall_sim")
+        .filter(F.col("overall_sim") >= threshold)
 
 
-_COARSE_SETS = ["transformation_types", "business_keywords", "hot_src", "hot_tgt", "src_size", "tgt_size"]
+def _close_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Accepted class pairs that share a cold table, with exact scores."""
+    keys = _met(left, right, "key", F.array_except("source_tables", "hot_src"), F.array_except("target_tables", "hot_tgt"))
+    columns = ["key", "coarse", "cell", "n", *SETS]
+    pairs = spread_pairs(keys).join(_pair(left, "s", columns), "s_key").join(_pair(right, "t", columns), "t_key")
+    data = (jaccard("s_source_tables", "t_source_tables") + jaccard("s_target_tables", "t_target_tables")) / 2
+    return _scored(pairs, data, threshold).select(*[f"{p}_{c}" for p in "st" for c in ("key", "coarse", "cell", "n")], *SIMS)
 
 
-def _coarse_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Coarse class pairs at or above the threshold, scored without any cold table."""
-    group = lambda df, p: df.groupBy(F.col("coarse").alias(f"{p}_coarse")).agg(
-        *[F.first(c).alias(f"{p}_{c}") for c in _COARSE_SETS], F.sum("n").alias(f"{p}_total"))
-    s, t = group(left, "s"), group(right, "t")
-    mark = {c: F.lit(c + "\u0001") for c in _COARSE_SETS[:4]}
+_COARSE_SETS = [*_LOGIC, "hot_src", "hot_tgt", "src_size", "tgt_size"]
 
-    def features(p):
-        def tag(c):
-            return F.transform(f"{p}_{c}", lambda x: F.concat(mark[c], x))
-        return F.concat(*[tag(c) for c in _COARSE_SETS[:4]])
 
-    keys = s.select("s_coarse", F.explode(features("s")).alias("f")).join(
-        t.select("t_coarse", F.explode(features("t")).alias("f")), "f").select("s_coarse", "t_coarse").distinct()
-    pairs = keys.join(s, "s_coarse").join(t, "t_coarse")
+def _hot_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Accepted coarse class pairs that share a hot table, scored without any cold table."""
+    group = lambda df: df.groupBy("coarse").agg(F.first("cell").alias("cell"), *[F.first(c).alias(c) for c in _COARSE_SETS], F.sum("n").alias("total")) \
+        .where((F.size("hot_src") > 0) | (F.size("hot_tgt") > 0))
+    s, t = group(left), group(right)
+    columns = ["coarse", "cell", "total", *_COARSE_SETS]
+    pairs = spread_pairs(_met(s, t, "coarse", F.col("hot_src"), F.col("hot_tgt"))).join(_pair(s, "s", columns), "s_coarse").join(_pair(t, "t", columns), "t_coarse")
 
     def hot_jaccard(hot, size):
         shared = overlap(f"s_{hot}", f"t_{hot}")
         return F.when(shared > 0, shared / (F.col(f"s_{size}") + F.col(f"t_{size}") - shared)).otherwise(F.lit(0.0))
 
     data = (hot_jaccard("hot_src", "src_size") + hot_jaccard("hot_tgt", "tgt_size")) / 2
-    pairs = pairs.withColumn("data_sim", data) \
-        .withColumn("logic_sim", jaccard("s_transformation_types", "t_transformation_types")) \
-        .withColumn("business_sim", jaccard("s_business_keywords", "t_business_keywords"))
-    pairs = pairs.withColumn("overall_sim", _overall(F.col("data_sim"), F.col("logic_sim"), F.col("business_sim")))
-    return pairs.filter(F.col("overall_sim") >= threshold).select(
-        "s_coarse", "t_coarse", "s_total", "t_total", "data_sim", "logic_sim", "business_sim", "overall_sim")
+    return _scored(pairs, data, threshold).select(*[f"{p}_{c}" for p in "st" for c in ("coarse", "cell", "total")], *SIMS)
+
+
+def _cell_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Accepted pairs of cells, scored without any table. Cells meet through the pairs of logic sets that can reach the threshold."""
+    group = lambda df, p: df.groupBy(F.col("cell").alias(f"{p}_cell")).agg(
+        *[F.first(c).alias(f"{p}_{c}") for c in _LOGIC], F.sum("n").alias(f"{p}_total")).withColumn(f"{p}_kinds", set_key(f"{p}_transformation_types"))
+    s, t = group(left, "s"), group(right, "t")
+    # logic sets are subsets of a fixed vocabulary of kinds: one short row holds all of a side
+    kinds = lambda df, p: df.select(f"{p}_kinds", F.col(f"{p}_transformation_types").alias(f"{p}_set")).distinct()
+    every = kinds(t, "t").agg(F.collect_list(F.struct("t_kinds", "t_set")).alias("every"))
+    most = F.round(jaccard("s_set", "t_set") * vocab.PAIR_WEIGHTS["logic"] + vocab.PAIR_WEIGHTS["business"], DIGITS)
+    able = kinds(s, "s").join(F.broadcast(every)).select("s_kinds", "s_set", F.inline("every")).where(most >= threshold).select("s_kinds", "t_kinds")
+    pairs = s.join(F.broadcast(able), "s_kinds").join(t, "t_kinds")
+    return _scored(pairs, F.lit(0.0), threshold).select(*[f"{p}_{c}" for p in "st" for c in ("cell", "total")], *SIMS)
+
+
+_UNIT = 10 ** 12  # scores are added up in these parts, so sums and differences are exact
+
+
+def _weighted(n: str, prefix: str, suffix: str = "") -> list[Column]:
+    """Number of workflows and weighted score sums, as exact integers."""
+    weight = F.col(n).cast("decimal(18,0)")
+    return [F.sum(weight).alias(f"{prefix}_n"),
+            *[F.sum(weight * F.round(F.col(c + suffix) * _UNIT).cast("decimal(15,0)")).alias(f"{prefix}_{c}") for c in SIMS]]
 
 
 class PairTable:
-    """Both layers of workflow pairs between two systems, computed once."""
+    """The three layers of workflow pairs between two systems, accepted pairs only, computed once."""
 
     def __init__(self, sigs: DataFrame, source: str, target: str,
                  threshold: float = vocab.PAIR_THRESHOLD, hot_limit: int = 1000):
         if threshold <= 0:
             raise ValueError("the threshold must be positive")
-        self.threshold = threshold
         self.left, self.right = _prepared(sigs, source, target, hot_limit)
-        self.close = cut_lineage(_close_pairs(self.left, self.right))
-        self.coarse = cut_lineage(_coarse_pairs(self.left, self.right, threshold))
-
-    def accepted_close(self) -> DataFrame:
-        return self.close.filter(F.col("overall_sim") >= self.threshold)
+        self.close = cut_lineage(_close_pairs(self.left, self.right, threshold))
+        self.hot = cut_lineage(_hot_pairs(self.left, self.right, threshold))
+        self.cells = cut_lineage(_cell_pairs(self.left, self.right, threshold))
+        #: pairs of groups of which every source is a partner of every target
+        self.levels = {"cell": self.cells, "coarse": self.hot}
 
     def groups(self) -> DataFrame:
-        """All pairs at or above the threshold as rows (layer, keys, n_pairs, scores)."""
-        close = self.accepted_close().select(
-            F.lit("close").alias("layer"), F.col("s_key").alias("source_key"), F.col("t_key").alias("target_key"),
-            (F.col("s_n") * F.col("t_n")).alias("n_pairs"), "data_sim", "logic_sim", "business_sim", "overall_sim")
-        taken = self.close.groupBy("s_coarse", "t_coarse").agg(F.sum(F.col("s_n") * F.col("t_n")).alias("taken"))
-        rest = self.coarse.join(taken, ["s_coarse", "t_coarse"], "left")
-        n = F.col("s_total") * F.col("t_total") - F.coalesce("taken", F.lit(0))
-        coarse = rest.select(
-            F.lit("coarse").alias("layer"), F.col("s_coarse").alias("source_key"), F.col("t_coarse").alias("target_key"),
-            n.alias("n_pairs"), "data_sim", "logic_sim", "business_sim", "overall_sim").filter(F.col("n_pairs") > 0)
-        return close.unionByName(coarse)
+        """(data_sim, logic_sim, business_sim, overall_sim, n_pairs): all accepted pairs, counted by score."""
+        product = lambda a, b: F.col(a).cast("decimal(18,0)") * F.col(b).cast("decimal(18,0)")
+        close = self.close.select(*SIMS, product("s_n", "t_n").alias("n_pairs"))
+        taken = self.close.groupBy("s_coarse", "t_coarse").agg(F.sum(product("s_n", "t_n")).alias("taken"))
+        hot = self.hot.join(taken, ["s_coarse", "t_coarse"], "left") \
+            .select("s_cell", "t_cell", *SIMS, product("s_total", "t_total").alias("whole"), F.coalesce("taken", F.lit(0)).alias("taken"))
+        lone = self.close.join(self.hot, ["s_coarse", "t_coarse"], "left_anti").groupBy("s_cell", "t_cell").agg(F.sum(product("s_n", "t_n")).alias("n"))
+        others = hot.groupBy("s_cell", "t_cell").agg(F.sum("whole").alias("n")).unionByName(lone).groupBy("s_cell", "t_cell").agg(F.sum("n").alias("others"))
+        cells = self.cells.join(others, ["s_cell", "t_cell"], "left") \
+            .select(*SIMS, (product("s_total", "t_total") - F.coalesce("others", F.lit(0))).alias("n_pairs"))
+        return close.unionByName(hot.select(*SIMS, (F.col("whole") - F.col("taken")).alias("n_pairs"))).unionByName(cells) \
+            .groupBy(*SIMS).agg(F.sum("n_pairs").cast("bigint").alias("n_pairs")).filter(F.col("n_pairs") > 0)
 
     def side_totals(self, side: str) -> DataFrame:
-        """Per signature class of one side: partners, and sums of the four scores over them."""
+        """Per signature class of one side: partners, and exact sums of the four scores over them.
+
+        Own cell, plus own coarse class, plus own close pairs; what a finer layer counts anew is taken back from the coarser one.
+        """
         me, other = ("t", "s") if side == "target" else ("s", "t")
         own = self.right if side == "target" else self.left
-        sims = ["data_sim", "logic_sim", "business_sim", "overall_sim"]
-        near = self.accepted_close().groupBy(F.col(f"{me}_key").alias("key")).agg(
-            F.sum(f"{other}_n").alias("near_n"),
-            *[F.sum(F.col(f"{other}_n") * F.col(c)).alias(f"near_{c}") for c in sims])
-        far = self.coarse.groupBy(F.col(f"{me}_coarse").alias("coarse")).agg(
-            F.sum(f"{other}_total").alias("far_n"),
-            *[F.sum(F.col(f"{other}_total") * F.col(c)).alias(f"far_{c}") for c in sims])
-        # close pairs whose coarse pair is in the far sums: counted there once, take them back
-        twice = self.close.select(f"{me}_key", f"{other}_n", "s_coarse", "t_coarse").join(
-            self.coarse.drop("s_total", "t_total"), ["s_coarse", "t_coarse"]) \
-            .groupBy(F.col(f"{me}_key").alias("key")).agg(
-                F.sum(f"{other}_n").alias("back_n"),
-                *[F.sum(F.col(f"{other}_n") * F.col(c)).alias(f"back_{c}") for c in sims])
-        out = own.select("key", "coarse", "n").join(far, "coarse", "left").join(near, "key", "left").join(twice, "key", "left")
-        z = lambda c: F.coalesce(F.col(c), F.lit(0))
-        out = out.select("key", "coarse", F.col("n").alias("members"),
-                         (z("near_n") + z("far_n") - z("back_n")).alias("partners"),
-                         *[(z(f"near_{c}") + z(f"far_{c}") - z(f"back_{c}")).alias(f"sum_{c}") for c in sims])
-        return out.filter(F.col("partners") > 0)
+        renamed = lambda df: df.select("s_cell", "t_cell", *[F.col(c).alias(f"{c}_cell") for c in SIMS])
+        by = lambda df, key, n, prefix, suffix="": df.groupBy(F.col(f"{me}_{key}").alias(key)).agg(*_weighted(n, prefix, suffix))
+        parts = [
+            (by(self.cells, "cell", f"{other}_total", "a"), "cell", "a", 1),
+            (by(self.hot, "coarse", f"{other}_total", "b"), "coarse", "b", 1),
+            (by(self.hot.join(renamed(self.cells), ["s_cell", "t_cell"]), "coarse", f"{other}_total", "c", "_cell"), "coarse", "c", -1),
+            (by(self.close, "key", f"{other}_n", "d"), "key", "d", 1),
+            (by(self.close.drop(*SIMS).join(self.hot.select("s_coarse", "t_coarse", *SIMS), ["s_coarse", "t_coarse"]), "key", f"{other}_n", "e"), "key", "e", -1),
+            (by(self.close.join(self.hot, ["s_coarse", "t_coarse"], "left_anti").join(renamed(self.cells), ["s_cell", "t_cell"]), "key", f"{other}_n", "f", "_cell"), "key", "f", -1),
+        ]
+        out = own.select("key", "coarse", "cell", F.col("n").alias("members"))
+        for df, key, _, _ in parts:
+            out = out.join(df, key, "left")
+        total = lambda c: sum((F.coalesce(F.col(f"{p}_{c}"), F.lit(0)) * sign for _, _, p, sign in parts), F.lit(0))
+        return out.select("key", "coarse", "cell", "members", total("n").cast("bigint").alias("partners"), *[total(c).cast("decimal(38,0)").alias(f"sum_{c}") for c in SIMS]) \
+            .filter(F.col("partners") > 0)
 
 
 def pair_similarity(sigs: DataFrame, source: str, target: str, threshold: float = vocab.PAIR_THRESHOLD,
                     hot_limit: int = 1000) -> DataFrame:
+    """Accepted workflow pairs counted by their four scores; the same for every `hot_limit`."""
     return PairTable(sigs, source, target, threshold, hot_limit).groups()
 
 
@@ -230,29 +261,27 @@ def confidence(score) -> Column:
     return F.when(at_least(score, 0.7), "high").when(at_least(score, 0.5), "medium").otherwise("low")
 
 
-SIMS = ["data_sim", "logic_sim", "business_sim", "overall_sim"]
-
-
 class Mappings:
     """Workflow mappings of one pair table, on signature classes.
 
     N:1: a target with several sources. 1:N: a source with several targets that is part of no
     N:1 mapping. 1:1: what remains. Rows stand for `members` workflows of the anchor class.
 
-    A close pair shares at least the tables its coarse classes share, so it scores at least
-    as much: every source of an accepted coarse class is a partner of every target there.
+    Every source of an accepted cell or coarse pair is a partner of every target there (see the
+    module), so relations between groups need no counts: cells first, coarse classes, close pairs.
     """
 
     def __init__(self, pairs: PairTable):
         self.pairs = pairs
         self.targets = cut_lineage(pairs.side_totals("target"))
         self.sources = cut_lineage(pairs.side_totals("source"))
-        self.n1 = self.targets.filter(F.col("partners") > 1).select(F.col("key").alias("t_key"), F.col("coarse").alias("t_coarse"))
-        # source classes that feed an N:1 target, through a close pair or a coarse pair
-        near = pairs.accepted_close().join(self.n1.select("t_key"), "t_key", "left_semi").select(F.col("s_key").alias("key"))
-        feeding = pairs.coarse.join(self.n1.select("t_coarse").distinct(), "t_coarse", "left_semi").select("s_coarse").distinct()
-        far = self.sources.join(feeding, self.sources["coarse"] == feeding["s_coarse"], "left_semi").select("key")
-        self.used = cut_lineage(near.unionByName(far).distinct())
+        self.n1 = self.targets.filter(F.col("partners") > 1).select(*[F.col(c).alias(f"t_{c}") for c in ("key", "coarse", "cell")])
+        # source classes that feed an N:1 target, through a close pair or a pair of groups
+        used = pairs.close.join(self.n1.select("t_key"), "t_key", "left_semi").select(F.col("s_key").alias("key"))
+        for level, found in pairs.levels.items():
+            feeding = found.join(self.n1.select(f"t_{level}").distinct(), f"t_{level}", "left_semi").select(F.col(f"s_{level}").alias(level)).distinct()
+            used = used.unionByName(self.sources.join(feeding, level, "left_semi").select("key"))
+        self.used = cut_lineage(used.distinct())
 
     def free(self) -> DataFrame:
         """Source classes outside all N:1 mappings; each of their targets has one source."""
@@ -261,7 +290,7 @@ class Mappings:
     def rows(self) -> DataFrame:
         """One row per mapping class: kind, anchor side and key, members, partners, mean scores."""
         def means(df):
-            return [F.round(F.col(f"sum_{c}") / F.col("partners"), DIGITS).alias(c) for c in SIMS]
+            return [F.round(F.col(f"sum_{c}").cast("double") / F.col("partners") / _UNIT, DIGITS).alias(c) for c in SIMS]
         n1 = self.targets.filter(F.col("partners") > 1).select(
             F.lit("N:1").alias("kind"), F.col("key").alias("target_key"), F.lit(None).cast("string").alias("source_key"),
             "members", F.col("partners").alias("n_sources"), F.lit(1).cast("bigint").alias("n_targets"), *means(self.targets))
@@ -272,42 +301,50 @@ class Mappings:
             F.lit(1).cast("bigint").alias("n_sources"), F.col("partners").alias("n_targets"), *means(free))
         return n1.unionByName(rest).withColumn("confidence", confidence("overall_sim"))
 
-    def outputs(self) -> tuple[DataFrame, DataFrame]:
+    def outputs(self) -> tuple[dict[str, DataFrame], DataFrame]:
         """Tables written by the sources of N:1 targets, without a list per target.
 
-        First (t_coarse, tab): tables all targets of a coarse class receive. Second
-        (t_key, tab): tables a target receives on top of that through close pairs.
+        First, per level (t_cell, tab) and (t_coarse, tab): tables all targets of a group receive, at
+        the coarsest level only. Second (t_key, tab): tables a target receives on top of that through close pairs.
         """
         p = self.pairs
-        writes = p.left.select(F.col("coarse").alias("s_coarse"), F.explode("target_tables").alias("tab")).distinct()
-        offered = p.coarse.select("s_coarse", "t_coarse").join(self.n1.select("t_coarse").distinct(), "t_coarse", "left_semi") \
-            .join(writes, "s_coarse").select("t_coarse", "tab").distinct()
+        groups = self.n1.select("t_coarse", "t_cell").distinct()
+        offered: dict[str, DataFrame] = {}
+        for level, found in p.levels.items():
+            writes = p.left.select(F.col(level).alias(f"s_{level}"), F.explode("target_tables").alias("tab")).distinct()
+            rows = found.select(f"s_{level}", f"t_{level}").join(groups.select(f"t_{level}").distinct(), f"t_{level}", "left_semi") \
+                .join(writes, f"s_{level}").select(f"t_{level}", "tab").distinct()
+            if level == "coarse":
+                rows = rows.join(groups, "t_coarse").join(offered["cell"], ["t_cell", "tab"], "left_anti").select("t_coarse", "tab")
+            offered[level] = cut_lineage(rows)
         own = p.left.select(F.col("key").alias("s_key"), F.explode("target_tables").alias("tab"))
-        extra = p.accepted_close().select("s_key", "t_key").join(self.n1, "t_key").join(own, "s_key") \
-            .select("t_key", "t_coarse", "tab").distinct().join(offered, ["t_coarse", "tab"], "left_anti")
+        extra = p.close.select("s_key", "t_key").join(self.n1, "t_key").join(own, "s_key").select("t_key", "t_coarse", "t_cell", "tab").distinct()
+        for level, rows in offered.items():
+            extra = extra.join(rows, [f"t_{level}", "tab"], "left_anti")
         return offered, extra.select("t_key", "tab")
 
-    def _target_tables(self, offered: DataFrame, extra: DataFrame) -> DataFrame:
+    def _target_tables(self, offered: dict[str, DataFrame], extra: DataFrame) -> DataFrame:
         """Own tables of N:1 targets (use = read | write) with a flag: some source writes them."""
-        own = self.pairs.right.select(F.col("key").alias("t_key"), F.explode(F.concat(
+        out = self.pairs.right.select(F.col("key").alias("t_key"), F.explode(F.concat(
             F.transform("source_tables", lambda x: F.struct(F.lit("read").alias("use"), x.alias("tab"))),
             F.transform("target_tables", lambda x: F.struct(F.lit("write").alias("use"), x.alias("tab"))))).alias("o")) \
             .select("t_key", "o.*").join(self.n1, "t_key")
-        yes = F.lit(True)
-        out = own.join(offered.withColumn("in_class", yes), ["t_coarse", "tab"], "left") \
-                 .join(extra.withColumn("in_extra", yes), ["t_key", "tab"], "left")
-        return out.select("t_key", "t_coarse", "use", "tab", F.coalesce("in_class", "in_extra", F.lit(False)).alias("received"))
+        for level, rows in offered.items():
+            out = out.join(rows.withColumn(f"in_{level}", F.lit(True)), [f"t_{level}", "tab"], "left")
+        out = out.join(extra.withColumn("in_extra", F.lit(True)), ["t_key", "tab"], "left")
+        return out.select("t_key", "use", "tab", F.coalesce("in_cell", "in_coarse", "in_extra", F.lit(False)).alias("received"))
 
     def _free_tables(self) -> DataFrame:
         """(kind, anchor_key, tab, relation) of 1:N and 1:1 mappings."""
         p = self.pairs
         tabs = lambda df, col, key: df.select(F.col("key").alias(key), F.explode(col).alias("tab"))
-        free = self.free().select(F.col("key").alias("s_key"), F.col("coarse").alias("s_coarse"),
+        free = self.free().select(*[F.col(c).alias(f"s_{c}") for c in ("key", "coarse", "cell")],
                                   F.when(F.col("partners") > 1, "1:N").otherwise("1:1").alias("kind"))
-        near = p.accepted_close().select("s_key", "t_key").join(free.select("s_key", "kind"), "s_key")
-        far = free.join(p.coarse.select("s_coarse", "t_coarse"), "s_coarse").join(
-            p.right.select(F.col("key").alias("t_key"), F.col("coarse").alias("t_coarse")), "t_coarse")
-        edges = near.select("s_key", "t_key", "kind").unionByName(far.select("s_key", "t_key", "kind")).distinct()
+        edges = p.close.select("s_key", "t_key").join(free.select("s_key", "kind"), "s_key").select("s_key", "t_key", "kind")
+        for level, found in p.levels.items():
+            edges = edges.unionByName(free.join(found.select(f"s_{level}", f"t_{level}"), f"s_{level}").join(
+                p.right.select(F.col("key").alias("t_key"), F.col(level).alias(f"t_{level}")), f"t_{level}").select("s_key", "t_key", "kind"))
+        edges = edges.distinct()
         of_targets = lambda col: edges.join(tabs(p.right, col, "t_key"), "t_key").select("s_key", "kind", "tab").distinct()
         of_source = lambda col: free.select("s_key", "kind").join(tabs(p.left, col, "s_key"), "s_key")
         on = ["s_key", "kind", "tab"]
@@ -338,12 +375,13 @@ class Mappings:
         own = self._target_tables(offered, extra).groupBy("t_key").agg(
             F.count_if((F.col("use") == "read") & F.col("received")).alias("n_shared"),
             F.count_if(is_write & F.col("received")).alias("kept"), F.count_if(is_write & ~F.col("received")).alias("n_added"))
-        of_class = offered.groupBy("t_coarse").agg(F.count("*").alias("of_class"))
-        of_extra = extra.groupBy("t_key").agg(F.count("*").alias("of_extra"))
-        n1 = self.n1.join(of_class, "t_coarse", "left").join(of_extra, "t_key", "left").join(own, "t_key", "left") \
-            .fillna(0, ["of_class", "of_extra", "n_shared", "kept", "n_added"])
+        n1 = self.n1
+        for level, rows in offered.items():
+            n1 = n1.join(rows.groupBy(f"t_{level}").agg(F.count("*").alias(f"of_{level}")), f"t_{level}", "left")
+        n1 = n1.join(extra.groupBy("t_key").agg(F.count("*").alias("of_extra")), "t_key", "left").join(own, "t_key", "left") \
+            .fillna(0, ["of_cell", "of_coarse", "of_extra", "n_shared", "kept", "n_added"])
         n1 = n1.select(F.lit("N:1").alias("kind"), F.col("t_key").alias("anchor_key"), "n_shared",
-                       (F.col("of_class") + F.col("of_extra") - F.col("kept")).alias("n_missing"), "n_added")
+                       (F.col("of_cell") + F.col("of_coarse") + F.col("of_extra") - F.col("kept")).alias("n_missing"), "n_added")
         counted = self._free_tables().groupBy("anchor_key").agg(*[
             F.count_if(F.col("relation") == r).alias(f"n_{r}") for r in ("shared", "missing", "added")])
         free = self.free().select(F.when(F.col("partners") > 1, "1:N").otherwise("1:1").alias("kind"), F.col("key").alias("anchor_key")) \
@@ -354,20 +392,23 @@ class Mappings:
         """Distinct tables that some mapping misses in its target."""
         offered, extra = self.outputs()
         writes = self.pairs.right.select(F.col("key").alias("t_key"), F.explode("target_tables").alias("tab")).join(self.n1, "t_key")
-        size = self.n1.groupBy("t_coarse").agg(F.count("*").alias("targets"))
-        writers = writes.groupBy("t_coarse", "tab").agg(F.count("*").alias("writers"))
-        by_class = offered.join(size, "t_coarse").join(writers, ["t_coarse", "tab"], "left") \
-            .filter(F.coalesce("writers", F.lit(0)) < F.col("targets")).select("tab")
+        missed = self._free_tables().filter(F.col("relation") == "missing").select("tab")
+        for level, rows in offered.items():
+            group = f"t_{level}"
+            size = self.n1.groupBy(group).agg(F.count("*").alias("targets"))
+            writers = writes.groupBy(group, "tab").agg(F.count("*").alias("writers"))
+            missed = missed.unionByName(rows.join(size, group).join(writers, [group, "tab"], "left")
+                                        .filter(F.coalesce("writers", F.lit(0)) < F.col("targets")).select("tab"))
         by_extra = extra.join(writes.select("t_key", "tab"), ["t_key", "tab"], "left_anti").select("tab")
-        free = self._free_tables().filter(F.col("relation") == "missing").select("tab")
-        return by_class.unionByName(by_extra).unionByName(free).distinct()
+        return missed.unionByName(by_extra).distinct()
 
     def expand_missing(self, anchors: DataFrame) -> DataFrame:
         """Missing tables of chosen N:1 mappings (column `anchor_key`), as rows."""
         offered, extra = self.outputs()
         chosen = self.n1.join(anchors.select(F.col("anchor_key").alias("t_key")).distinct(), "t_key", "left_semi")
-        rows = chosen.join(offered, "t_coarse").select("t_key", "tab").unionByName(
-            extra.join(chosen.select("t_key"), "t_key", "left_semi"))
+        rows = extra.join(chosen.select("t_key"), "t_key", "left_semi")
+        for level, found in offered.items():
+            rows = rows.unionByName(chosen.join(found, f"t_{level}").select("t_key", "tab"))
         writes = self.pairs.right.select(F.col("key").alias("t_key"), F.explode("target_tables").alias("tab"))
         return rows.join(writes, ["t_key", "tab"], "left_anti").select(
             F.lit("N:1").alias("kind"), F.col("t_key").alias("anchor_key"), "tab", F.lit("missing").alias("relation"))
@@ -504,19 +545,21 @@ def mappings_for(mappings: Mappings, sigs: DataFrame, source: str, target: str,
     """
     p = mappings.pairs
     fits = lambda system: members(sigs, system).filter(F.lower("name").contains(text.lower()))
-    keys = lambda system, own: fits(system).select("key").distinct().join(own.select("key", "coarse"), "key")
+    keys = lambda system, own: fits(system).select("key").distinct().join(own.select("key", "coarse", "cell"), "key")
     hit_s, hit_t = keys(source, p.left), keys(target, p.right)
     pick = lambda df, c: df.select(F.col(c).alias("key"))
+    reached = lambda found, level, hits, me, other: found.join(hits.select(F.col(level).alias(f"{me}_{level}")).distinct(), f"{me}_{level}", "left_semi") \
+        .select(f"{other}_{level}").distinct()
     # sources that fit: the N:1 targets they feed, else their own row
-    near = p.accepted_close().join(pick(hit_s, "key").withColumnRenamed("key", "s_key"), "s_key", "left_semi")
-    feeding = p.coarse.join(hit_s.select(F.col("coarse").alias("s_coarse")).distinct(), "s_coarse", "left_semi").select("t_coarse").distinct()
-    fed = pick(near, "t_key").unionByName(pick(mappings.n1.join(feeding, "t_coarse", "left_semi"), "t_key")).distinct() \
-        .join(pick(mappings.n1, "t_key"), "key", "left_semi")
+    fed = pick(p.close.join(pick(hit_s, "key").withColumnRenamed("key", "s_key"), "s_key", "left_semi"), "t_key")
     # targets that fit: their own N:1 row, else the free source they hang on
-    free = mappings.free().select(F.col("key").alias("s_key"), F.col("coarse").alias("s_coarse"))
-    t_near = p.accepted_close().join(hit_t.select(F.col("key").alias("t_key")), "t_key", "left_semi").join(free, "s_key", "left_semi")
-    reached = p.coarse.join(hit_t.select(F.col("coarse").alias("t_coarse")).distinct(), "t_coarse", "left_semi").select("s_coarse").distinct()
-    hung = pick(t_near, "s_key").unionByName(pick(free.join(reached, "s_coarse", "left_semi"), "s_key")).distinct()
+    free = mappings.free().select(*[F.col(c).alias(f"s_{c}") for c in ("key", "coarse", "cell")])
+    hung = pick(p.close.join(hit_t.select(F.col("key").alias("t_key")), "t_key", "left_semi").join(free, "s_key", "left_semi"), "s_key")
+    for level, found in p.levels.items():
+        fed = fed.unionByName(pick(mappings.n1.join(reached(found, level, hit_s, "s", "t"), f"t_{level}", "left_semi"), "t_key"))
+        hung = hung.unionByName(pick(free.join(reached(found, level, hit_t, "t", "s"), f"s_{level}", "left_semi"), "s_key"))
+    fed = fed.distinct().join(pick(mappings.n1, "t_key"), "key", "left_semi")
+    hung = hung.distinct()
     named = lambda df, side, matched: df.select(F.col("name").alias("anchor")).distinct() \
         .withColumn("anchor_side", F.lit(side)).withColumn("matched_side", F.lit(matched))
     hits = named(members(sigs, target).join(fed, "key"), "target", "source") \

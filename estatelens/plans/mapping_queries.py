@@ -113,6 +113,18 @@ def pair_similarity(spark, folder):
     return groups.select(*rounded, "n_pairs").groupBy(*wm.SIMS).agg(F.sum("n_pairs").alias("n_pairs"))
 
 
+@query("pair_similarity_hot", views=("scripts",), oracle=f"""
+WITH {SIG},{ALL_PAIRS}
+SELECT round(data_sim, 6) AS data_sim, round(logic_sim, 6) AS logic_sim, round(business_sim, 6) AS business_sim, round(overall_sim, 6) AS overall_sim, count(*) AS n_pairs
+FROM p GROUP BY 1, 2, 3, 4
+""")
+def pair_similarity_hot(spark, folder):
+    """The same pairs with nearly all tables taken as hot: no row depends on the limit."""
+    groups = wm.pair_similarity(cut_lineage(sigs(spark, folder)), SRC, TGT, hot_limit=2)
+    rounded = [F.round(c, 6).alias(c) for c in wm.SIMS]
+    return groups.select(*rounded, "n_pairs").groupBy(*wm.SIMS).agg(F.sum("n_pairs").alias("n_pairs"))
+
+
 @query("group_mappings", views=("scripts",), oracle=f"WITH {SIG},{ALL_PAIRS},{MAPS} SELECT * FROM maps")
 def group_mappings(spark, folder):
     m, all_sigs = maps(spark, folder)

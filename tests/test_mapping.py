@@ -167,3 +167,9 @@ def test_logic_similarity_boost_and_cap(spark):
         "s_transformations array<string>, t_transformations array<string>, s_tables array<string>, t_tables array<string>, s_rules array<string>, t_rules array<string>")
     got = [r["logic_score"] for r in wm.logic_similarity(df).collect()]
     assert got == pytest.approx([0.3 / 0.7 + 0.2, 1.0, 0.0])
+
+
+def test_no_row_depends_on_the_hot_limit(spark):
+    sigs = spark.createDataFrame(estate(40, True, seed=3), SCHEMA)
+    rows = [sorted(map(tuple, wm.pair_similarity(sigs, "hadoop", "databricks", hot_limit=n).collect())) for n in (0, 2, 1000)]
+    assert rows[0] == rows[1] == rows[2]
