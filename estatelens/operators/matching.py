@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,24 +15,32 @@ from estatelens.functions.sets import (
     at_least, count_map_similarity, keyword_similarity, name_similarity, set_key,
 )
 from estatelens.functions.text import as_col, clean_table, contained_words, normal_name
+from estatelens.operators.grids import grid, jaccards, lists, shared
+
+
+OWN_TABLES = ("tables_involved", "input_sources", "output_targets")
 
 
 def process_profiles(processes: DataFrame, components: DataFrame) -> DataFrame:
     """Per process: clean table set, domain keywords and counts per component type.
 
-    Tables are first made distinct per process with partial aggregation, so a hot process
-    only ever ships its distinct tables and one count per type.
+    Tables are those that the process lists itself (columns of OWN_TABLES, arrays); where it has no
+    such column, the datasets of its components. The text for keywords is business_function, or without
+    one description. Tables are made distinct per process with partial aggregation, so a hot
+    process only ever ships its distinct tables and one count per type.
     """
-    tables = (components.select("process_id", F.explode(F.array("input_dataset", "output_dataset")).alias("t"))
-              .select("process_id", clean_table("t").alias("t")).distinct()
+    own = [c for c in OWN_TABLES if c in processes.columns]
+    named = processes.select("process_id", F.explode(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in own])).alias("t")) if own \
+        else components.select("process_id", F.explode(F.array("input_dataset", "output_dataset")).alias("t"))
+    tables = (named.select("process_id", clean_table("t").alias("t")).where("t is not null").distinct()
               .groupBy("process_id").agg(F.array_sort(F.collect_list("t")).alias("tables")))
     types = (components.groupBy("process_id", "component_type").agg(F.count("*").alias("n"))
              .groupBy("process_id")
              .agg(F.array_sort(F.collect_list(F.struct("component_type", "n"))).alias("type_counts")))
+    texts = [F.when(F.col(c) != "", F.col(c)) for c in ("business_function", "description") if c in processes.columns]
+    text = F.coalesce(*texts, F.lit(""))
     profile = (processes
-               .select("process_id", "system", "name",
-                       contained_words("business_function", vocab.FUNCTION_KEYWORDS).alias("domains"),
-                       (F.coalesce(F.col("business_function"), F.lit("")) != "").alias("described"))
+               .select("process_id", "system", "name", contained_words(text, vocab.FUNCTION_KEYWORDS).alias("domains"), (text != "").alias("described"))
                .join(tables, "process_id", "left").join(types, "process_id", "left"))
     return profile.withColumn("tables", F.coalesce("tables", F.array().cast("array<string>"))) \
         .withColumn("type_counts", F.coalesce("type_counts", F.array().cast("array<struct<component_type:string,n:bigint>>")))
@@ -44,48 +54,115 @@ def _classes(profiles: DataFrame) -> DataFrame:
             F.array(F.col("described").cast("string"))))
 
 
-def table_overlaps(left: DataFrame, right: DataFrame, min_jaccard: float = 0.0) -> DataFrame:
-    """Pairs (left_key, right_key) of distinct table sets with their Jaccard value.
+PAYS = 8  # a join on rare members has to meet so many times fewer pairs than there are
+
 
-    Inputs: (key, tables). Tables are numbered rarest first; a pair at or above
-    `min_jaccard` must share a table within each side's first numbers, so common tables are
-    joined only where a set has nothing rarer. The candidate join and its distinct carry two
-    numbers per row; the sets join in once per pair.
+class SetJoin:
+    """Two tables of sets (key, tables), numbered rarest first.
+
+    A pair at or above a Jaccard value shares a number within each side's first ones (as many as the value
+    leaves room for). How often such numbers meet is counted before anything is joined: where sets are made
+    of common tables the join would meet pairs again and again, and a grid of blocks is the cheaper way.
     """
-    both = left.select("tables").unionByName(right.select("tables"))
-    freq = both.select(F.explode("tables").alias("t")).groupBy("t").agg(F.count("*").alias("freq"))
-    numbers = number_rows(freq, ["freq", "t"], name="no").select("t", "no")
 
-    def numbered(df):
-        rows = df.select("key", F.explode("tables").alias("t")).join(numbers, "t")
-        sets = rows.groupBy("key").agg(F.array_sort(F.collect_list("no")).alias("nos"))
-        return cut_lineage(sets.withColumn("id", F.monotonically_increasing_id()))
+    def __init__(self, left: DataFrame, right: DataFrame, min_jaccard: float):
+        both = left.select("tables").unionByName(right.select("tables"))
+        freq = both.select(F.explode("tables").alias("t")).groupBy("t").agg(F.count("*").alias("freq"))
+        numbers = cut_lineage(number_rows(freq, ["freq", "t"], name="no").select("t", "no"))
+
+        def numbered(df):
+            rows = df.select("key", F.explode("tables").alias("t")).join(numbers, "t")
+            sets = rows.groupBy("key").agg(F.array_sort(F.collect_list("no")).alias("nos"))
+            return cut_lineage(sets.withColumn("id", F.monotonically_increasing_id()))
+
+        self.min_jaccard = min_jaccard
+        self.left, self.right = numbered(left), numbered(right)
 
-    def prefixed(sets, side):
+    def firsts(self, side: str) -> DataFrame:
         n = F.size("nos")
-        length = n - F.ceil(n * F.lit(min_jaccard)) + 1 if min_jaccard > 0 else n
-        return sets.select(F.col("id").alias(f"{side}_id"),
-                           F.explode(F.slice("nos", F.lit(1), F.least(length, n).cast("int"))).alias("no"))
-
-    a, b = numbered(left), numbered(right)
-    candidates = spread_pairs(
-        prefixed(a, "left").join(prefixed(b, "right"), "no").select("left_id", "right_id").distinct())
-    side = lambda sets, p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "key", "nos")])
-    pairs = candidates.join(side(a, "left"), "left_id").join(side(b, "right"), "right_id").select(
-        "left_key", "right_key", F.size(F.array_intersect("left_nos", "right_nos")).alias("shared"),
-        (F.size("left_nos") + F.size("right_nos")).alias("total"))
-    score = F.col("shared") / (F.col("total") - F.col("shared"))
-    pairs = pairs.select("left_key", "right_key", "shared", score.alias("table_score"))
-    return pairs.filter(F.round("table_score", 9) >= min_jaccard) if min_jaccard > 0 else pairs
+        length = n - F.ceil(n * F.lit(self.min_jaccard)) + 1 if self.min_jaccard > 0 else n
+        return getattr(self, side).select(F.col("id").alias(f"{side}_id"), F.explode(F.slice("nos", F.lit(1), F.least(length, n).cast("int"))).alias("no"))
+
+    def join_pays(self) -> bool:
+        """Whether the join meets far fewer pairs than a grid looks at."""
+        times = [self.firsts(s).groupBy("no").agg(F.count("*").cast("decimal(18,0)").alias(s)) for s in ("left", "right")]
+        met = times[0].join(times[1], "no").agg(F.sum(F.col("left") * F.col("right"))).first()[0] or 0
+        return met * PAYS <= self.left.count() * self.right.count()
+
+    def joined(self) -> DataFrame:
+        """(left_key, right_key, shared, table_score) through shared rare numbers; the sets join in once per pair."""
+        candidates = spread_pairs(self.firsts("left").join(self.firsts("right"), "no").select("left_id", "right_id").distinct())
+        side = lambda sets, p: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "key", "nos")])
+        pairs = candidates.join(side(self.left, "left"), "left_id").join(side(self.right, "right"), "right_id").select(
+            "left_key", "right_key", F.size(F.array_intersect("left_nos", "right_nos")).alias("shared"),
+            (F.size("left_nos") + F.size("right_nos")).alias("total"))
+        pairs = pairs.select("left_key", "right_key", "shared", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("table_score"))
+        return pairs.filter(F.round("table_score", 9) >= self.min_jaccard) if self.min_jaccard > 0 else pairs
+
+    def in_blocks(self, function, schema: str) -> DataFrame:
+        """`function` of (left keys, right keys, shared members, Jaccard values) of each pair of blocks."""
+        def run(a, b):
+            sets = [lists(t.column("nos")) for t in (a, b)]
+            sizes = [np.bincount(row, minlength=t.num_rows) for (_, row), t in zip(sets, (a, b))]
+            common = shared(*sets, a.num_rows, b.num_rows)
+            return function(a.column("key"), b.column("key"), common, jaccards(common, *sizes))
+
+        return grid(self.left.select("key", "nos"), self.right.select("key", "nos"), run, schema)
+
+
+def table_overlaps(left: DataFrame, right: DataFrame, min_jaccard: float = 0.0) -> DataFrame:
+    """Pairs (left_key, right_key) of distinct table sets (key, tables) that share a table, with their Jaccard value.
+
+    All pairs at or above `min_jaccard` are listed: ask `best_overlaps` for one per left key.
+    """
+    sets = SetJoin(left, right, min_jaccard)
+    if sets.join_pays():
+        return sets.joined()
+
+    def listed(a, b, common, score):
+        i, j = np.nonzero((common > 0) & (np.round(score, 9) >= min_jaccard))
+        return pa.table({"left_key": a.take(pa.array(i)), "right_key": b.take(pa.array(j)),
+                         "shared": pa.array(common[i, j].astype(np.int32)), "table_score": pa.array(score[i, j])})
+
+    return sets.in_blocks(listed, "left_key string, right_key string, shared int, table_score double")
+
+
+def best_overlaps(left: DataFrame, right: DataFrame, min_jaccard: float) -> DataFrame:
+    """(left_key, right_key, table_score, matches): the best right set per left key, the largest key on ties, and how many reach `min_jaccard`.
+
+    Keys of the right side compare by length, then text, so numbered keys compare by number. No pair becomes a row
+    unless the join on rare tables pays.
+    """
+    sets = SetJoin(left, right, min_jaccard)
+
+    def best(a, b, common, score):
+        score = np.where((common > 0) & (np.round(score, 9) >= min_jaccard), np.round(score, 9), -1.0)
+        matches = (score >= 0).sum(axis=1)
+        keys = np.array(b.to_pylist(), object)
+        by_key = np.array(sorted(range(len(keys)), key=lambda k: (len(keys[k]), keys[k]), reverse=True), int)
+        top = by_key[score[:, by_key].argmax(axis=1)] if len(keys) else np.zeros(len(a), int)
+        rows = np.flatnonzero(matches)
+        return pa.table({"left_key": a.take(pa.array(rows)), "right_key": pa.array(keys[top[rows]], pa.string()),
+                         "table_score": pa.array(score[rows, top[rows]]), "matches": pa.array(matches[rows].astype(np.int64))})
+
+    pairs = sets.joined().select("left_key", "right_key", F.round("table_score", 9).alias("table_score"), F.lit(1).cast("bigint").alias("matches")) if sets.join_pays() \
+        else sets.in_blocks(best, "left_key string, right_key string, table_score double, matches long")
+    top = F.max_by(F.struct("right_key", "table_score"), F.struct("table_score", F.length("right_key"), "right_key")).alias("top")
+    return pairs.groupBy("left_key").agg(top, F.sum("matches").alias("matches")).select("left_key", "top.right_key", "top.table_score", "matches")
+
+
+def needed_overlap(threshold: float) -> float:
+    """The least Jaccard value of tables with which a pair can reach the threshold."""
+    w = vocab.PROCESS_WEIGHTS
+    return max(0.0, math.floor((threshold - w["name"] - w["domain"] - w["components"]) / w["tables"] * 1e9) / 1e9)
 
 
 def score_process_pairs(profiles: DataFrame, source: str, target: str, threshold: float) -> DataFrame:
-    """Pairs of processes at or above the threshold (above 0.6 a shared table is required)."""
+    """Pairs of processes at or above a threshold that needs a shared table, through their rare tables."""
     w = vocab.PROCESS_WEIGHTS
-    rest = w["name"] + w["domain"] + w["components"]
-    if threshold <= rest:
-        raise ValueError("thresholds up to 0.6 would need pairs without a shared table")
-    min_jaccard = math.floor((threshold - rest) / w["tables"] * 1e9) / 1e9
+    min_jaccard = needed_overlap(threshold)
+    if min_jaccard <= 0:
+        raise ValueError("pairs without a shared table can reach this threshold: see best_processes")
     classes = cut_lineage(_classes(profiles))
     side = lambda system: classes.filter(F.col("system") == system)
     distinct = lambda system: side(system).groupBy(F.col("class_key").alias("key")).agg(
@@ -115,13 +192,95 @@ def score_process_pairs(profiles: DataFrame, source: str, target: str, threshold
         "name_score", "table_score", "domain_score", "component_score", "score")
 
 
+def _name_score(x: str, y: str) -> float:
+    if x == y:
+        return 1.0
+    if x in y or y in x:
+        return 0.8
+    a, b = set(x.split("_")), set(y.split("_"))
+    return len(a & b) / len(a | b)
+
+
+_BEST = "source_id string, target_id string, name_score double, table_score double, domain_score double, component_score double, score double"
+
+
+def best_processes(profiles: DataFrame, source: str, target: str, threshold: float) -> DataFrame:
+    """Best target per source process at any threshold, in blocks of both sides.
+
+    A block pair takes domains and type counts of all its pairs first; with the sizes of the table sets they bound
+    the score. A source's targets are then looked at from the highest bound down, names last, until no bound
+    reaches the best one found. Each block returns one row per source at most.
+    """
+    w = vocab.PROCESS_WEIGHTS
+    keep = ["process_id", "name", "domains", "described", "tables", "type_counts"]
+    side = lambda system: profiles.filter(F.col("system") == system).select(
+        *keep[:-1], F.col("type_counts.component_type").alias("types"), F.transform("type_counts", lambda x: x["n"]).alias("counts"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        shape = a.num_rows, b.num_rows
+
+        def sets(c):
+            found = [lists(t.column(c)) for t in (a, b)]
+            return found, [np.bincount(row, minlength=t.num_rows) for (_, row), t in zip(found, (a, b))]
+
+        words, sizes = sets("domains")
+        domain = jaccards(shared(*words, *shape), *sizes)
+        domain[np.ix_(sizes[0] == 0, sizes[1] == 0)] = 0.5
+        described = [t.column("described").to_numpy(zero_copy_only=False).astype(bool) for t in (a, b)]
+        domain[~described[0], :] = 0.0
+        domain[:, ~described[1]] = 0.0
+
+        types, sizes = sets("types")
+        component, keys = np.zeros(shape), np.zeros(shape)
+        counts = [t.column("counts").combine_chunks().flatten().to_numpy().astype(float) for t in (a, b)]
+        for kind in sorted(set(types[0][0]) | set(types[1][0])):
+            x, y = (np.bincount(row[v == kind], c[v == kind], n) for (v, row), c, n in zip(types, counts, shape))
+            x, y = x[:, None], y[None, :]
+            used = (x > 0) | (y > 0)
+            component += np.where(used, 1 - np.abs(x - y) / np.maximum(np.maximum(x, y), 1.0), 0.0)
+            keys += used
+        component = np.divide(component, keys, out=np.zeros(shape), where=keys > 0)
+        component[sizes[0] == 0, :] = 0.0
+        component[:, sizes[1] == 0] = 0.0
+
+        rest = w["domain"] * domain + w["components"] * component
+        names_, sizes = sets("tables")
+        most = jaccards(np.minimum.outer(*sizes).astype(float), *sizes)  # sets of these sizes share no larger part
+        able = np.round(rest + w["tables"] * most + w["name"], 9) >= threshold
+        table = jaccards(shared(*names_, *shape), *sizes) if able.any() else np.zeros(shape)
+        base = w["tables"] * table + rest
+        ids, others = a.column("process_id").to_pylist(), b.column("process_id").to_pylist()
+        low = [[(x or "").lower() for x in t.column("name").to_pylist()] for t in (a, b)]
+        rows = []
+        for i in np.flatnonzero(able.any(axis=1)):
+            found, least = None, threshold
+            for j in np.argsort(-base[i], kind="stable"):
+                if np.round(base[i, j] + w["name"], 9) < least:
+                    break
+                name = _name_score(low[0][i], low[1][j])
+                score = float(np.round(base[i, j] + w["name"] * name, 9))
+                if score >= least and (found is None or score > found[-1] or others[j] < found[1]):
+                    found, least = (ids[i], others[j], name, float(table[i, j]), float(domain[i, j]), float(component[i, j]), score), score
+            if found:
+                rows.append(found)
+        columns = list(zip(*rows)) or [()] * 7
+        return pa.table([pa.array(c, pa.string() if k < 2 else pa.float64()) for k, c in enumerate(columns)], names=[x.split()[0] for x in _BEST.split(", ")])
+
+    return grid(side(source), side(target), best, _BEST, 512)
+
+
 def match_processes(processes: DataFrame, components: DataFrame, source: str, target: str,
                     threshold: float = vocab.PROCESS_THRESHOLD) -> DataFrame:
-    """Best target per source process; ties go to the lowest target id.
+    """Best target per source process at any threshold; ties go to the lowest target id.
 
-    The best pick is an aggregate (partial results per task), not a window over a group.
+    Where the threshold needs a shared table and rare tables tell processes apart, pairs are met through
+    them; else blocks are compared. Either way the best pick is an aggregate with partial results.
     """
-    pairs = score_process_pairs(process_profiles(processes, components), source, target, threshold)
+    profiles = cut_lineage(process_profiles(processes, components))
+    side = lambda system: _classes(profiles).filter(F.col("system") == system).groupBy(F.col("class_key").alias("key")).agg(F.first("tables").alias("tables"))
+    needed = needed_overlap(threshold)
+    by_join = needed > 0 and SetJoin(side(source), side(target), needed).join_pays()
+    pairs = (score_process_pairs if by_join else best_processes)(profiles, source, target, threshold)
     best = pairs.groupBy("source_id").agg(F.min_by(
         F.struct("target_id", "score"), F.struct(-F.col("score"), F.col("target_id"))).alias("best"))
     return best.select("source_id", "best.*")

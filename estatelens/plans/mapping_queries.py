@@ -278,16 +278,44 @@ def dom_sim(a, b):
     return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 0.5::DOUBLE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE {jac(a, b)} END"
 
 
-@query("match_processes", views=("processes", "components"), oracle=f"""
-WITH {PROFILES}, pr AS (
+def _best_oracle(threshold: float, profiles: str = PROFILES) -> str:
+    return f"""
+WITH {profiles}, pr AS (
   SELECT s.process_id AS source_id, t.process_id AS target_id, round(0.2::DOUBLE * ({name_sim('s.name', 't.name')}) + 0.4::DOUBLE * ({jac('s.ts', 't.ts')}) + 0.2::DOUBLE * ({dom_sim('s.dom', 't.dom')}) + 0.2::DOUBLE * coalesce(component_score, 0), 9) AS score
   FROM prof s JOIN prof t ON s.system = 'hadoop' AND t.system = 'databricks' LEFT JOIN comp ON sid = s.process_id AND tid = t.process_id)
-SELECT source_id, target_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rn FROM pr WHERE score >= 0.7) z WHERE rn = 1
-""")
+SELECT source_id, target_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rn FROM pr WHERE score >= {threshold}) z WHERE rn = 1
+"""
+
+
+@query("match_processes", views=("processes", "components"), oracle=_best_oracle(0.7))
 def match_processes(spark, folder):
     return mt.match_processes(view(spark, folder, "processes"), view(spark, folder, "components"), SRC, TGT)
 
 
+@query("match_processes_low", views=("processes", "components"), oracle=_best_oracle(0.5))
+def match_processes_low(spark, folder):
+    """At 0.5 no table needs to be shared."""
+    return mt.match_processes(view(spark, folder, "processes"), view(spark, folder, "components"), SRC, TGT, 0.5)
+
+
+# Processes that list tables of their own and have a description where the function is missing.
+OWN_PROCESSES = """
+SELECT process_id, system, name, CASE WHEN CAST(substr(process_id, 2) AS BIGINT) % 3 = 0 THEN '' ELSE business_function END AS business_function,
+  concat('Matching of ', business_function) AS description, concat('/in/', name, '.csv') AS own_in, concat('/out/', business_domain, '.tbl') AS own_out FROM processes"""
+
+
+@query("match_processes_own", views=("processes", "components"), oracle=_best_oracle(0.45, PROFILES.replace(
+    "tabs AS (SELECT process_id, list_sort(list_distinct(list(lower(t)))) AS ts FROM (SELECT process_id, unnest([input_dataset, output_dataset]) AS t FROM components) u GROUP BY process_id)",
+    f"own AS ({OWN_PROCESSES}), tabs AS (SELECT process_id, list_sort(list_distinct([lower(name), lower(string_split(string_split(own_out, '/')[-1], '.')[1])])) AS ts FROM own)").replace(
+    kw('business_function', vocab.FUNCTION_KEYWORDS), kw("(CASE WHEN business_function <> '' THEN business_function ELSE description END)", vocab.FUNCTION_KEYWORDS)).replace(
+    "FROM processes pr LEFT JOIN tabs", "FROM own pr LEFT JOIN tabs")))
+def match_processes_own(spark, folder):
+    """Own tables instead of those of components, description where the business function is empty."""
+    view(spark, folder, "processes").createOrReplaceTempView("processes")
+    own = spark.sql(OWN_PROCESSES).withColumn("input_sources", F.array("own_in")).withColumn("output_targets", F.array("own_out"))
+    return mt.match_processes(own, view(spark, folder, "components"), SRC, TGT, 0.45)
+
+
 @query("name_similarity", views=("processes",), oracle=f"""
 SELECT s.process_id AS source_id, t.process_id AS target_id, round({name_sim('s.name', 't.name')}, 6) AS name_score
 FROM processes s JOIN processes t ON s.system = 'hadoop' AND t.system = 'databricks' AND s.business_domain = t.business_domain
@@ -406,11 +434,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY entity, target_system ORDER BY s
 """)
 def flow_level(spark, folder):
     """Best process of the other system by shared tables."""
-    pairs = table_overlap(spark, folder)
-    rows = pairs.select(
+    profiles = cut_lineage(mt.process_profiles(view(spark, folder, "processes"), view(spark, folder, "components")))
+    side = lambda system: profiles.filter(F.col("system") == system).select(F.col("process_id").alias("key"), "tables")
+    return mt.best_overlaps(side(SRC), side(TGT), 0.25).select(
         F.col("left_key").alias("entity"), F.lit(TGT).alias("target_system"), F.col("right_key").alias("target_entity"),
-        F.round("table_score", 9).alias("score"), F.substring("right_key", 2, 20).cast("bigint").alias("target_order"))
-    return mt.flow_level(rows)
+        F.col("table_score").alias("score"), F.col("matches").alias("match_count"), F.lit("equivalent_implementation").alias("relationship_type"))
 
 
 @query("clean_names", oracle="""
