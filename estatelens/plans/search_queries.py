@@ -332,6 +332,23 @@ def ann_search(spark, folder):
     return se.ann_search(_vectors(spark, folder), _centres(spark, folder), 5, max_distance=2.0)
 
 
+@query("vector_index", oracle=f"""
+WITH {VEC} SELECT count(*) AS stored, (SELECT count(*) * 5 FROM centres WHERE query_id % 2 = 1) AS asked, true AS recall_90, true AS distances_exact FROM vec
+""")
+def vector_index(spark, folder):
+    """A kept approximate index over all embeddings, tuned with the even labels' centres and held against exact search with the odd ones'."""
+    docs, centres = _vectors(spark, folder).select("id", "vector"), _centres(spark, folder)
+    queries = centres.where("query_id % 2 = 1")
+    index = se.VectorIndex(spark, scratch(spark, "vector-index"))
+    index.build(docs, lists=32)
+    found = index.search(queries, 5, index.tune(centres.where("query_id % 2 = 0"), 5, 0.98)).select("query_id", "id", "distance")
+    exact = se.vector_search(docs, queries, 5).select("query_id", "id", F.col("distance").alias("exact"))
+    met = exact.join(found, ["query_id", "id"], "left").agg(
+        F.count("*").alias("asked"), (F.count("distance") >= 0.9 * F.count("*")).alias("recall_90"),
+        (F.coalesce(F.max(F.abs(F.col("exact") - F.col("distance"))), F.lit(0.0)) < 1e-6).alias("distances_exact"))
+    return index.rows().agg(F.count("*").alias("stored")).crossJoin(met)  # one row each
+
+
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
@@ -377,6 +394,21 @@ def bm25(spark, folder):
     return se.bm25(_text_docs(spark, folder), _phrases(spark), 10)
 
 
+def _text_index(spark, folder):
+    """The documents as a kept index: a first batch lacks some and holds old texts of others, a second one brings these."""
+    docs, index = _text_docs(spark, folder), se.TextIndex(spark, scratch(spark, "text-index"))
+    late, old = F.col("id") % 7 == 0, F.col("id") % 11 == 0
+    index.add(docs.where(~late).withColumn("text", F.when(old, F.concat(F.lit("the und "), "text", F.lit(" the"))).otherwise(F.col("text"))), 1)
+    index.add(docs.where(late | old), 2)
+    return index
+
+
+@query("bm25_index", oracle=f"WITH {BM} SELECT query_id, id, score, rk AS rank FROM bmr WHERE rk <= 10")
+def bm25_index(spark, folder):
+    """The same ranking from a kept inverted index, after a batch that replaces texts."""
+    return _text_index(spark, folder).search(_phrases(spark), 10)
+
+
 RANKED = f"""
 WITH {BM}, {VEC}, both_ids AS (SELECT id FROM vec JOIN documents ON doc_id = id),
 tk2 AS (SELECT tk.* FROM tk JOIN both_ids USING (id)), av2 AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tk2),

@@ -248,7 +248,7 @@ def test_grid_search_equals_broadcast_search(spark):
     docs = spark.range(60).select("id", F.array(*[F.sin(F.col("id") * (i + 1)) for i in range(4)]).alias("vector"))
     queries = spark.range(7).select(F.col("id").alias("query_id"), F.array(*[F.cos(F.col("id") + i) for i in range(4)]).alias("vector"))
     a = {tuple(r) for r in se.vector_search(docs, queries, 3).collect()}
-    b = {tuple(r) for r in se.vector_search(docs, queries, 3, max_queries=2, blocks=3).collect()}
+    b = {tuple(r) for r in se.vector_search(docs, queries, 3, max_queries=2).collect()}
     assert a == b and len(a) == 21
     assert se.vector_search(docs, queries.limit(0), 3).count() == 0
 
