@@ -44,6 +44,20 @@ def missing_items(pairs: DataFrame, source: DataFrame, target: DataFrame, gap_ty
         F.lit("high" if tables else "medium").alias("severity"), "source_id", "target_id", "item")
 
 
+def missing_component_columns(equivalents: DataFrame, fields: DataFrame) -> DataFrame:
+    """Output columns of a component that its equivalent in the other system lacks, in any case of letters.
+
+    `equivalents` has (source_component, target_component), `fields` (component_id, field) of both sides. Components
+    without any output field are not compared. One row per missing column.
+    """
+    fields = fields.select(F.col("component_id").alias("id"), F.lower("field").alias("item")).distinct()
+    known = equivalents.join(fields.select(F.col("id").alias("target_component")).distinct(), "target_component", "left_semi")
+    have = known.join(fields.withColumnRenamed("id", "source_component"), "source_component")
+    return have.join(fields.withColumnRenamed("id", "target_component"), ["target_component", "item"], "left_anti").select(
+        short_id(F.lit("col"), "source_component", "target_component").alias("gap_id"), F.lit("missing_columns").alias("gap_type"),
+        F.lit("medium").alias("severity"), "source_component", "target_component", "item")
+
+
 def count_mismatch(pairs: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """Pairs whose sides have different row counts; both tables have a column `id`."""
     counted = lambda df, side: df.groupBy(F.col("id").alias(f"{side}_id")).agg(F.count("*").alias(f"{side}_count"))

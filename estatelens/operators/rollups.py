@@ -11,10 +11,26 @@ from estatelens.functions.text import as_col
 
 
 def repository_rollup(components: DataFrame, repo="system") -> DataFrame:
-    """Per repository and component type, with subtotals: components, processes, datasets."""
-    return components.rollup(repo, "component_type").agg(
-        F.count("*").alias("components"), F.countDistinct("process_id").alias("processes"),
-        F.countDistinct("input_dataset").alias("sources"), F.countDistinct("output_dataset").alias("targets"))
+    """Per repository and component type, with subtotals: components, processes, datasets.
+
+    Distinct values are counted in long form: each (kind, value) meets once, with the set of groups it stands in, and
+    counts for each of them, for each repository among them, and for the total. Rows are reduced per task before that one exchange.
+    """
+    kinds = {"processes": "process_id", "sources": "input_dataset", "targets": "output_dataset"}
+    own = F.struct(F.col(repo).alias("r"), F.col("component_type").alias("t"))
+    values = components.select(own.alias("g"), F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in kinds.items()])).alias("v")) \
+        .where("v.value is not null").groupBy("v.kind", "v.value").agg(F.collect_set("g").alias("groups"))
+    at = lambda level, r, t: F.struct(F.lit(level).alias("level"), r.cast("string").alias("r"), t.cast("string").alias("t"))
+    none = F.lit(None)
+    levels = F.concat(F.transform("groups", lambda g: at(2, g["r"], g["t"])),
+                      F.transform(F.array_distinct(F.transform("groups", lambda g: g["r"])), lambda r: at(1, r, none)), F.array(at(0, none, none)))
+    distinct = values.select("kind", F.explode(levels).alias("g")).groupBy("g").agg(
+        *[F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds]).select("g.*", *kinds)
+    rows = components.rollup(repo, "component_type").agg(F.count("*").alias("components"), F.grouping_id().alias("id"))
+    level = F.when(F.col("id") == 0, 2).when(F.col("id") == 1, 1).otherwise(0)
+    return rows.join(distinct, (level == F.col("level")) & F.col(repo).eqNullSafe(F.col("r")) & F.col("component_type").eqNullSafe(F.col("t")), "left") \
+        .select(repo, "component_type", "components", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
 
 
 def repository_datasets(components: DataFrame, repo="system") -> DataFrame:

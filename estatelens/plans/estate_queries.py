@@ -8,6 +8,7 @@ from estatelens.functions import text as tx
 from estatelens.functions import vocab
 from estatelens.functions.scale import cut_lineage
 from estatelens.operators import gaps as gp
+from estatelens.operators import matching as mt
 from estatelens.operators import pig_scripts as pig
 from estatelens.operators import rollups as ru
 from estatelens.operators import sizing as sz
@@ -16,7 +17,7 @@ from estatelens.operators import sql_scripts as sql
 from estatelens.operators import sttm as st
 from estatelens.operators.scripts import path_group
 from estatelens.operators.workflow_mapping import order_by_severity
-from estatelens.plans.mapping_queries import PROCESS_PAIRS, SRC, TGT, process_pairs
+from estatelens.plans.mapping_queries import EQUIVALENT, PROCESS_PAIRS, SRC, TGT, best_oracle, equivalent_component, process_pairs
 from estatelens.plans.registry import lit, lit_list, query
 from estatelens.plans.views import table, view
 
@@ -287,14 +288,15 @@ def io_gaps(spark, folder):
     return gp.io_gaps(scripts, SRC, TGT)
 
 
-@query("missing_processes", views=("processes",), oracle="""
+@query("missing_processes", views=("processes", "components"), oracle=f"""
 SELECT left(md5(concat('missing_', process_id)), 16) AS gap_id, 'missing_process' AS gap_type, 'critical' AS severity, process_id FROM processes
-WHERE system = 'hadoop' AND concat('p', CAST(CAST(substr(process_id, 2) AS BIGINT) + 1 AS VARCHAR)) NOT IN (SELECT process_id FROM processes WHERE system = 'databricks')
+WHERE system = 'hadoop' AND process_id NOT IN (SELECT source_id FROM ({best_oracle(0.865)}) b)
 """)
 def missing_processes(spark, folder):
-    source = view(spark, folder, "processes").filter(F.col("system") == SRC)
-    matched = process_pairs(spark, folder).select(F.col("source_process").alias("process_id"))
-    return gp.missing(source, matched, "process_id")
+    """Processes without a match at 0.865."""
+    processes = view(spark, folder, "processes")
+    matched = mt.match_processes(processes, view(spark, folder, "components"), SRC, TGT, 0.865).select(F.col("source_id").alias("process_id"))
+    return gp.missing(processes.filter(F.col("system") == SRC), matched, "process_id")
 
 
 @query("missing_workflows", views=("scripts",), oracle="""
@@ -334,6 +336,17 @@ def missing_columns(spark, folder):
     return gp.missing_items(_ids(process_pairs(spark, folder)), items, items, "missing_columns")
 
 
+@query("missing_component_columns", views=("processes", "component_schemas"), oracle=f"""
+WITH {EQUIVALENT}, {OUT}, i AS (SELECT DISTINCT component_id AS id, lower(target_column) AS item FROM o)
+SELECT left(md5(concat('col_', source_component, '_', target_component)), 16) AS gap_id, 'missing_columns' AS gap_type, 'medium' AS severity, source_component, target_component, item
+FROM equivalent JOIN i ON id = source_component WHERE target_component IN (SELECT id FROM i) AND NOT EXISTS (SELECT 1 FROM i t WHERE t.id = target_component AND t.item = i.item)
+""")
+def missing_component_columns(spark, folder):
+    """Columns compared between each component and its equivalent."""
+    fields_ = components(spark, folder).select("component_id", F.explode("out_fields").alias("f")).select("component_id", F.col("f.name").alias("field"))
+    return gp.missing_component_columns(equivalent_component(spark, folder), fields_)
+
+
 @query("count_mismatch", views=("processes", "components"), oracle=f"""
 WITH {PROCESS_PAIRS}, c AS (SELECT process_id, count(*) AS n FROM components GROUP BY 1)
 SELECT left(md5(concat('logic_', source_process, '_', target_process)), 16) AS gap_id, 'logic_difference' AS gap_type, 'high' AS severity, source_process AS source_id, target_process AS target_id,

@@ -278,7 +278,7 @@ def dom_sim(a, b):
     return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 0.5::DOUBLE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE {jac(a, b)} END"
 
 
-def _best_oracle(threshold: float, profiles: str = PROFILES) -> str:
+def best_oracle(threshold: float, profiles: str = PROFILES) -> str:
     return f"""
 WITH {profiles}, pr AS (
   SELECT s.process_id AS source_id, t.process_id AS target_id, round(0.2::DOUBLE * ({name_sim('s.name', 't.name')}) + 0.4::DOUBLE * ({jac('s.ts', 't.ts')}) + 0.2::DOUBLE * ({dom_sim('s.dom', 't.dom')}) + 0.2::DOUBLE * coalesce(component_score, 0), 9) AS score
@@ -287,12 +287,12 @@ SELECT source_id, target_id, round(score, 6) AS score FROM (SELECT *, row_number
 """
 
 
-@query("match_processes", views=("processes", "components"), oracle=_best_oracle(0.7))
+@query("match_processes", views=("processes", "components"), oracle=best_oracle(0.7))
 def match_processes(spark, folder):
     return mt.match_processes(view(spark, folder, "processes"), view(spark, folder, "components"), SRC, TGT)
 
 
-@query("match_processes_low", views=("processes", "components"), oracle=_best_oracle(0.5))
+@query("match_processes_low", views=("processes", "components"), oracle=best_oracle(0.5))
 def match_processes_low(spark, folder):
     """At 0.5 no table needs to be shared."""
     return mt.match_processes(view(spark, folder, "processes"), view(spark, folder, "components"), SRC, TGT, 0.5)
@@ -304,7 +304,7 @@ SELECT process_id, system, name, CASE WHEN CAST(substr(process_id, 2) AS BIGINT)
   concat('Matching of ', business_function) AS description, concat('/in/', name, '.csv') AS own_in, concat('/out/', business_domain, '.tbl') AS own_out FROM processes"""
 
 
-@query("match_processes_own", views=("processes", "components"), oracle=_best_oracle(0.45, PROFILES.replace(
+@query("match_processes_own", views=("processes", "components"), oracle=best_oracle(0.45, PROFILES.replace(
     "tabs AS (SELECT process_id, list_sort(list_distinct(list(lower(t)))) AS ts FROM (SELECT process_id, unnest([input_dataset, output_dataset]) AS t FROM components) u GROUP BY process_id)",
     f"own AS ({OWN_PROCESSES}), tabs AS (SELECT process_id, list_sort(list_distinct([lower(name), lower(string_split(string_split(own_out, '/')[-1], '.')[1])])) AS ts FROM own)").replace(
     kw('business_function', vocab.FUNCTION_KEYWORDS), kw("(CASE WHEN business_function <> '' THEN business_function ELSE description END)", vocab.FUNCTION_KEYWORDS)).replace(
@@ -378,18 +378,19 @@ def process_pairs(spark, folder):
     return a.join(b, "no").select("source_process", "target_process")
 
 
-@query("equivalent_component", views=("processes", "component_schemas"), oracle=f"""
-WITH {PROCESS_PAIRS},
+EQUIVALENT = f"""{PROCESS_PAIRS},
 tn AS (SELECT process_id, lower(name) AS nm, min(component_id) AS hit FROM component_schemas GROUP BY 1, 2),
 sn AS (SELECT DISTINCT source_process, target_process, lower(name) AS nm FROM component_schemas JOIN pairs ON process_id = source_process),
 nm_hit AS (SELECT sn.source_process, sn.nm, min(CASE WHEN sn.nm = tn.nm THEN tn.hit END) AS eq, min(tn.hit) AS inc FROM sn JOIN tn ON tn.process_id = sn.target_process AND (contains(sn.nm, tn.nm) OR contains(tn.nm, sn.nm)) GROUP BY 1, 2),
 ds AS (SELECT process_id, unnest([input_dataset, output_dataset]) AS d, component_id FROM component_schemas),
 dh AS (SELECT process_id, d, min(component_id) AS hit FROM ds GROUP BY 1, 2),
-io AS (SELECT s.component_id, min(dh.hit) AS hit FROM ds s JOIN pairs ON s.process_id = source_process JOIN dh ON dh.process_id = target_process AND dh.d = s.d GROUP BY 1)
-SELECT c.component_id AS source_component, coalesce(eq, inc, io.hit) AS target_component, CAST(CASE WHEN eq IS NOT NULL THEN 1 WHEN inc IS NOT NULL THEN 2 ELSE 3 END AS BIGINT) AS rule
+io AS (SELECT s.component_id, min(dh.hit) AS hit FROM ds s JOIN pairs ON s.process_id = source_process JOIN dh ON dh.process_id = target_process AND dh.d = s.d GROUP BY 1),
+equivalent AS (SELECT c.component_id AS source_component, coalesce(eq, inc, io.hit) AS target_component, CAST(CASE WHEN eq IS NOT NULL THEN 1 WHEN inc IS NOT NULL THEN 2 ELSE 3 END AS BIGINT) AS rule
 FROM component_schemas c JOIN pairs ON c.process_id = source_process LEFT JOIN nm_hit ON nm_hit.source_process = c.process_id AND nm_hit.nm = lower(c.name) LEFT JOIN io ON io.component_id = c.component_id
-WHERE coalesce(eq, inc, io.hit) IS NOT NULL
-""")
+WHERE coalesce(eq, inc, io.hit) IS NOT NULL)"""
+
+
+@query("equivalent_component", views=("processes", "component_schemas"), oracle=f"WITH {EQUIVALENT} SELECT * FROM equivalent")
 def equivalent_component(spark, folder):
     comps = view(spark, folder, "component_schemas").select(
         "component_id", "process_id", "name", F.array("input_dataset", "output_dataset").alias("datasets"))

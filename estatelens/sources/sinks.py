@@ -43,5 +43,20 @@ def write_by_type(df: DataFrame, path: str, by: str = "gap_type") -> None:
 
 
 def cap_rows(df: DataFrame, order: list, n: int) -> DataFrame:
-    """The first `n` rows in a stable order, without a single sorting task."""
-    return number_rows(df, order, name="_no").filter(F.col("_no") <= n).drop("_no")
+    """The first `n` rows in a stable order, without a single sorting task.
+
+    Only the order's columns are numbered, to find the key of row `n`; rows up to it are then filtered. Of
+    rows equal in all these columns at the cut as many stay as have room.
+    """
+    if n <= 0:
+        return df.limit(0)
+    keys = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    numbered = number_rows(keys, keys.columns, name="_no")
+    cut = numbered.where(F.col("_no") == n).first()
+    if cut is None:
+        return df
+    types = dict(keys.dtypes)
+    last = F.struct(*[F.lit(cut[k]).cast(types[k]).alias(k) for k in keys.columns])
+    own = F.struct(*[F.col(c).alias(k) for c, k in zip(order, keys.columns)])
+    before = numbered.where(F.struct(*keys.columns) < last).count()
+    return df.where(own < last).unionByName(df.where(own == last).limit(n - before))

@@ -6,7 +6,7 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILES_PER_BATCH = 1000
@@ -22,6 +22,17 @@ def changed_files(previous: DataFrame, now: DataFrame) -> DataFrame:
     return now.join(previous.select("file_key").distinct(), "file_key", "left_anti")
 
 
+def _written() -> Column:
+    """When a row was written: runs over files are named by time; batches of a stream come before them, in their own order."""
+    timed = F.col("run").rlike("^[0-9]{20}-")
+    return F.struct(F.when(timed, F.substring("run", 1, 20)).otherwise("").alias("at"), F.when(timed, F.lit(None)).otherwise(F.col("version")).alias("version"), F.col("run").alias("run"))
+
+
+def latest_states(rows: DataFrame) -> DataFrame:
+    """(id, file_key) of the newest run per file: an older state that comes back is a change."""
+    return rows.groupBy("id").agg(F.max_by("file_key", _written()).alias("file_key"))
+
+
 def _write(rows: DataFrame, out: str, run: str) -> None:
     """One pass: every row is kept whole, tagged good or not, below a folder of its run.
 
@@ -42,12 +53,12 @@ def stored(spark: SparkSession, out: str) -> DataFrame | None:
 
 
 def index_changes(files: DataFrame, out: str) -> None:
-    """Indexes the files whose state (`file_key`) no earlier run has stored, whatever their age.
+    """Indexes the files whose state (`file_key`) is not the one that the newest run stored, whatever their age.
 
     `files` has (id, title, content, version, file_key).
     """
     known = stored(files.sparkSession, out)
-    new = files if known is None else changed_files(known, files)
+    new = files if known is None else changed_files(latest_states(known), files)
     _write(new, out, f"{time.time_ns():020d}-{uuid.uuid4().hex}")
 
 
@@ -59,7 +70,7 @@ def index_folder(spark: SparkSession, folder: str, glob: str, out: str) -> None:
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     now = scan.load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).withColumn("file_key", file_key())
     known = stored(spark, out)
-    paths = [r["path"] for r in (now if known is None else changed_files(known, now)).select("path").toLocalIterator()]
+    paths = [r["path"] for r in (now if known is None else changed_files(latest_states(known), now)).select("path").toLocalIterator()]
     if paths:
         keyed = scan.load(paths).withColumn("file_key", file_key("path", "length", "modificationTime"))
         _write(_as_documents(keyed, "file_key"), out, f"{time.time_ns():020d}-{uuid.uuid4().hex}")
@@ -107,10 +118,13 @@ def script_stream(spark: SparkSession, folder: str, glob: str, files_per_batch:
 
 
 def indexed_docs(spark: SparkSession, out: str) -> DataFrame:
-    """Latest good version per document over all runs; the winner is chosen without its text."""
+    """The good text of the newest run per document, so a restored file is old again; the winner is chosen without its text.
+
+    Batches of a stream, whose names do not tell their time, go by version.
+    """
     rows = spark.read.parquet(out).where("good = 1")
-    last = rows.groupBy("id").agg(F.max(F.struct("version", "run")).alias("last"))
-    last = last.select("id", F.col("last.version").alias("version"), F.col("last.run").alias("run"))
+    last = rows.groupBy("id").agg(F.max(F.struct(_written().alias("written"), "version")).alias("last"))
+    last = last.select("id", F.col("last.version").alias("version"), F.col("last.written.run").alias("run"))
     return rows.join(last, ["id", "version", "run"]).drop("good", "run", "file_key").dropDuplicates(["id"])
 
 
