@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +17,7 @@ from estatelens.llm.common import documents, per_batch, read, sliced, stage
 
 CHUNK = 16_384  # code points of a chunk; longer documents are cut
 SPACE = "▁"
+KNOWN = 100_000  # pairs of neighbours that a task remembers
 FRESH = ""  # the last token at a place that no piece can span
 
 State = tuple[int, int]  # of a boundary: start and end of the token that reaches or crosses it
@@ -57,7 +59,7 @@ class Model:
         """Whether the transition weighs 0."""
         pair = (last, token)
         if pair not in self.known:
-            if len(self.known) > 200_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             self.known[pair] = self.merged(last + token) == [x for x in pair if x]
         return self.known[pair]
@@ -292,9 +294,14 @@ def resolved(found: DataFrame) -> DataFrame:
     return found.repartition(tasks, "body").groupBy("body").applyInPandas(solve, "body binary, k long, p long, q long, r long, s long")
 
 
-def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
+ENCODED = "key long, doc_id long, k long, ids array<int>, intact boolean"
+
+
+def encode(docs: DataFrame, path: str, size: int = CHUNK, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter, schema: str = ENCODED) -> DataFrame:
     """(key, doc_id, k, ids, intact): ids of each chunk of each document, in order of k; `intact`: they decode to their text.
 
+    `finish` turns these batches into others, of `schema`, in the task that encodes.
+
     The ids of a document's chunks, joined, are those of the library over the whole text. A document of
     at most `size` code points is one chunk between two known states. Longer ones are cut anywhere: each
     chunk gives a transfer matrix between the states of its boundaries, the matrices are multiplied, and
@@ -310,7 +317,7 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     states = stage(resolved(transfers(cut.repartition("body", "k", "key"), path)))
     found = cut.join(states.hint("merge"), ["body", "k"]).select("key", "doc_id", "k", *_WORK, "p", "q", "r", "s", "marked")
 
-    def run(batches):
+    def run_cut(batches):
         m = model(path)
         for batch in sliced(batches):
             ids, intact = [], []
@@ -330,8 +337,8 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
                 intact.append(m.decode(ids[-1]) == (" " + text if text else ""))
             yield _encoded([*batch.columns[:2], pa.array([0] * len(ids), pa.int64())], ids, intact)
 
-    schema = "key long, doc_id long, k long, ids array<int>, intact boolean"
-    return per_batch(rows.where(~long), run_short, schema).union(per_batch(found, run, schema))
+    run = lambda encoded: lambda batches: finish(encoded(batches))
+    return per_batch(rows.where(~long), run(run_short), schema).union(per_batch(found, run(run_cut), schema))
 
 
 def _encoded(names: list[pa.Array], ids: list[list[int]], intact: list[bool]) -> pa.RecordBatch:
@@ -355,8 +362,8 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Of every document: chunks, ids, a checksum of the ids with their places, and whether they decode to the text."""
     import public_tokenizers
 
-    found = per_batch(encode(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")), _digests,
-                      "key long, doc_id long, k long, n long, s long, t long, intact boolean")
+    found = encode(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), CHUNK, _digests,
+                   "key long, doc_id long, k long, n long, s long, t long, intact boolean")
     ahead = F.sum("n").over(Window.partitionBy("key").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     wide = lambda c: F.col(c).cast("decimal(18,0)")
     found = found.withColumn("before", F.coalesce(ahead, F.lit(0)))
