@@ -22,7 +22,7 @@ HOT_COUNT = 4  # texts of these that a frequent n-gram is in at least
 HOT_MOST = 50_000  # frequent n-grams that are left out of segments at first, the most frequent ones
 RARE_LEVELS = 2  # seeds tried without them
 LEVELS = 24  # seeds tried before empty segments are indexed too
-BLOCK = 2_000_000  # n-grams of a cluster that one side of a verification task holds
+BLOCK = 1_000_000  # n-grams of a cluster that one side of a verification task holds
 PIECE = 1 << 20  # bytes of a text hashed at once
 
 _SPACE = np.zeros(256, bool)
@@ -298,14 +298,14 @@ def _components(sets: list[np.ndarray], p: int, q: int) -> list[int]:
     if len(sets) == 2:
         shared = len(np.intersect1d(*sets, assume_unique=True))
         return [0, 0 if q * shared >= p * (size.sum() - shared) else 1]
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     offset = np.concatenate([[0], np.cumsum(size)])
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
 
     def postings(open_sets):
-        keep = open_sets[owner]
-        order = np.argsort(token[keep], kind="stable")
-        return np.searchsorted(token[keep][order], np.arange(token.max() + 2)), owner[keep][order]
+        keep = np.flatnonzero(open_sets[owner])
+        keep = keep[np.argsort(token[keep], kind="stable")]
+        return np.searchsorted(token[keep], np.arange(token.max() + 2, dtype=np.int32)), owner[keep]
 
     starts, owners = postings(label < 0)
     left = built = len(sets)
@@ -336,7 +336,8 @@ def verified_edges(members: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """
     def solve(rows):
         by_id = {}
-        for doc_id, node, data in rows:
+        while rows:  # a text is let go when its set is there
+            doc_id, node, data = rows.pop()
             if doc_id not in by_id:
                 grams = ngram_set(data, n)
                 if len(grams) and set_key(grams)[0] == node:
