@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from estatelens.llm.common import per_batch, read
 
 SAMPLE_DOCS = 200  # documents of a language that its dictionary is made from, by hash of the doc_id
-SAMPLE_CHARS = 4000  # characters of each of them
+SAMPLE_CHARS = 4000  # characters of each of them, in pieces spread over the whole text
+PIECES = 8
+LANGUAGES = 128  # languages that have a dictionary, those with most documents first
 DICTIONARY = 256_000  # bytes of a dictionary
 BLOCK = 4096  # bytes of text compressed at a time, so that the dictionary counts throughout a long text
 LEVEL = 5
@@ -23,24 +25,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def pieces(text: Column) -> Column:
+    """The text, or PIECES pieces of a longer one: SAMPLE_CHARS code points from places spread evenly from its start to its end."""
+    size = SAMPLE_CHARS // PIECES
+    last = F.length(text) - size
+    cut = F.concat(*[F.substring(text, F.floor(last * k / (PIECES - 1)).cast("int") + 1, F.lit(size)) for k in range(PIECES)])
+    return F.when(last > SAMPLE_CHARS - size, cut).otherwise(text)
+
+
+def shared_room(sizes: list[int], room: int) -> int:
+    """The largest share such that texts cut to it fit together: short ones leave their room to the others."""
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > room:
+            return room // (len(sizes) - k)
+        room -= size
+    return max(sizes, default=0)
+
+
+def dictionary(texts: list[str]) -> bytes:
+    """At most DICTIONARY bytes, of which each text has an equal share of whole code points, or all it has."""
+    data = [t.encode() for t in texts if t]
+    share = shared_room([len(d) + 1 for d in data], DICTIONARY) - 1
+    return b"\n".join(d[:share].decode(errors="ignore").encode() for d in data)
+
+
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A raw-content dictionary per language, from a bounded sample of labelled documents that are not held out.
 
-    Each language has up to DICTIONARY bytes of its own texts, whatever the others have. Sizes with
-    unequal dictionaries are compared as they are; the README has the figures for scarce languages.
+    The bounds: the LANGUAGES languages with most such documents (ties by name), SAMPLE_DOCS documents of
+    each, SAMPLE_CHARS code points spread over each document, DICTIONARY bytes a language, to which all its
+    sampled documents add equal shares. Sizes with unequal dictionaries are compared as they are; the README
+    has the figures for scarce languages.
 
     Each task keeps SAMPLE_DOCS rows of a language before rows move, so a language with most of the
     rows costs no more than another. The driver gets SAMPLE_DOCS * SAMPLE_CHARS characters a language.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))) \
+        .select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.left("text", F.lit(SAMPLE_CHARS)).alias("text")) \
-        .withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE_DOCS).select("lang", "at", "text").collect()
+    rows = known.where(F.col("lang").isin([r["lang"] for r in most.collect()])).withColumn("at", F.row_number().over(first)) \
+        .where(F.col("at") <= SAMPLE_DOCS).select("lang", "at", pieces(F.col("text")).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for row in sorted(rows):
         texts.setdefault(row["lang"], []).append(row["text"])
-    # the end of a dictionary is cheapest to refer to; a scarce language has a smaller one, and leaves the others theirs
-    whole = {lang: "\n".join(t).encode()[-DICTIONARY:] for lang, t in sorted(texts.items())}
+    # a scarce language has a smaller dictionary, and leaves the others theirs
+    whole = {lang: dictionary(t) for lang, t in sorted(texts.items())}
     return {lang: content for lang, content in whole.items() if content}
 
 
