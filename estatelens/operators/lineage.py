@@ -6,13 +6,14 @@ shared folder, so plans stay short and a lost executor costs one level at most.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.functions.scale import cut_lineage
+from estatelens.functions.scale import cut_lineage, shared_folder
 
 
 def _rounds(most: int | None) -> Iterable[int]:
@@ -66,14 +67,12 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "downstream", ma
     return visited.filter(F.col("depth") > 0)
 
 
-def trace_table(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """Hops from tables through the scripts that read them to the tables those write.
+def trace_scripts(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(script, hop) of the scripts that are met on the way from the start tables, at their first hop.
 
-    `reads` and `writes` have (script, tab), `start` has (tab). A script is visited once, at
-    its first hop, with all its reads and writes; new output tables feed the next hop.
+    `reads` and `writes` have (script, tab), `start` has (tab). A script is visited once; its
+    output tables feed the next hop. A level has one row per script, whatever it reads and writes.
     """
-    reads = cut_lineage(reads.select("script", "tab").distinct())
-    writes = cut_lineage(writes.select("script", "tab").distinct())
     frontier, hops = start.select("tab").distinct(), None
     for hop in _rounds(max_hops):
         scripts = reads.join(frontier, "tab").select("script").distinct()
@@ -85,9 +84,40 @@ def trace_table(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops:
         hops = level if hops is None else hops.unionByName(level)
         # tables of earlier hops may come again: all scripts that read them are done
         frontier = writes.join(level, "script", "left_semi").select("tab").distinct()
-    if hops is None:
-        hops = reads.limit(0).select("script", F.lit(0).alias("hop"))
-    return hops.join(reads.withColumnRenamed("tab", "source_table"), "script") \
+    return hops if hops is not None else reads.limit(0).select("script", F.lit(0).alias("hop"))
+
+
+def _script_edges(edges: DataFrame) -> DataFrame:
+    return cut_lineage(edges.select("script", "tab").distinct())
+
+
+def trace_edges(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Rows (hop, script, direction, tab): what each script met on the way reads and writes.
+
+    A script with r reads and w writes has r + w rows; `hop_pairs` multiplies them where asked.
+    """
+    reads, writes = _script_edges(reads), _script_edges(writes)
+    hops = trace_scripts(reads, writes, start, max_hops)
+    side = lambda edges, name: edges.join(hops, "script").select("hop", "script", F.lit(name).alias("direction"), "tab")
+    return side(reads, "read").unionByName(side(writes, "write"))
+
+
+def hop_pairs(hop_edges: DataFrame, scripts: DataFrame | None = None) -> DataFrame:
+    """(hop, script, source_table, target_table): every read with every write of a script.
+
+    `scripts` (script) names the scripts to list; None: all. The result is as long as that
+    product, so ask for the scripts that are looked at.
+    """
+    rows = hop_edges if scripts is None else hop_edges.join(scripts.select("script").distinct(), "script", "left_semi")
+    side = lambda name, column: rows.filter(F.col("direction") == name).select("hop", "script", F.col("tab").alias(column))
+    return side("read", "source_table").join(side("write", "target_table"), ["hop", "script"]) \
+        .select("hop", "script", "source_table", "target_table")
+
+
+def trace_table(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Hops from tables through the scripts that read them to the tables those write, all pairs of a script."""
+    reads, writes = _script_edges(reads), _script_edges(writes)
+    return trace_scripts(reads, writes, start, max_hops).join(reads.withColumnRenamed("tab", "source_table"), "script") \
         .join(writes.withColumnRenamed("tab", "target_table"), "script") \
         .select("hop", "script", "source_table", "target_table")
 
@@ -119,28 +149,73 @@ def hop_graph(hops: DataFrame) -> DataFrame:
     return hops.select(node("source").alias("from_node"), node("target").alias("to_node"), "script").distinct()
 
 
+def chain_ends(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the chains of nodes with one parent start: (node, root, dist), and the nodes (node) on or behind a cycle of them.
+
+    `parents` has (node, parent), one row per node; a root is a parent without a row. Pointers
+    double each round, so a chain of n nodes takes log n rounds; a round without a new end
+    leaves only cycles, as the node next beyond the reach of the last round would have ended.
+    """
+    inner = parents.select(F.col("node").alias("parent"), F.lit(True).alias("inner"))
+    first = cut_lineage(parents.join(inner, "parent", "left").select(
+        "node", F.col("parent").alias("root"), F.lit(1).cast("bigint").alias("dist"), F.col("inner").isNull().alias("ended")))
+    ended, waiting = first.filter("ended"), first.filter("NOT ended")
+    left = waiting.count()
+    while left:
+        reach = ended.unionByName(waiting).select(F.col("node").alias("at"), F.col("root").alias("to"), F.col("dist").alias("more"), F.col("ended").alias("end"))
+        step = cut_lineage(waiting.join(reach, waiting["root"] == reach["at"]).select(
+            "node", F.col("to").alias("root"), (F.col("dist") + F.col("more")).alias("dist"), F.col("end").alias("ended")))
+        ended, waiting = ended.unionByName(step.filter("ended")), step.filter("NOT ended")
+        before, left = left, waiting.count()
+        if left == before:
+            break
+    return ended.select("node", "root", "dist"), waiting.select("node")
+
+
 def topo_layers(edges: DataFrame) -> DataFrame:
-    """Layer per node of an acyclic graph; nodes on or behind a cycle get no layer.
+    """Layer per node of an acyclic graph (the longest way from a node without predecessors); nodes on or behind a cycle get no layer.
 
-    `edges` has (src, dst). Each round removes the nodes without a remaining predecessor;
-    only successors of the nodes just removed can be free in the next round.
+    `edges` has (src, dst). Nodes with one predecessor lie on chains, which are contracted first;
+    rounds are only needed between nodes with several. A round reads the contracted edges of the
+    nodes just freed and takes their numbers off the counters of their successors; a counter at 0
+    frees the successor. Edges are written once; a round writes the free nodes and the counters that changed.
     """
-    left = cut_lineage(edges.select("src", "dst").distinct())
-    nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    heads = lambda e: e.select(F.col("dst").alias("node")).distinct()
-    layers, waiting = None, left.select(F.col("src").alias("node")).distinct()
-    for layer in count():
-        free = cut_lineage(waiting.join(heads(left), "node", "left_anti").withColumn("layer", F.lit(layer)))
-        if free.isEmpty():
+    steps = cut_lineage(edges.select("src", "dst").distinct())
+    nodes = steps.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    entered = cut_lineage(steps.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open"), F.min("src").alias("parent")))
+    chained, cyclic = chain_ends(entered.filter("open = 1").select("node", "parent"))
+    merges = entered.filter("open > 1").select("node", "open")
+    ends = chained.select(F.col("node").alias("src"), "root", "dist")
+    # all steps of a chain end at its root, so parallel ways between two nodes are one row: how many, and the longest
+    links = cut_lineage(
+        steps.join(merges.select(F.col("node").alias("dst")), "dst", "left_semi")
+        .join(cyclic.select(F.col("node").alias("src")), "src", "left_anti").join(ends, "src", "left")
+        .groupBy(F.coalesce("root", "src").alias("src"), F.col("dst").alias("node"))
+        .agg(F.count("*").alias("ways"), F.max(F.coalesce("dist", F.lit(0)) + 1).alias("length")))
+    spark, folder = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/layers-{uuid.uuid4().hex}"
+    free = cut_lineage(nodes.join(entered, "node", "left_anti").select("node", F.lit(0).cast("bigint").alias("layer")))
+    layers, touched = free, None
+    for layer in count(1):
+        closed = links.join(free.select(F.col("node").alias("src"), "layer"), "src") \
+            .groupBy("node").agg(F.sum("ways").alias("closed"), F.max(F.col("layer") + F.col("length")).alias("layer"))
+        total, most = F.col("closed"), F.col("layer")
+        if touched is not None:  # what earlier rounds took off the counters of these nodes
+            earlier = touched.join(closed.select("node"), "node", "left_semi") \
+                .groupBy("node").agg(F.sum("closed").alias("before"), F.max("layer").alias("highest"))
+            closed = closed.join(earlier, "node", "left")
+            total, most = total + F.coalesce("before", F.lit(0)), F.greatest("layer", "highest")
+        state = closed.join(merges, "node").select("node", "closed", most.alias("layer"), (total == F.col("open")).alias("is_free"))
+        state.write.parquet(f"{folder}/{layer}")
+        state = spark.read.schema(state.schema).parquet(f"{folder}/{layer}")
+        if state.isEmpty():
             break
-        layers = free if layers is None else layers.unionByName(free)
-        gone = free.select(F.col("node").alias("src"))
-        waiting = heads(left.join(gone, "src", "left_semi"))
-        left = cut_lineage(left.join(gone, "src", "left_anti"))
-    if layers is None:
-        return nodes.withColumn("layer", F.lit(None).cast("int"))
-    cyclic = nodes.join(layers.select("node"), "node", "left_anti")
-    return layers.unionByName(cyclic.withColumn("layer", F.lit(None).cast("int")))
+        free = state.filter("is_free").select("node", "layer")
+        touched = spark.read.schema(state.schema).parquet(f"{folder}/*")
+    if touched is not None:
+        layers = layers.unionByName(touched.filter("is_free").select("node", "layer"))
+    on_chains = chained.join(layers.select(F.col("node").alias("root"), F.col("layer").alias("above")), "root") \
+        .select("node", (F.col("above") + F.col("dist")).alias("layer"))
+    return nodes.join(layers.unionByName(on_chains), "node", "left").select("node", F.col("layer").cast("int").alias("layer"))
 
 
 def graph_endpoints(edges: DataFrame) -> DataFrame:

@@ -96,6 +96,24 @@ def trace_table(spark, folder):
     return ln.trace_table(*_flow_steps(spark, folder), start, 10)
 
 
+@query("trace_edges", views=("flow",), oracle=f"""
+WITH st AS ({_STARTS}),
+h1 AS (SELECT DISTINCT 1 AS hop, src, dst FROM flow JOIN st ON src = tab),
+h2 AS (SELECT DISTINCT 2 AS hop, flow.src, flow.dst FROM flow JOIN h1 ON flow.src = h1.dst),
+h3 AS (SELECT DISTINCT 3 AS hop, flow.src, flow.dst FROM flow JOIN h2 ON flow.src = h2.dst),
+s AS (SELECT src, min(hop) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) h GROUP BY src)
+SELECT DISTINCT CAST(hop AS BIGINT) AS hop, concat('of ', src) AS script, d.direction, CASE d.direction WHEN 'read' THEN src ELSE dst END AS tab
+FROM s JOIN flow USING (src), (SELECT unnest(['read', 'write']) AS direction) d
+""")
+def trace_edges(spark, folder):
+    """The same hops where one script reads a node and writes all its successors: one row per table, not per pair."""
+    flow = view(spark, folder, "flow").select(F.concat(F.lit("of "), F.col("src")).alias("script"), "src", "dst")
+    start = table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING' AND c_acctbal < 0") \
+        .select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("tab"))
+    flow = cut_lineage(flow)
+    return ln.trace_edges(flow.select("script", F.col("src").alias("tab")), flow.select("script", F.col("dst").alias("tab")), start)
+
+
 _COLS = """cl AS (
   SELECT concat('f', CAST(l_orderkey % 50 AS VARCHAR)) AS script, concat('t', CAST(l_partkey % 200 AS VARCHAR)) AS source_table, concat('k', CAST(l_linenumber % 3 AS VARCHAR)) AS source_column,
     concat('t', CAST(l_partkey % 200 + 1 + l_suppkey % 20 AS VARCHAR)) AS target_table, concat('k', CAST(l_linenumber % 2 AS VARCHAR)) AS target_column FROM lineitem)"""

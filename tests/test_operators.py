@@ -1,6 +1,7 @@
 """Hand-computed anchors and small fixtures."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,51 @@ def test_topo_layers_reports_cycles(spark):
     assert got == {"x": 0, "y": 1, "z": 2, "a": None, "b": None, "c": None, "d": None}
 
 
+def plain_layers(pairs):
+    """Longest way to each node, None on or behind a cycle."""
+    before, nodes, layers = {}, {n for p in pairs for n in p}, {}
+    for a, b in set(pairs):
+        before.setdefault(b, set()).add(a)
+    while True:
+        free = [n for n in nodes if n not in layers and all(p in layers for p in before.get(n, ()))]
+        if not free:
+            return {n: layers.get(n) for n in nodes}
+        for n in free:
+            layers[n] = max((layers[p] + 1 for p in before.get(n, ())), default=0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_topo_layers_equal_a_plain_version(spark, seed):
+    pick = random.Random(seed)
+    size = 40
+    forward = [tuple(sorted(pick.sample(range(size), 2))) for _ in range(pick.choice([25, 45, 90]))]
+    back = [(b, a) for a, b in pick.sample(forward, seed)] + [(7, 7)] * (seed % 2)
+    pairs = [(str(a), str(b)) for a, b in forward + back + forward[:5]]
+    got = {r["node"]: r["layer"] for r in ln.topo_layers(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert got == plain_layers(pairs)
+
+
+def test_topo_layers_of_a_long_chain_and_a_pure_cycle(spark):
+    chain = [(f"n{k:05}", f"n{k + 1:05}") for k in range(2000)]
+    ways = [("n00010", "m"), ("n01500", "m"), ("m", "after"), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("r3", "behind"), ("r1", "both"), ("n00001", "both")]
+    got = {r["node"]: r["layer"] for r in ln.topo_layers(spark.createDataFrame(chain + ways, "src string, dst string")).collect()}
+    assert [got[f"n{k:05}"] for k in range(2001)] == list(range(2001))
+    assert (got["m"], got["after"]) == (1501, 1502) and {got[n] for n in ("r1", "r2", "r3", "behind", "both")} == {None}
+    assert ln.topo_layers(spark.createDataFrame([], "src string, dst string")).collect() == []
+
+
+def test_trace_edges_do_not_multiply(spark):
+    many = [("hub", f"in{k}") for k in range(300)] + [("next", "out7")]
+    reads = spark.createDataFrame(many, "script string, tab string")
+    writes = spark.createDataFrame([("hub", f"out{k}") for k in range(200)] + [("next", "end"), ("far", "away")], "script string, tab string")
+    rows = ln.trace_edges(reads, writes, one(spark, tab="in0"))
+    assert rows.count() == 300 + 200 + 2
+    pairs = {tuple(r) for r in ln.hop_pairs(rows, one(spark, script="next")).collect()}
+    assert pairs == {(2, "next", "out7", "end")}
+    assert ln.hop_pairs(rows).count() == 300 * 200 + 1
+    assert {tuple(r) for r in ln.hop_pairs(rows).collect()} == {tuple(r) for r in ln.trace_table(reads, writes, one(spark, tab="in0")).collect()}
+
+
 def test_trace_table_visits_scripts_once(spark):
     reads = spark.createDataFrame([("s1", "a"), ("s1", "k"), ("s2", "b"), ("s3", "c")], "script string, tab string")
     writes = spark.createDataFrame([("s1", "b"), ("s2", "c"), ("s3", "a")], "script string, tab string")
