@@ -108,10 +108,31 @@ DOCUMENT_LINES = {
     "lineage": [("Lineage", "lineage_kind"), ("Source", "source_column"), ("Target", "target_column")],
 }
 
+# --- Fixed values: keys of the metadata (key, column) ---------------------------------
+DOCUMENT_METADATA = {
+    "process": [("name", "name"), ("system", "system"), ("process_type", "process_type"), ("file_path", "path"),
+                ("business_function", "business_function"), ("component_count", "component_count")],
+    "component": [("name", "name"), ("system", "system"), ("component_type", "component_type"), ("process_name", "process_name"),
+                  ("process_id", "process_id"), ("file_path", "path")],
+    "sttm": [("source_system", "source_system"), ("target_system", "target_system"), ("source_table", "source_table"),
+             ("target_table", "target_table")],
+    "gap": [("name", "name"), ("gap_type", "gap_type"), ("severity", "severity"), ("source_system", "source_system"),
+            ("target_system", "target_system")],
+}
+
+
+def document_metadata(df: DataFrame, kind: str) -> Column:
+    """Map of what a document can be filtered by (`where_meta`); columns that are missing or null give ''."""
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    entries = [("doc_type", F.lit(kind))] + [(k, value(c)) for k, c in DOCUMENT_METADATA.get(kind, [])]
+    if kind == "sttm":
+        entries.append(("name", F.concat(value("source_column"), F.lit(" → "), value("target_column"))))
+    return F.create_map(*[x for k, v in entries for x in (F.lit(k), v)])
+
 
 def to_documents(df: DataFrame, kind: str, key: str, max_items: int | None = None, max_chars: int | None = None,
-                 max_params: int | None = None) -> DataFrame:
-    """Searchable document (id, doc_type, content) per row of facts.
+                 max_params: int | None = None, metadata: bool = False) -> DataFrame:
+    """Searchable document (id, doc_type, content, and the map `metadata` if asked for) per row of facts.
 
     Datasets, parameters and logic are added when the columns exist; None: whole, else cut to the caps.
     """
@@ -119,6 +140,9 @@ def to_documents(df: DataFrame, kind: str, key: str, max_items: int | None = Non
         F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("N/A")) if c in df.columns else F.lit("N/A"))
     first = lambda c, n: c if n is None else F.slice(c, 1, n)
     parts = [line(label, c) for label, c in DOCUMENT_LINES[kind]]
+    if kind == "sttm":
+        plain = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("N/A")) if c in df.columns else F.lit("N/A")
+        parts.append(F.concat(F.lit("Data Type: "), plain("source_type"), F.lit(" → "), plain("target_type")))
     if "parameters" in df.columns:
         shown = F.transform(first(F.map_entries("parameters"), max_params),
                             lambda e: F.concat(F.lit("  - "), e["key"], F.lit(": "), e["value"]))
@@ -132,7 +156,27 @@ def to_documents(df: DataFrame, kind: str, key: str, max_items: int | None = Non
     if "logic" in df.columns:
         parts.append(F.when(F.col("logic") != "", F.concat(
             F.lit("\nTransformation Logic:\n"), F.col("logic") if max_chars is None else F.left("logic", F.lit(max_chars)))))
-    return df.select(F.col(key).alias("id"), F.lit(kind).alias("doc_type"), F.concat_ws("\n", *parts).alias("content"))
+    more = [document_metadata(df, kind).alias("metadata")] if metadata else []
+    return df.select(F.col(key).alias("id"), F.lit(kind).alias("doc_type"), F.concat_ws("\n", *parts).alias("content"), *more)
+
+
+def process_question(name) -> Column:
+    return F.concat(F.lit("What does the process '"), as_col(name), F.lit("' do?"))
+
+
+def sttm_question(source_table=None, target_table=None, column=None) -> Column:
+    """Question for mappings; parts whose value is null, empty or not given are left out."""
+    said = lambda words_, v: F.lit(None) if v is None else F.concat(F.lit(words_), F.nullif(as_col(v), F.lit("")))
+    return F.concat_ws(" ", F.lit("Show me source-to-target mappings"), said("from source table ", source_table),
+                       said("to target table ", target_table), said("for column ", column))
+
+
+def gap_question(source_system=None, target_system=None) -> Column:
+    """Question for gaps; the target counts only beside a source."""
+    none = F.lit(None).cast("string")
+    source, target = (none if v is None else F.nullif(as_col(v), F.lit("")) for v in (source_system, target_system))
+    where = F.when(target.isNotNull(), F.concat(F.lit(" between "), source, F.lit(" and "), target)).otherwise(F.concat(F.lit(" in "), source))
+    return F.concat(F.lit("What gaps exist"), F.coalesce(where, F.lit("")), F.lit("?"))
 
 
 def where_meta(docs: DataFrame, wanted: dict) -> DataFrame:

@@ -57,8 +57,8 @@ def explode_cells(files: DataFrame) -> DataFrame:
     return cells.select(*keep, "cell_no", "cell.cell_type", F.array_join("cell.source", "").alias("source"))
 
 
-def cell_transformations(files: DataFrame) -> DataFrame:
-    """Transformation rows per code cell; code cells are numbered from 1 inside the row."""
+def cell_transformations(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Transformation rows per code cell with its code, whole or cut; code cells are numbered from 1 inside the row."""
     keep = [c for c in files.columns if c != "content"]
     code = F.filter(F.from_json("content", NOTEBOOK_SCHEMA)["cells"], lambda c: c["cell_type"] == "code")
     rows = files.select(*keep, F.posexplode(code).alias("pos", "cell")) \
@@ -69,4 +69,4 @@ def cell_transformations(files: DataFrame) -> DataFrame:
         F.when(src.contains("filter(") | src.contains("where("), "filter"),
         F.when(src.contains("join("), "join"),
         F.when(src.contains("groupBy(") | src.contains("agg("), "group")))
-    return rows.select(*keep, "cell_no", F.left("source", F.lit(200)).alias("snippet"), F.explode(kinds).alias("kind"))
+    return rows.select(*keep, "cell_no", (src if max_chars is None else F.left(src, F.lit(max_chars))).alias("snippet"), F.explode(kinds).alias("kind"))

@@ -112,9 +112,11 @@ def oozie_actions(files: DataFrame) -> DataFrame:
     trigger = F.array(F.concat(F.lit("frequency="), F.coalesce("frequency", F.lit("unknown"))),
                       F.concat(F.lit("referenced_workflow="), F.col("a.workflow.`app-path`")))
     name = F.when(has("workflow"), "coordinator_trigger").otherwise(F.coalesce("a._name", F.lit("unknown")))
+    runs = F.array_compact(F.array(F.concat(F.lit("master="), F.nullif(F.col("a.spark.master"), F.lit(""))),
+                                   F.concat(F.lit("main_class="), F.nullif(F.col("a.spark.class"), F.lit("")))))
     return rows.select(
         *keep, name.alias("action"), kind.alias("action_type"), script.alias("script"),
-        F.when(has("workflow"), trigger).otherwise(
+        F.when(has("workflow"), trigger).when(has("spark"), runs).otherwise(
             F.transform(params, lambda p: F.concat_ws("=", p["key"], p["value"]))).alias("parameters"),
         pick(spark_in, hive_in, pig_in, one(r"--table\s+(\S+)"), shell_in).alias("inputs"),
         pick(spark_out, none, pig_out, one(r"--target-dir\s+(\S+)"), shell_out).alias("outputs"))
@@ -138,18 +140,34 @@ def subworkflow_io(properties: DataFrame) -> DataFrame:
                              & ~F.col("value").startswith("${")).withColumn("direction", side)
 
 
-def resolve_variables(df: DataFrame, text: str, properties: str) -> DataFrame:
-    """Replaces `${name}` in a text column from a map column.
+def resolved(text, properties) -> Column:
+    """The text with `${name}` replaced from a map.
 
     Names that look like function calls become `<name>`; unknown names stay as they are.
     """
-    pieces = F.split(F.col(text), VARIABLE)
+    pieces = F.split(as_col(text), VARIABLE)
     names = find_all(text, VARIABLE)
     values = F.transform(names, lambda n: F.when(n.contains(":") | n.contains("("), F.concat(F.lit("<"), n, F.lit(">")))
-                         .otherwise(F.coalesce(F.try_element_at(F.col(properties), n),
+                         .otherwise(F.coalesce(F.try_element_at(as_col(properties), n),
                                                F.concat(F.lit("${"), n, F.lit("}")))))
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(values, i), F.lit("")))), "")
-    return df.withColumn(text, joined)
+    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(values, i), F.lit("")))), "")
+
+
+def resolve_variables(df: DataFrame, text: str, properties: str) -> DataFrame:
+    """Replaces `${name}` in a text column from a map column (see `resolved`)."""
+    return df.withColumn(text, resolved(F.col(text), properties))
+
+
+def resolve_actions(actions: DataFrame, properties: DataFrame, group: str) -> DataFrame:
+    """Actions with the variables in their inputs and outputs replaced.
+
+    `properties` has (group, properties), one map per group as `property_map` makes it; actions of a
+    group without one keep their unknown names.
+    """
+    rows = actions.join(properties.select(group, F.col("properties").alias("_known")), group, "left")
+    none = F.create_map().cast("map<string, string>")
+    known = F.coalesce("_known", none)
+    return rows.withColumns({c: F.transform(c, lambda v: resolved(v, known)) for c in ("inputs", "outputs")}).select(*actions.columns)
 
 
 def workflow_facts(files: DataFrame) -> DataFrame:

@@ -53,14 +53,14 @@ def _step(kind, snippet, condition=None, join_type=None, table=None, columns=Non
     )
 
 
-def sql_steps(content="content") -> Column:
-    """Array of transformation structs: filters, joins, groupings, aggregate calls."""
+def sql_steps(content="content", max_chars: int | None = None) -> Column:
+    """Array of transformation structs: filters, joins, groupings, aggregate calls; texts of joins whole or cut."""
     def where(m):
         c = strip(group(m, WHERE_CLAUSE, 1))
         return _step("filter", F.concat(F.lit("WHERE "), c), condition=c)
 
     def join(m):
-        return _step("join", F.left(m, F.lit(200)), condition=strip(group(m, JOIN_CLAUSE, 3)),
+        return _step("join", m if max_chars is None else F.left(m, F.lit(max_chars)), condition=strip(group(m, JOIN_CLAUSE, 3)),
                      join_type=F.upper(strip(group(m, JOIN_CLAUSE, 1))), table=group(m, JOIN_CLAUSE, 2))
 
     def by(m):
@@ -80,9 +80,9 @@ def sql_steps(content="content") -> Column:
     )
 
 
-def sql_transformations(scripts: DataFrame) -> DataFrame:
+def sql_transformations(scripts: DataFrame, max_chars: int | None = None) -> DataFrame:
     """One row per filter, join, grouping and aggregate call, numbered within the script."""
-    return explode_structs(scripts, sql_steps(), ordinal="step_no")
+    return explode_structs(scripts, sql_steps(max_chars=max_chars), ordinal="step_no")
 
 
 def feed_sections(scripts: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY grp, i) AS step
 FROM steps
 """)
 def sql_transformations(spark, folder):
-    return sql.sql_transformations(files(spark, folder, ".hql", ".sql"))
+    return sql.sql_transformations(files(spark, folder, ".hql", ".sql"), 200)
 
 
 @query("pig_io", views=("files",), oracle=unnest_kinds(PIG_FILES, "file_id", [

@@ -333,7 +333,7 @@ b AS (SELECT wf_id, x, CASE WHEN contains(x, '<workflow>') THEN 'coordinator_tri
 
 @query("oozie_actions", views=("workflows",), oracle=f"""
 WITH {_ACT} SELECT wf_id, action, action_type, CASE action_type WHEN 'spark' THEN regexp_extract(x, '<jar>([^<]*)', 1) WHEN 'shell' THEN regexp_extract(x, '<exec>([^<]*)', 1) ELSE regexp_extract(x, '<script>([^<]*)', 1) END AS script,
-  CASE action_type WHEN 'coordinator' THEN concat('frequency=', f, '|referenced_workflow=', regexp_extract(x, '<app-path>([^<]*)', 1)) ELSE array_to_string(regexp_extract_all(x, '<param>([^<]*)', 1), '|') END AS parameters,
+  CASE action_type WHEN 'coordinator' THEN concat('frequency=', f, '|referenced_workflow=', regexp_extract(x, '<app-path>([^<]*)', 1)) WHEN 'spark' THEN concat('master=', regexp_extract(x, '<master>([^<]*)', 1), '|main_class=', regexp_extract(x, '<class>([^<]*)', 1)) ELSE array_to_string(regexp_extract_all(x, '<param>([^<]*)', 1), '|') END AS parameters,
   CASE action_type WHEN 'spark' THEN array_to_string(list_filter(regexp_extract_all(x, '<arg>([^<]*)', 1), lambda v: regexp_matches(lower(v), 'table|input|source')), '|')
     WHEN 'shell' THEN array_to_string(list_filter(regexp_extract_all(x, '<argument>([^<]*)', 1), lambda v: regexp_matches(lower(v), 'table|input|source')), '|')
     WHEN 'pig' THEN regexp_extract(x, '<param>INPUT_TABLE=([^<]*)', 1)
@@ -347,6 +347,24 @@ def oozie_actions(spark, folder):
     return oz.oozie_actions(view(spark, folder, "workflows").select("wf_id", "content"))
 
 
+@query("oozie_actions_resolved", views=("workflows",), oracle=f"""
+WITH {_ACT} SELECT wf_id, action, action_type, CASE action_type
+    WHEN 'spark' THEN array_to_string(list_filter(regexp_extract_all(x, '<arg>([^<]*)', 1), lambda v: starts_with(v, 'output')), '|')
+    WHEN 'shell' THEN array_to_string(list_filter(regexp_extract_all(x, '<argument>([^<]*)', 1), lambda v: starts_with(v, 'target')), '|')
+    WHEN 'pig' THEN replace(regexp_extract(x, '<param>outputDir=([^<]*)', 1), 'hdfs://nn', concat('hdfs://n', CAST(wf_id % 5 AS VARCHAR), ':8020'))
+    WHEN 'sqoop' THEN concat('/in/', CAST(wf_id AS VARCHAR), regexp_extract(x, '--target-dir /land(\\S+?)<', 1), '/', chr(36), '{{day}}/<wf:id()>') ELSE '' END AS outputs
+FROM b
+""")
+def oozie_actions_resolved(spark, folder):
+    """Outputs of actions named through variables, with each workflow's own property file; `day` is in no file."""
+    flows = view(spark, folder, "workflows").select("wf_id", "content")
+    text = F.replace(F.replace("content", F.lit("hdfs://nn/"), F.lit("${nameNode}/")), F.lit("--target-dir /land"), F.lit("--target-dir ${land}"))
+    text = F.replace(text, F.lit("</command>"), F.lit("/${day}/${wf:id()}</command>"))
+    own = F.concat(F.lit("# of this workflow\nnameNode = hdfs://n"), (F.col("wf_id") % 5).cast("string"), F.lit(":8020\nland=/old\nland=/in/"), F.col("wf_id").cast("string"))
+    known = oz.property_map(oz.read_properties(flows.select("wf_id", own.alias("content"))), "wf_id")
+    return oz.resolve_actions(oz.oozie_actions(flows.withColumn("content", text)), known, "wf_id").select("wf_id", "action", "action_type", "outputs")
+
+
 _PROPS = """pr AS (SELECT wf_id, regexp_extract(content, '<app-path>([^<]*)</app-path><configuration>', 1) AS app_path, unnest(regexp_extract_all(regexp_extract(content, '(?s)<configuration>.*?</configuration>', 0), '<property>.*?</property>', 0)) AS p FROM workflows WHERE contains(content, '<configuration>')),
 kv AS (SELECT wf_id, app_path, regexp_extract(p, '<name>([^<]*)', 1) AS key, regexp_extract(p, '<value>([^<]*)', 1) AS value FROM pr)"""
 
@@ -410,7 +428,7 @@ SELECT *, 'sql' AS kind FROM s WHERE starts_with(snippet, '%sql') UNION ALL SELE
 UNION ALL SELECT *, 'join' FROM s WHERE contains(snippet, 'join(') UNION ALL SELECT *, 'group' FROM s WHERE contains(snippet, 'groupBy(') OR contains(snippet, 'agg(')
 """)
 def cell_transformations(spark, folder):
-    return nb.cell_transformations(view(spark, folder, "notebooks"))
+    return nb.cell_transformations(view(spark, folder, "notebooks"), 200)
 
 
 _PY = "(SELECT file_id, content FROM files WHERE path LIKE '%.py')"

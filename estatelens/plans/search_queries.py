@@ -178,7 +178,7 @@ def to_documents_gap(spark, folder):
 
 
 @query("to_documents_sttm", views=("component_schemas",), oracle="""
-SELECT component_id AS id, 'sttm' AS doc_type, concat('STTM Mapping: N/A', chr(10), 'Source Column: *', chr(10), 'Source Table: ', input_dataset, chr(10), 'Source System: N/A', chr(10), 'Target Column: *', chr(10), 'Target Table: ', output_dataset, chr(10), 'Target System: N/A', chr(10), 'Transformation: ', CASE logic WHEN '' THEN 'N/A' ELSE logic END) AS content FROM component_schemas
+SELECT component_id AS id, 'sttm' AS doc_type, concat('STTM Mapping: N/A', chr(10), 'Source Column: *', chr(10), 'Source Table: ', input_dataset, chr(10), 'Source System: N/A', chr(10), 'Target Column: *', chr(10), 'Target Table: ', output_dataset, chr(10), 'Target System: N/A', chr(10), 'Transformation: ', CASE logic WHEN '' THEN 'N/A' ELSE logic END, chr(10), 'Data Type: N/A → N/A') AS content FROM component_schemas
 """)
 def to_documents_sttm(spark, folder):
     c = view(spark, folder, "component_schemas").select(
@@ -187,6 +187,24 @@ def to_documents_sttm(spark, folder):
     return dc.to_documents(c, "sttm", "component_id", max_items=5, max_chars=300, max_params=10)
 
 
+@query("documents_with_metadata", views=("component_schemas",), oracle="""
+SELECT component_id AS id, 'sttm' AS doc_type, concat('STTM Mapping: ', component_id, chr(10), 'Source Column: ', name, chr(10), 'Source Table: ', input_dataset, chr(10), 'Source System: ', system, chr(10), 'Target Column: *', chr(10), 'Target Table: ', output_dataset, chr(10), 'Target System: N/A', chr(10),
+  'Transformation: ', CASE logic WHEN '' THEN 'N/A' ELSE logic END, chr(10), 'Data Type: ', CASE in_spec WHEN '' THEN 'N/A' ELSE in_spec END, ' → ', CASE out_spec WHEN '' THEN 'N/A' ELSE out_spec END) AS content,
+  concat(name, ' → *') AS name, input_dataset AS source_table, '' AS target_system,
+  concat('Show me source-to-target mappings from source table ', input_dataset, ' for column ', name, ' → *') AS question
+FROM component_schemas WHERE system = 'hadoop'
+""")
+def documents_with_metadata(spark, folder):
+    """Mapping documents of one system, whole, found by their metadata, each with the question that asks for it."""
+    c = view(spark, folder, "component_schemas").select(
+        "component_id", F.col("component_id").alias("mapping_id"), F.col("name").alias("source_column"), F.col("input_dataset").alias("source_table"), F.col("system").alias("source_system"),
+        F.lit("*").alias("target_column"), F.col("output_dataset").alias("target_table"), F.col("logic").alias("rule"), F.col("in_spec").alias("source_type"), F.col("out_spec").alias("target_type"))
+    docs = dc.where_meta(dc.to_documents(c, "sttm", "component_id", metadata=True), {"source_system": "hadoop"})
+    meta = lambda k: F.col("metadata")[k].alias(k)
+    question = dc.sttm_question(meta("source_table"), meta("target_system"), meta("name"))
+    return docs.select("id", "doc_type", "content", meta("name"), meta("source_table"), meta("target_system"), question.alias("question"))
+
+
 @query("to_documents_transformation", views=("scripts",), oracle=f"""
 SELECT CAST(script_id AS VARCHAR) AS id, 'transformation' AS doc_type, concat('Transformation: filter', chr(10), 'Code: ', x, chr(10), 'Condition: ', regexp_extract(x, {lit(pig.STATEMENTS['filter'])}, 3)) AS content
 FROM (SELECT script_id, unnest(regexp_extract_all(content, {lit(pig.STATEMENTS['filter'])}, 0)) AS x FROM scripts) s
@@ -326,6 +344,11 @@ def find_gaps(spark, folder):
     return se.find_documents(_vectors(spark, folder), _centres(spark, folder), 5, "gap", "databricks")
 
 
+@query("find_sttm", oracle=f"WITH {VEC} {_ranked(where='WHERE doc_type = ' + lit('sttm'))}")
+def find_sttm(spark, folder):
+    return se.find_documents(_vectors(spark, folder), _centres(spark, folder), 5, "sttm")
+
+
 @query("ann_search")
 def ann_search(spark, folder):
     """Approximate nearest embeddings of the label centres (no SQL form)."""

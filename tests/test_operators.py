@@ -399,6 +399,33 @@ def test_process_document_lists_parameters(spark):
     assert text.startswith("Process: n\nSystem: s\nType: N/A") and "\nParameters:\n  - a: 1" in text and text.endswith("Components: 3 components")
 
 
+def test_metadata_and_questions_leave_out_what_is_missing(spark):
+    df = spark.createDataFrame([("m", "a", None, "t1", "int")], "mapping_id string, source_column string, target_column string, source_table string, source_type string")
+    row = dc.to_documents(df, "sttm", "mapping_id", metadata=True).collect()[0]
+    assert row["content"].endswith("Transformation: N/A\nData Type: int → N/A")
+    assert row["metadata"] == {"doc_type": "sttm", "name": "a → ", "source_table": "t1", "target_table": "", "source_system": "", "target_system": ""}
+    asked = spark.createDataFrame([("a", "b"), ("a", None), (None, "b"), ("", "")], "s string, t string").select(
+        dc.gap_question("s", "t"), dc.gap_question("s"), dc.sttm_question("s", "t"), dc.process_question("s")).collect()
+    assert [r[0] for r in asked] == ["What gaps exist between a and b?", "What gaps exist in a?", "What gaps exist?", "What gaps exist?"]
+    assert [r[1] for r in asked][:2] == ["What gaps exist in a?"] * 2
+    assert [r[2] for r in asked][::2] == ["Show me source-to-target mappings from source table a to target table b", "Show me source-to-target mappings to target table b"]
+    assert asked[0][3] == "What does the process 'a' do?"
+
+
+def test_actions_without_known_properties_keep_their_names(spark):
+    flow = "<workflow-app><action name='a'><spark><master>yarn</master><arg>input=${in}</arg><arg>output_${out}</arg></spark></action></workflow-app>"
+    actions = oz.oozie_actions(spark.createDataFrame([(1, flow), (2, flow)], "k int, content string"))
+    known = spark.createDataFrame([(1, {"in": "x"})], "k int, properties map<string,string>")
+    got = {r["k"]: (r["parameters"], r["inputs"], r["outputs"]) for r in oz.resolve_actions(actions, known, "k").collect()}
+    assert got == {1: (["master=yarn"], ["input=x"], ["output_${out}"]), 2: (["master=yarn"], ["input=${in}"], ["output_${out}"])}
+
+
+def test_prefixes_are_cut_only_when_asked(spark):
+    code = "SELECT * FROM a JOIN b ON " + " AND ".join(f"a.c{k} = b.c{k}" for k in range(60)) + ";"
+    whole, cut = (sq.sql_transformations(one(spark, content=code), n).filter("kind = 'join'").collect()[0]["snippet"] for n in (None, 200))
+    assert len(cut) == 200 and len(whole) > 200 and whole.startswith(cut)
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     hits = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
     plan = se.topk_per_group(hits, 2, ["g"], ["id"])._jdf.queryExecution().executedPlan().toString()
