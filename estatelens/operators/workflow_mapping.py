@@ -30,19 +30,32 @@ from estatelens.functions.text import contained_words, find_all, normal_transfor
 FROM_NAME = r"(?i)\bFROM\s+([a-z_][a-z0-9_]*)"
 LOAD_PATH = r"(?i)LOAD\s+'([^']+)'"
 STORE_PATH = r"(?i)STORE\s+\w+\s+INTO\s+'([^']+)'"
+READ_PATH = r"""(?i)read\.\w+\s*\(\s*["']([^"']+)["']\s*\)"""
+WRITE_PATH = r"""(?i)write\.\w+\([^)]*\)\.save\s*\(\s*["']([^"']+)["']\s*\)"""
 INSERT_NAME = r"(?i)INSERT\s+(?:INTO|OVERWRITE)\s+(?:TABLE\s+)?([a-z_][a-z0-9_]*)"
 READ_TABLE = r"""(?i)(?:read\.table|spark\.table)\s*\(\s*["']([^"']+)["']\s*\)"""
 SAVE_TABLE = r"""(?i)(?:saveAsTable|insertInto)\s*\(\s*["']([^"']+)["']\s*\)"""
 
 SETS = ["source_tables", "target_tables", "transformation_types", "business_keywords"]
+FILES = ["source_files", "target_files"]
 
 
 def _lower_set(*arrays: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.concat(*arrays), lambda x: F.lower(x))))
 
 
-def signatures(scripts: DataFrame) -> DataFrame:
-    """Signature per workflow (system, name, path) from script text; last path wins per name."""
+def _paths(hadoop: Column, databricks: Column, first: str, second: str) -> Column:
+    """Set of the paths that a pattern of the system finds, as they are written."""
+    found = F.when(hadoop, find_all("content", first)).when(databricks, find_all("content", second)).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(found))
+
+
+def signatures(scripts: DataFrame, files: bool = False) -> DataFrame:
+    """Signature per workflow (system, name, path) from script text; last path wins per name.
+
+    `files` adds the sets of paths that are read and written as files, which gives the columns of
+    `sources.files.signatures_from_json`, so both kinds go into one table by name.
+    """
     up, low = F.upper("content"), F.lower("content")
     hadoop, databricks = F.col("system") == "hadoop", F.col("system") == "databricks"
     none = F.array().cast("array<string>")
@@ -59,8 +72,11 @@ def signatures(scripts: DataFrame) -> DataFrame:
     rows = scripts.select(
         "system", "name", "path", sources.alias("source_tables"), targets.alias("target_tables"),
         kinds.alias("transformation_types"),
-        contained_words("content", vocab.BUSINESS_TERMS).alias("business_keywords"))
-    last = rows.groupBy("system", "name").agg(F.max_by(F.struct("path", *SETS), "path").alias("r"))
+        contained_words("content", vocab.BUSINESS_TERMS).alias("business_keywords"),
+        *([_paths(hadoop, databricks, LOAD_PATH, READ_PATH).alias("source_files"),
+           _paths(hadoop, databricks, STORE_PATH, WRITE_PATH).alias("target_files")] if files else []))
+    kept = SETS + FILES if files else SETS
+    last = rows.groupBy("system", "name").agg(F.max_by(F.struct("path", *kept), "path").alias("r"))
     return last.select("system", "name", "r.*")
 
 

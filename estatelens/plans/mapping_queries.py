@@ -101,6 +101,20 @@ def signatures(spark, folder):
     return sigs(spark, folder)
 
 
+@query("signature_files", views=("scripts",), oracle="""
+SELECT CASE system WHEN 'databricks' THEN system ELSE 'hadoop' END AS system, name, path,
+  CASE system WHEN 'databricks' THEN concat('/in/', regexp_extract(content, '(src_\\w+)', 1)) WHEN 'abinitio' THEN regexp_extract(content, '(src_\\w+)', 1) ELSE '' END AS source_files,
+  CASE system WHEN 'databricks' THEN concat('/out/', regexp_extract(content, '(tgt_\\w+)', 1)) WHEN 'abinitio' THEN regexp_extract(content, '(tgt_\\w+)', 1) ELSE '' END AS target_files FROM scripts
+""")
+def signature_files(spark, folder):
+    """Paths that Pig scripts load and store, and that PySpark scripts read and write as files."""
+    text = F.replace("content", F.lit('read.table("'), F.lit('read.parquet("/in/'))
+    text = F.replace(text, F.lit('.saveAsTable("'), F.lit('.save("/out/'))
+    scripts = view(spark, folder, "scripts").withColumn("content", text) \
+        .withColumn("system", F.when(F.col("system") == "abinitio", "hadoop").otherwise(F.col("system")))
+    return wm.signatures(scripts, files=True).select("system", "name", "path", *wm.FILES)
+
+
 @query("pair_similarity", views=("scripts",), oracle=f"""
 WITH {SIG},{ALL_PAIRS}
 SELECT round(data_sim, 6) AS data_sim, round(logic_sim, 6) AS logic_sim, round(business_sim, 6) AS business_sim, round(overall_sim, 6) AS overall_sim, count(*) AS n_pairs

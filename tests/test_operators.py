@@ -420,6 +420,21 @@ def test_actions_without_known_properties_keep_their_names(spark):
     assert got == {1: (["master=yarn"], ["input=x"], ["output_${out}"]), 2: (["master=yarn"], ["input=${in}"], ["output_${out}"])}
 
 
+def test_signatures_of_texts_and_of_analyses_share_a_schema(spark):
+    from estatelens.operators import workflow_mapping as wm
+    from estatelens.sources.files import signatures_from_json
+    pig_text = "a = LOAD '/In/x' USING P(); b = load '/In/x'; STORE b INTO '/out/y';"
+    py_text = 'spark.read.csv("/in/z").write.mode("append").save("/out/z")'
+    scripts = spark.createDataFrame([("hadoop", "p", "p.pig", pig_text), ("databricks", "n", "n.py", py_text), ("other", "o", "o", py_text), ("hadoop", "e", "e", "")],
+                                    "system string, name string, path string, content string")
+    rows = wm.signatures(scripts, files=True)
+    got = {r["name"]: (r["source_files"], r["target_files"]) for r in rows.collect()}
+    assert got == {"p": (["/In/x"], ["/out/y"]), "n": (["/in/z"], ["/out/z"]), "o": ([], []), "e": ([], [])}
+    stored = signatures_from_json(one(spark, content='{"graphs": {"g": {"inputs": [{"file_path": "f"}], "transformations": ["Join"], "summary": ""}}}'))
+    both = rows.unionByName(stored)
+    assert set(both.columns) == set(rows.columns) == set(stored.columns) and both.count() == 5
+
+
 def test_prefixes_are_cut_only_when_asked(spark):
     code = "SELECT * FROM a JOIN b ON " + " AND ".join(f"a.c{k} = b.c{k}" for k in range(60)) + ";"
     whole, cut = (sq.sql_transformations(one(spark, content=code), n).filter("kind = 'join'").collect()[0]["snippet"] for n in (None, 200))
