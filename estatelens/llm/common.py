@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,22 @@ def per_batch(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+HOT = 1000  # keys with more than one in so many of all rows are hot; there are fewer than this
+
+
+def meet(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """`rows` with the columns of `counted`, one row per key with a count `n` of the rows that have it, of `total`.
+
+    Hot keys meet theirs by a broadcast of fewer than HOT rows, so their rows stay where they are;
+    the others are shuffled.
+    """
+    values = [c for c in counted.columns if c not in (*keys, "n")]
+    hot = counted.where(F.col("n") * HOT > total).select(*[F.col(k).alias(f"hot_{k}") for k in keys], F.struct(*values).alias("hot"))
+    found = rows.join(F.broadcast(hot), reduce(and_, [F.col(k) == F.col(f"hot_{k}") for k in keys]), "left")
+    others = found.where("hot is null").select(rows.columns).join(counted.drop("n"), keys).select(*rows.columns, *values)
+    return found.where("hot is not null").select(*rows.columns, "hot.*").union(others)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in small ones, where a row's results take many times its own room in Python."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatelens.llm.common import read, stage
+from estatelens.llm.common import meet, read, stage
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -15,13 +15,17 @@ def _lines(text: Column) -> Column:
 
 
 def _windows(units: Column) -> Column:
-    """Windows of three following lines: first and last position, 96 bits of hash."""
+    """Windows of three following lines, or of all where there are fewer: first and last position, 96 bits of hash."""
     n = F.greatest(F.size(units) - 2, F.lit(0))
     thrice = F.arrays_zip(F.slice(units, 1, n).alias("a"), F.slice(units, 2, n).alias("b"), F.slice(units, 3, n).alias("c"))
-    return F.transform(thrice, lambda w: F.struct(
+    windows = F.transform(thrice, lambda w: F.struct(
         w["a"]["at"].alias("first"), w["c"]["at"].alias("last"),
         F.xxhash64(w["a"]["line"], w["b"]["line"], w["c"]["line"]).alias("w"),
         F.hash(w["c"]["line"], w["a"]["line"], w["b"]["line"]).alias("c")))
+    lines = units["line"]
+    whole = F.struct(F.get(units, 0)["at"].alias("first"), F.get(units, F.size(units) - 1)["at"].alias("last"),
+                     F.xxhash64(lines).alias("w"), F.hash(F.reverse(lines), F.size(lines)).alias("c"))
+    return F.when(F.size(units).between(1, 2), F.array(whole)).otherwise(windows)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -36,13 +40,13 @@ def covered(found: DataFrame) -> DataFrame:
     """(doc_id, body, spans): merged spans of lines that later occurrences cover.
 
     The first occurrence is the one of the smallest (doc_id, body, position). It is found by an
-    aggregate and joined back by hash, so the occurrences of a hot window stay spread.
+    aggregate and joined back by hash, hot windows by a broadcast (`meet`).
     """
     place = F.struct("doc_id", "body", "first", "last")
-    firsts = found.groupBy("w", "c").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = found.groupBy("w", "c").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1")
     kept = F.col("kept")
     same = F.col("doc_id").eqNullSafe(kept["doc_id"]) & (F.col("body") == kept["body"])
-    later = found.join(firsts, ["w", "c"]).where(~same | (F.col("first") > kept["first"])) \
+    later = meet(found, firsts, ["w", "c"], found.count()).where(~same | (F.col("first") > kept["first"])) \
         .select("doc_id", "body", F.when(same, F.greatest("first", kept["last"] + 1)).otherwise(F.col("first")).alias("f"), F.col("last").alias("l")) \
         .where("f <= l")
     ordered = Window.partitionBy("doc_id", "body").orderBy("f", "l")
@@ -56,12 +60,12 @@ def covered(found: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(row, text, n_lines, spans): each row of `docs` whole, its text without later occurrences, and what went.
 
-    A window is three following lines that hold more than white space, compared exactly; blank lines
-    are stepped over and go when a window covers them. Over all documents the occurrence of the
+    A window is three following lines that hold more than white space, or all of a text that has only
+    one or two, compared by 96 bits of hash; blank lines are stepped over and go when a window covers them. Over all documents the occurrence of the
     smallest (doc_id, hash of the text, position) stays and later ones go, merged where they overlap;
     a later occurrence never takes lines of the first one in the same document. Rows that repeat a
-    doc_id and text get the same result. A null text stays null; texts of fewer than three lines are
-    kept; a text that is covered whole becomes empty. A null doc_id sorts first. Columns besides
+    doc_id and text get the same result. A null text stays null, a blank one is
+    kept; a text that is covered whole becomes empty, but for blank lines at its ends. A null doc_id sorts first. Columns besides
     doc_id and text travel in `row`.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -101,7 +105,8 @@ WITH lines AS (
 units AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 windows AS (
   SELECT doc_id, pos AS f, lead(pos, 2) OVER o AS l, [line, lead(line, 1) OVER o, lead(line, 2) OVER o] AS w
-  FROM units WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+  FROM units WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+  UNION ALL SELECT doc_id, min(pos), max(pos), list(line ORDER BY pos) FROM units GROUP BY doc_id HAVING count(*) < 3),
 firsts AS (SELECT w, min({'d': doc_id, 'f': f, 'l': l}) AS k FROM windows WHERE l IS NOT NULL GROUP BY w HAVING count(*) > 1),
 later AS (
   SELECT doc_id, CASE WHEN doc_id = k.d THEN greatest(f, k.l + 1) ELSE f END AS f, l

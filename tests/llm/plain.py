@@ -42,13 +42,13 @@ def jaccard(docs, n, p, q):
 
 
 def dedup_lines(docs):
-    """{doc_id: text without later occurrences of three-line windows}."""
+    """{doc_id: text without later occurrences of windows of three lines, or of all lines if fewer}."""
     first, gone = {}, {i: set() for i in docs}
     for i in sorted(docs):
         lines = (docs[i] or "").split("\n")
         at = [k for k, line in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", line)]
-        for a, b, c in zip(at, at[1:], at[2:]):
-            window = lines[a], lines[b], lines[c]
+        for held in zip(at, at[1:], at[2:]) if len(at) > 2 else [at] if at else []:
+            window, a, c = tuple(lines[k] for k in held), held[0], held[-1]
             if window in first:
                 own, end = first[window]
                 gone[i].update(range(max(a, end + 1) if own == i else a, c + 1))

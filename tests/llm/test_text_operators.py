@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
-from estatelens.llm import language_id, license_scan, line_dedup, ngram_join, quality_rules, secret_scan
+from estatelens.llm import common, components, language_id, license_scan, line_dedup, ngram_join, quality_rules, secret_scan
 from estatelens.llm.common import read
 
 from . import plain
@@ -334,6 +334,28 @@ def test_lines_are_those_of_the_plain_version(spark):
     assert all(r["row"]["row"] == "x" for r in rows)
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_components_of_stars_chains_and_random_links(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    rng = np.random.default_rng(3)
+    links = [(500, k) for k in range(400, 700)] + [(k, k + 1) for k in range(1000, 1060)] + [(k, -k) for k in range(690, 720)] \
+        + rng.integers(2000, 2300, (200, 2)).tolist() + [(7, 7), (1, 2), (2, 1), (1, 2)]
+    got = components.connected(spark.createDataFrame([tuple(map(int, x)) for x in links] + [(None, 3)], "a long, b long")).collect()
+    links = [x for x in links if x[0] != x[1]]
+    want = plain.roots({n for x in links for n in x}, links)
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+    assert components.connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_line_dedup_short_texts_and_hot_windows(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    texts = ["one", "one", "a\nb", "\na\n \nb\n", "a\nb\nc", "b", "b\none", "one\nb", "", " ", None, "one\none"] + ["x\ny\nz"] * 40 \
+        + [f"{k}\nx\ny\nz\n{k % 7}\nu\nv" for k in range(30)]
+    rows = line_dedup.without_repeats(frame(spark, texts)).collect()
+    assert {r["row"]["doc_id"]: r["text"] for r in rows} == plain.dedup_lines(dict(enumerate(texts)))
+
+
 def test_line_dedup_odd_rows(spark):
     docs = frame(spark, ["a\nb\nc", "a\nb\nc", "a\nb\nc\nd"]).selectExpr("nullif(doc_id, 1) as doc_id", "text", "row")
     got = sorted((str(r["row"]["doc_id"]), r["text"]) for r in line_dedup.without_repeats(docs.union(docs)).collect())
