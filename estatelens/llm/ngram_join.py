@@ -24,6 +24,7 @@ RARE_LEVELS = 2  # seeds tried without them
 LEVELS = 24  # seeds tried before empty segments are indexed too
 BLOCK = 1_000_000  # n-grams of a cluster that one side of a verification task holds
 PIECE = 1 << 20  # bytes of a text hashed at once
+RUN = 500_000  # signatures of a task that are brought together before they are sent
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -224,8 +225,25 @@ def _profile_rows(rows: list[tuple]) -> pa.RecordBatch:
                            + [pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=_PROFILE)
 
 
+def met(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """(key, node, hub) rows of a run of (signature, node): each signature once, at its first node (hub null), and its other nodes beside that node.
+
+    A signature of a large cluster leaves a run as one row. Rows with a hub have bits of their node
+    as key, so those of one hub are spread.
+    """
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    hub = node[np.flatnonzero(new)][np.cumsum(new) - 1]
+    pairs = np.unique(np.stack([hub, node])[:, hub != node], axis=1)
+    keys = np.concatenate([sig[new], _signed(mix(pairs[1].view(np.uint64)))])
+    hubs = np.concatenate([np.zeros(new.sum(), np.int64), pairs[0]])
+    return pa.record_batch([pa.array(keys), pa.array(np.concatenate([node[new], pairs[1]])), pa.array(hubs, mask=np.arange(len(hubs)) < new.sum())],
+                           names=["key", "node", "hub"])
+
+
 def signatures(docs: DataFrame, n: int, schemes: Schemes) -> DataFrame:
-    """(sig, node) rows; a task emits equal sets once. node: first half of the set's key."""
+    """`met` rows of all texts; a task looks at equal sets once. node: first half of the set's key."""
     def run(batches):
         seen = set()
         sigs, nodes, held = [], [], 0
@@ -237,13 +255,13 @@ def signatures(docs: DataFrame, n: int, schemes: Schemes) -> DataFrame:
             sigs.append(_signed(own))
             nodes.append(np.full(len(own), key[0], np.int64))
             held += len(own)
-            if held >= 200_000:
-                yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+            if held >= RUN:
+                yield met(np.concatenate(sigs), np.concatenate(nodes))
                 sigs, nodes, held = [], [], 0
         if held:
-            yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+            yield met(np.concatenate(sigs), np.concatenate(nodes))
 
-    return per_batch(docs, run, "sig long, node long")
+    return per_batch(docs, run, "key long, node long, hub long")
 
 
 def frequent(docs: DataFrame, n: int) -> np.ndarray:
@@ -263,32 +281,25 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
 def candidate_edges(rows: DataFrame) -> DataFrame:
     """(a, b): for every two nodes that share a signature, a path between them.
 
-    Rows are dealt by range of (signature, node), so a hot signature spans tasks; they are made twice,
-    for the ranges and for the rows, as that is cheaper than a table of them. A task joins the
-    nodes of a run of equal signatures to the run's first node, and reports its first and last
-    signature; a run that goes on in the next task is joined there through these ends.
+    Rows of a signature meet in one task, at most one of each run of `met`, and are joined to the
+    first; a task reads them in order and holds a batch. Rows with a hub are edges already.
     """
     def run(batches):
-        last_sig = last_hub = first = None
+        last_sig = last_hub = None
         for batch in batches:
-            sig, node = (batch.column(i).to_numpy() for i in (0, 1))
-            if not len(sig):
-                continue
-            new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
-            starts = np.flatnonzero(new)
-            hubs = np.concatenate([[last_hub if last_hub is not None else node[0]], node[starts]])[np.cumsum(new)]
-            if first is None:
-                first = (int(sig[0]), int(node[0]))
-            last_sig, last_hub = int(sig[-1]), int(hubs[-1])
+            edge = np.asarray(batch.column(2).is_valid())
+            key, node = (batch.column(i).to_numpy() for i in (0, 1))
+            hubs = batch.column(2).fill_null(0).to_numpy().copy()
+            sig, mine = key[~edge], node[~edge]
+            if len(sig):
+                new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
+                starts = np.flatnonzero(new)
+                hubs[~edge] = np.concatenate([[last_hub if last_hub is not None else mine[0]], mine[starts]])[np.cumsum(new)]
+                last_sig, last_hub = int(sig[-1]), int(hubs[~edge][-1])
             pairs = np.unique(np.stack([hubs, node])[:, hubs != node], axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["a", "b", "end"])
-        if first is not None:
-            yield pa.record_batch([pa.array([first[1], last_hub]), pa.nulls(2, pa.int64()), pa.array([first[0], last_sig])], names=["a", "b", "end"])
-
-    found = stage(per_batch(rows.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node"), run, "a long, b long, end long"))
-    ends = found.where("end is not null")
-    hubs = ends.groupBy("end").agg(F.min("a").alias("hub"))
-    return found.where("end is null").select("a", "b").union(ends.join(hubs, "end").select("a", F.col("hub").alias("b"))).where("a != b").distinct()
+            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return per_batch(rows.repartition("key").sortWithinPartitions("key", "node"), run, "a long, b long")
 
 
 def _components(sets: list[np.ndarray], p: int, q: int) -> list[int]:

@@ -347,6 +347,23 @@ def test_components_of_stars_chains_and_random_links(spark, monkeypatch, hot):
     assert components.connected(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_signatures_of_runs_meet(spark):
+    rng = np.random.default_rng(4)
+    sig, node = rng.integers(0, 60, 900), rng.integers(0, 400, 900)
+    parts = [ngram_join.met(sig[k : k + 90], node[k : k + 90]).to_pylist() for k in range(0, 900, 90)]
+    for part in parts:
+        own = [r["key"] for r in part if r["hub"] is None]
+        assert len(own) == len(set(own))
+    rows = spark.createDataFrame([(r["key"], r["node"], r["hub"]) for part in parts for r in part], "key long, node long, hub long")
+    edges = [(r["a"], r["b"]) for r in ngram_join.candidate_edges(rows.repartition(5)).collect()]
+    nodes = set(node.tolist())
+    first = {}
+    links = [(int(n), first.setdefault(int(s), int(n))) for s, n in zip(sig, node)]
+    assert plain.roots(nodes, edges) == plain.roots(nodes, links)
+    one = ngram_join.met(np.array([5]), np.array([9]))
+    assert one.to_pylist() == [{"key": 5, "node": 9, "hub": None}]
+
+
 @pytest.mark.parametrize("hot", [1000, 3])
 def test_line_dedup_short_texts_and_hot_windows(spark, monkeypatch, hot):
     monkeypatch.setattr(common, "HOT", hot)
