@@ -467,3 +467,16 @@ def test_report_takes_columns_of_the_input(spark):
     got = sttm.sttm_report(spark.createDataFrame([row], names), ["source_column"]).first()
     assert (got["Source_Is_PK"], got["Target_Is_PK"], got["Target_Is_Nullable"], got["Mapping_Confidence"]) == ("Y", "N", "N", 0.5)
     assert got["Notes"] == "by hand"
+
+
+def test_classes_of_components_are_never_broadcast(spark):
+    comps = spark.createDataFrame(
+        [(f"c{i}", f"p{i % 2}", [("id", "int"), (f"q{i % 3}", "string")], [("id", "int")], ["d"], ["d"]) for i in range(12)],
+        "component_id string, process_id string, in_fields array<struct<name:string,type:string>>, "
+        "out_fields array<struct<name:string,type:string>>, inputs array<string>, outputs array<string>")
+    pairs = spark.createDataFrame([("p0", "p1")], "source_process string, target_process string")
+    listed = st.cross_process_mappings(pairs, comps, comps)
+    for rows in (st.cross_process_classes(pairs, comps, comps), listed):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_class#" in line]
+    assert listed.count() == 6 * 6 * 2
