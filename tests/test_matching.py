@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from estatelens.operators import grids
 from estatelens.operators import matching as mt
@@ -97,3 +98,24 @@ def test_shared_members_with_common_and_rare_ones():
     want = np.array([[len(set(a) & set(b)) for b in sets[1]] for a in sets[0]])
     assert (grids.shared(*flat, 30, 30) == want).all()
     assert (grids.shared((flat[0][0][:0], flat[0][1][:0]), flat[1], 30, 30) == 0).all()
+
+
+def test_pairs_of_one_hot_key_are_spread_over_tasks(spark):
+    from estatelens.functions.scale import join_spread
+    left = spark.createDataFrame([("a", i, {"x": i}) for i in range(300)] + [("b", 1000, None), (None, 1001, None)], "k string, i int, m map<string,int>")
+    right = spark.createDataFrame([("a", j) for j in range(20)] + [("b", 7), ("b", 7), ("c", 8), (None, 9)], "k string, j int")
+    got = join_spread(left, right, ["k"], block=10).select("k", "i", "j", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["k"], r["i"], r["j"]) for r in got) == sorted([("a", i, j) for i in range(300) for j in range(20)] + [("b", 1000, 7)] * 2)
+    assert len({r["task"] for r in got}) > 8
+
+
+def test_words_and_tokens_found_before_the_pairing_give_the_same_scores(spark):
+    from estatelens.functions import sets, vocab
+    from estatelens.functions.text import contained_words
+    words = [*vocab.FUNCTION_KEYWORDS[:2], "other", None]
+    rows = spark.createDataFrame([(a, b) for a in words for b in words], "l string, r string")
+    for c in "lr":
+        rows = rows.withColumn(f"{c}w", contained_words(c, vocab.FUNCTION_KEYWORDS)).withColumn(f"{c}t", sets.name_tokens(c))
+    late = mt.name_pairs(mt.domain_pairs(rows, "l", "r"), "l", "r").collect()
+    early = mt.name_pairs(mt.domain_pairs(rows, "lw", "rw"), "l", "r", "lt", "rt").collect()
+    assert late == early
