@@ -173,3 +173,17 @@ def test_no_row_depends_on_the_hot_limit(spark):
     sigs = spark.createDataFrame(estate(40, True, seed=3), SCHEMA)
     rows = [sorted(map(tuple, wm.pair_similarity(sigs, "hadoop", "databricks", hot_limit=n).collect())) for n in (0, 2, 1000)]
     assert rows[0] == rows[1] == rows[2]
+
+
+def test_missing_tables_keep_columns_of_their_anchors(spark):
+    rows = [("hadoop", f"s{i}", "p", [f"a{i}"], [f"x{i}"], ["join"], ["patient"]) for i in range(3)] \
+        + [("databricks", f"t{i}", "p", [f"b{i}"], ["x1"] if i else [], ["join"], ["patient"]) for i in range(2)]
+    m = wm.group_mappings(spark.createDataFrame(rows, SCHEMA), "hadoop", "databricks")
+    keys = m.rows().filter("kind = 'N:1'").select(F.col("target_key").alias("anchor_key"))
+    named = keys.withColumn("note", F.lit("one")).unionByName(keys.withColumn("note", F.lit("two")))
+    plain = {(r["anchor_key"], r["tab"]) for r in m.expand_missing(keys).collect()}
+    assert sorted(t for _, t in plain) == ["x0", "x0", "x1", "x2", "x2"]
+    kept = m.expand_missing(named, keep=("note",))
+    assert {(r["anchor_key"], r["tab"], r["note"]) for r in kept.collect()} == {(k, t, n) for k, t in plain for n in ("one", "two")}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "t_key" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin [t_key#" in line]
