@@ -225,20 +225,24 @@ def token_count(text) -> Column:
     return F.regexp_count(F.lower(as_col(text)), F.lit(TOKEN))
 
 
+TERMS = 500_000  # rows of (term, weight) that are broadcast
+
+
 def vectorize(docs: DataFrame, text="text", key="id") -> DataFrame:
     """Normalised TF-IDF weights as rows (id, term, weight).
 
-    Terms are counted per document before any join; document frequencies join as one row
-    per term, so a term found everywhere only splits, never multiplies.
+    Texts are dealt by id once, so the terms of a document are counted, weighted and normalised where it lies. Weights of
+    up to `TERMS` terms are broadcast after a count; with more terms, counts meet them by term and go back to their document.
     """
-    counts = docs.select(F.col(key).alias("id"), F.explode(tokens(text)).alias("term")).groupBy("id", "term") \
-        .agg(F.count("*").alias("tf"))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+    counts = rows.select("id", F.explode(tokens("text")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n"))  # one row
-    idf = df.join(F.broadcast(total)).select("term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
-    raw = counts.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").filter(F.col("norm") > 0).select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    idf = cut_lineage(df.join(F.broadcast(total)).select("term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf")))
+    idf = F.broadcast(idf) if small_enough(idf, TERMS) else idf.hint("merge")
+    raw = counts.filter("id IS NOT NULL").join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.withColumn("norm", norm).filter(F.col("norm") > 0).select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def hashed_vectors(docs: DataFrame, text="text", size: int = 4096) -> DataFrame:
