@@ -9,6 +9,7 @@ from estatelens.functions.scale import dealt
 from estatelens.operators import gaps as gp
 from estatelens.operators import matching as mt
 from estatelens.operators import search as se
+from estatelens.plans import search_queries as sq
 
 
 def plan(df):
@@ -56,3 +57,12 @@ def test_fields_are_made_distinct_in_dealt_tasks(spark, monkeypatch):
     monkeypatch.setattr(gp, "dealt", lambda df, rows, *keys: dealt_to.append(keys) or real(df, rows, *keys))
     rows = gp.missing_component_columns(equivalents, fields).select("source_component", "target_component", "item").collect()
     assert sorted(map(tuple, rows)) == [("a", "b", "x")] * 2 and dealt_to == [("id", "item")]
+
+
+def test_scripts_are_written_without_a_folder_each(spark, tmp_path):
+    rows = spark.createDataFrame([("jobs", 5, "a é"), ("jobs", 5, "b"), ("jobs", 1005, None), ("target", 8, "x")], "place string, script_id int, value string")
+    sq.write_scripts(rows.repartition(2, "script_id").sortWithinPartitions("script_id"), str(tmp_path))
+    found = {str(p.relative_to(tmp_path)): p.read_text(encoding="utf-8") for p in tmp_path.rglob("*.txt")}
+    lines = found.pop("place=jobs/part=5/script_id=5.txt")
+    assert sorted(lines.split("\n")) == ["", "a é", "b"]
+    assert found == {"place=jobs/part=5/script_id=1005.txt": "\n", "place=target/part=8/script_id=8.txt": "x\n"}
