@@ -13,7 +13,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatelens.functions.scale import cut_lineage, shared_folder
+from estatelens.functions.scale import cut_lineage, cut_lineage_by, shared_folder
 
 
 def _rounds(most: int | None) -> Iterable[int]:
@@ -87,8 +87,9 @@ def trace_scripts(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hop
     return hops if hops is not None else reads.limit(0).select("script", F.lit(0).alias("hop"))
 
 
-def _script_edges(edges: DataFrame) -> DataFrame:
-    return cut_lineage(edges.select("script", "tab").distinct())
+def _script_edges(reads: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both written once, reads in buckets of tables, writes in buckets of scripts, so that a hop moves its frontier only."""
+    return cut_lineage_by(reads.select("script", "tab"), "tab"), cut_lineage_by(writes.select("script", "tab"), "script")
 
 
 def trace_edges(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -96,7 +97,7 @@ def trace_edges(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops:
 
     A script with r reads and w writes has r + w rows; `hop_pairs` multiplies them where asked.
     """
-    reads, writes = _script_edges(reads), _script_edges(writes)
+    reads, writes = _script_edges(reads, writes)
     hops = trace_scripts(reads, writes, start, max_hops)
     side = lambda edges, name: edges.join(hops, "script").select("hop", "script", F.lit(name).alias("direction"), "tab")
     return side(reads, "read").unionByName(side(writes, "write"))
@@ -116,7 +117,7 @@ def hop_pairs(hop_edges: DataFrame, scripts: DataFrame | None = None) -> DataFra
 
 def trace_table(reads: DataFrame, writes: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Hops from tables through the scripts that read them to the tables those write, all pairs of a script."""
-    reads, writes = _script_edges(reads), _script_edges(writes)
+    reads, writes = _script_edges(reads, writes)
     return trace_scripts(reads, writes, start, max_hops).join(reads.withColumnRenamed("tab", "source_table"), "script") \
         .join(writes.withColumnRenamed("tab", "target_table"), "script") \
         .select("hop", "script", "source_table", "target_table")

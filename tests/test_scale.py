@@ -5,8 +5,9 @@ import io
 
 from pyspark.sql import functions as F
 
-from estatelens.functions.scale import dealt
+from estatelens.functions.scale import cut_lineage, dealt
 from estatelens.operators import gaps as gp
+from estatelens.operators import lineage as ln
 from estatelens.operators import matching as mt
 from estatelens.operators import search as se
 from estatelens.plans import search_queries as sq
@@ -66,3 +67,14 @@ def test_scripts_are_written_without_a_folder_each(spark, tmp_path):
     lines = found.pop("place=jobs/part=5/script_id=5.txt")
     assert sorted(lines.split("\n")) == ["", "a é", "b"]
     assert found == {"place=jobs/part=5/script_id=1005.txt": "\n", "place=target/part=8/script_id=8.txt": "x\n"}
+
+
+def test_a_hop_moves_its_frontier_only(spark):
+    edges = spark.range(1000).select(F.concat(F.lit("s"), F.col("id") % 50).alias("script"), F.concat(F.lit("t"), F.col("id") % 90).alias("tab"))
+    reads, writes = ln._script_edges(edges.union(edges), edges)
+    assert reads.count() == edges.distinct().count()
+    frontier = cut_lineage(edges.select("tab").distinct()).hint("merge")
+    hop = plan(reads.join(frontier, "tab"))
+    assert hop.count("hashpartitioning(tab") == 1
+    level = cut_lineage(edges.select("script").distinct()).hint("merge")
+    assert plan(writes.join(level, "script", "left_semi")).count("hashpartitioning(script") == 1
