@@ -5,11 +5,14 @@ import io
 
 from pyspark.sql import functions as F
 
+from estatelens.functions import scale
 from estatelens.functions.scale import cut_lineage, dealt
 from estatelens.operators import gaps as gp
 from estatelens.operators import lineage as ln
 from estatelens.operators import matching as mt
 from estatelens.operators import search as se
+from estatelens.operators import sttm as st
+from estatelens.plans import estate_queries as eq
 from estatelens.plans import search_queries as sq
 
 
@@ -78,3 +81,30 @@ def test_a_hop_moves_its_frontier_only(spark):
     assert hop.count("hashpartitioning(tab") == 1
     level = cut_lineage(edges.select("script").distinct()).hint("merge")
     assert plan(writes.join(level, "script", "left_semi")).count("hashpartitioning(script") == 1
+
+
+def test_a_report_moves_components_and_stages_what_it_shows(spark, tmp_path, monkeypatch):
+    rows = [(o, n, None if o is None else 7 * o % 5, None if o is None else o % 3) for o in (5, 1, None, 12, 1) for n in (1, 2, 3, 4, 4)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    staged, real = [], scale.cut_lineage
+    monkeypatch.setattr(scale, "cut_lineage", lambda df: staged.append(df) or real(df))
+    report = eq.sttm_report(spark, str(tmp_path)).collect()
+    wide = max(staged, key=lambda df: len(df.columns))
+    assert not {"mapping_id", "component_id", "name", "process_id"} & set(wide.columns)
+    steps = plan(wide)
+    assert steps.count("Exchange rangepartitioning") == 1 and steps.index("Sort [") < steps.index("Generate ") < steps.index("Exchange rangepartitioning")
+    order = ["component_id", "processing_order", "target_column"]
+    mappings = st.component_mappings(eq.components(spark, str(tmp_path))).sort(*order).collect()
+    shown = ("source_column", "target_column", "target_type", "processing_order", "mapping_type")
+    titles = ("Source_Column", "Target_Column", "Target_Datatype", "Processing_Order", "Mapping_Type")
+    assert len(report) == len(mappings) == 48
+    report.sort(key=lambda r: r["STTM_ID"])
+    assert [r["STTM_ID"] for r in report] == [f"sttm_{k:05}" for k in range(1, len(report) + 1)]
+    assert [r["Target_Column"] for r in report] == [m["target_column"] for m in mappings]
+    assert sorted(str([r[c] for c in titles]) for r in report) == sorted(str([m[c] for c in shown]) for m in mappings)
+
+
+def test_numbers_come_beside_the_columns_asked_for(spark):
+    rows = spark.createDataFrame([("a", 3, "x"), ("b", 1, "y"), ("a", 2, "z")], "g string, n int, t string")
+    got = scale.number_rows(rows, ["n"], ["g"], columns=["t"])
+    assert got.columns == ["t", "row_number"] and {tuple(r) for r in got.collect()} == {("z", 1), ("x", 2), ("y", 1)}
