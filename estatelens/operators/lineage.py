@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterable
 from itertools import count
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -248,24 +249,60 @@ def lift_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("src", "dst", "source_graph", "target_graph")
 
 
+FACT = ["workflow", "direction", "dataset"]
+
+
+def _facts(rows: DataFrame) -> DataFrame:
+    """Distinct facts with the least number of levels that they came up. Nulls are not alike: a fact with one stays apart per level."""
+    blank = F.col("workflow").isNull() | F.col("direction").isNull() | F.col("dataset").isNull()
+    return rows.groupBy(*FACT, F.when(blank, F.col("level")).alias("apart")).agg(F.min("level").alias("level"))
+
+
+def _moved(facts: DataFrame, links: DataFrame) -> DataFrame:
+    return facts.join(links, facts["workflow"] == links["child"]).select(
+        F.col("parent").alias("workflow"), "direction", "dataset", (F.col("level") + 1).alias("level"), F.col("above").alias("layer"))
+
+
 def nested_io(parents: DataFrame, io: DataFrame) -> DataFrame:
     """Inputs and outputs of nested workflows added to every workflow above them.
 
-    `parents` has (parent, child), `io` has (workflow, direction, dataset). Only facts that
-    are new at a level move up, and each fact is kept once per workflow.
+    `parents` has (parent, child), `io` has (workflow, direction, dataset). Each fact is kept once per workflow.
+    All that is nested in a workflow lies in lower layers, so layer by layer its facts are whole, and made
+    distinct, before they move up: a fact moves once along a link and meets the facts of its layer only. Facts wait in a
+    folder per layer. Workflows on a cycle or above one have no layer; they come last, level by level.
     """
-    links = cut_lineage(parents.select("parent", "child").distinct())
-    new = cut_lineage(io.select("workflow", "direction", "dataset").distinct())
-    known = new
-    key = ["workflow", "direction", "dataset"]
-    while True:
-        moved = new.join(links, new["workflow"] == links["child"]).select(
-            F.col("parent").alias("workflow"), "direction", "dataset").distinct()
-        new = cut_lineage(moved.join(known, key, "left_anti"))
-        if new.isEmpty():
-            break
-        known = known.unionByName(new)
-    return known
+    spark = parents.sparkSession
+    folder = f"{shared_folder(spark)}/nested-{uuid.uuid4().hex}"
+    pairs = cut_lineage(parents.filter("child IS NOT NULL").select("parent", "child").distinct())
+    layers = cut_lineage(topo_layers(pairs.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+                         .select(F.col("node").alias("workflow"), F.coalesce("layer", F.lit(-1)).alias("layer")).filter("workflow IS NOT NULL"))
+    of = lambda name, layer: layers.select(F.col("workflow").alias(name), F.col("layer").alias(layer))
+    links = cut_lineage(pairs.join(of("child", "below"), "child").join(of("parent", "above"), "parent", "left")
+                        .select("parent", "child", "below", F.coalesce("above", F.lit(0)).alias("above")).sort("below", "child"))
+    own = io.select(*FACT).distinct().join(layers, "workflow", "left").select(
+        *FACT, F.lit(0).alias("level"), F.coalesce("layer", F.lit(0)).alias("layer"))  # those in no link move nowhere
+    own.repartitionByRange("layer", "workflow").write.partitionBy("layer").parquet(f"{folder}/step=-1")
+    stored = lambda places: spark.read.schema(own.schema).option("basePath", folder).parquet(places).select(own.columns)
+    top = layers.agg(F.max("layer")).first()[0]
+    for layer in range(0 if top is None else top + 1):
+        try:
+            facts = _facts(stored(f"{folder}/step=*/layer={layer}"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # no facts in this layer
+        _moved(facts, links.filter(F.col("below") == layer)).write.partitionBy("layer").parquet(f"{folder}/step={layer}")
+    known = stored(folder)
+    rest = links.filter("below = -1")
+    whole = _facts(known.filter("layer >= 0")).select(*FACT)
+    if layers.filter("layer = -1").isEmpty():
+        return whole
+    new = met = cut_lineage(known.filter("layer = -1").select(*FACT).distinct())
+    while not new.isEmpty():
+        moved = new.join(rest, new["workflow"] == rest["child"]).select(F.col("parent").alias("workflow"), "direction", "dataset")
+        new = cut_lineage(moved.subtract(met))
+        met = met.unionByName(new)
+    return whole.unionByName(met)
 
 
 def job_flow(jobs: DataFrame, edges: DataFrame) -> DataFrame:

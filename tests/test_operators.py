@@ -114,6 +114,37 @@ def test_topo_layers_of_a_long_chain_and_a_pure_cycle(spark):
     assert ln.topo_layers(spark.createDataFrame([], "src string, dst string")).collect() == []
 
 
+def plain_facts(links, io):
+    """Facts per workflow: its own and those of all that is nested in it, at any depth."""
+    known = set(io)
+    while True:
+        more = {(p, d, s) for p, c in links for w, d, s in known if w == c} - known
+        if not more:
+            return known
+        known |= more
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nested_io_equals_a_plain_version(spark, seed):
+    """Ways of different length to one workflow, datasets held at several levels, links and rows that come twice, cycles."""
+    pick = random.Random(seed)
+    forward = [tuple(sorted(pick.sample(range(14), 2))) for _ in range(18)]
+    links = [(f"w{a}", f"w{b}") for a, b in forward + [(b, a) for a, b in forward[:seed]] + [(3, 3)] * (seed == 2)] * 2
+    io = [(f"w{pick.randrange(16)}", pick.choice(["input", "output"]), f"d{pick.randrange(4)}") for _ in range(20)] * 2
+    got = ln.nested_io(spark.createDataFrame(links, "parent string, child string"), spark.createDataFrame(io, "workflow string, direction string, dataset string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == plain_facts(set(links), io)
+
+
+def test_nested_io_without_links_facts_or_names(spark):
+    links = lambda rows: spark.createDataFrame(rows, "parent string, child string")
+    io = lambda rows: spark.createDataFrame(rows, "workflow string, direction string, dataset string")
+    assert ln.nested_io(links([("a", "b")]), io([])).collect() == []
+    assert [tuple(r) for r in ln.nested_io(links([]), io([("a", "input", "x")] * 2)).collect()] == [("a", "input", "x")]
+    rows = ln.nested_io(links([("a", "b"), ("b", "c"), (None, "c"), ("a", None)]), io([("c", "input", "x"), (None, "input", "y")])).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(w, "input", "x") for w in ("a", "b", "c", None)] + [(None, "input", "y")], key=str)
+
+
 def test_trace_edges_do_not_multiply(spark):
     many = [("hub", f"in{k}") for k in range(300)] + [("next", "out7")]
     reads = spark.createDataFrame(many, "script string, tab string")

@@ -108,3 +108,15 @@ def test_numbers_come_beside_the_columns_asked_for(spark):
     rows = spark.createDataFrame([("a", 3, "x"), ("b", 1, "y"), ("a", 2, "z")], "g string, n int, t string")
     got = scale.number_rows(rows, ["n"], ["g"], columns=["t"])
     assert got.columns == ["t", "row_number"] and {tuple(r) for r in got.collect()} == {("z", 1), ("x", 2), ("y", 1)}
+
+
+def test_a_level_of_nested_workflows_does_not_meet_all_facts(spark, monkeypatch):
+    real = ln.cut_lineage
+    def scans(length):
+        seen = []
+        monkeypatch.setattr(ln, "cut_lineage", lambda df: seen.append(plan(df).count("FileScan")) or real(df))
+        links = spark.createDataFrame([(f"w{k}", f"w{k + 1}") for k in range(length)], "parent string, child string")
+        io = spark.createDataFrame([(f"w{k}", "input", f"d{k}") for k in range(length + 1)], "workflow string, direction string, dataset string")
+        assert ln.nested_io(links, io).count() == (length + 1) * (length + 2) // 2
+        return max(seen)
+    assert scans(14) - scans(6) <= 3
