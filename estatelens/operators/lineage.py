@@ -174,50 +174,73 @@ def chain_ends(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ended.select("node", "root", "dist"), waiting.select("node")
 
 
-def topo_layers(edges: DataFrame) -> DataFrame:
+def _peel(links: DataFrame, opens: DataFrame, free: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """Layers (node, layer) of the nodes that become free after `free` (node, layer) in at most `most` rounds, and how many nodes
+    of `opens` are left that a further round may free (0: none is left, or a round freed nothing).
+
+    `links` has (src, node, ways, length), `opens` (node, open) the number of ways into each node. A round takes the links of the
+    nodes just freed off the counters of their successors; a counter at 0 frees the successor. It writes the counters that
+    changed, so that links are joined once per round, and the free nodes.
+    """
+    spark = links.sparkSession
+    folder = f"{shared_folder(spark)}/layers-{uuid.uuid4().hex}"
+    held = 1_000_000 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = lambda rows, place: spark.read.schema(rows.schema).parquet(f"{folder}/{place}")
+    left, found, layers, hits = opens.count(), free.count(), free.limit(0), None
+    for step in _rounds(most):
+        if not (left and found):
+            return layers, 0
+        heads = free.select(F.col("node").alias("src"), "layer")
+        # nodes are unique, so a task that hashes its share of them holds about a million; few are left to Spark, more are sorted
+        closed = links.join(heads.hint("shuffle_hash") if 100_000 < found <= held else heads, "src") \
+            .groupBy("node").agg(F.sum("ways").alias("closed"), F.max(F.col("layer") + F.col("length")).alias("layer"))
+        closed.write.parquet(f"{folder}/hits-{step}")
+        now, hits = stored(closed, f"hits-{step}"), stored(closed, "hits-*")
+        total = now if step == 1 else hits.join(now.select("node"), "node", "left_semi") \
+            .groupBy("node").agg(F.sum("closed").alias("closed"), F.max("layer").alias("layer"))
+        freed = total.join(opens, "node").filter("closed = open").select("node", "layer")
+        freed.write.parquet(f"{folder}/free-{step}")
+        free, layers = stored(freed, f"free-{step}"), stored(freed, "free-*")
+        found = free.count()
+        left -= found
+    return layers, left if found else 0
+
+
+def topo_layers(edges: DataFrame, plain_rounds: int = 4) -> DataFrame:
     """Layer per node of an acyclic graph (the longest way from a node without predecessors); nodes on or behind a cycle get no layer.
 
-    `edges` has (src, dst). Nodes with one predecessor lie on chains, which are contracted first;
-    rounds are only needed between nodes with several. A round reads the contracted edges of the
-    nodes just freed and takes their numbers off the counters of their successors; a counter at 0
-    frees the successor. Edges are written once; a round writes the free nodes and the counters that changed.
+    `edges` has (src, dst). The first `plain_rounds` rounds take the edges as they are, which is all that a shallow graph needs.
+    In what is deeper, nodes with one predecessor lie on chains, which are contracted; then rounds are only needed
+    between nodes with several. Edges are written once.
     """
     steps = cut_lineage(edges.select("src", "dst").distinct())
-    nodes = steps.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    entered = cut_lineage(steps.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open"), F.min("src").alias("parent")))
-    chained, cyclic = chain_ends(entered.filter("open = 1").select("node", "parent"))
-    merges = entered.filter("open > 1").select("node", "open")
+    side = lambda name, entered: steps.select(F.col(name).alias("node"), F.lit(entered).alias("open"))
+    nodes = cut_lineage(side("src", 0).unionByName(side("dst", 1)).groupBy("node").agg(F.sum("open").alias("open")))
+    named = nodes.filter("node IS NOT NULL")
+    roots = named.filter("open = 0").select("node", F.lit(0).cast("bigint").alias("layer"))
+    plain = steps.select("src", F.col("dst").alias("node"), F.lit(1).alias("ways"), F.lit(1).alias("length"))
+    layers, left = _peel(plain, named.filter("open > 0"), roots, plain_rounds)
+    layers = roots.unionByName(layers)
+    if left:
+        layers = layers.unionByName(_deep_layers(steps, named, layers))
+    return nodes.select("node").join(layers, "node", "left").select("node", F.col("layer").cast("int").alias("layer"))
+
+
+def _deep_layers(steps: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Layers (node, layer) of the nodes (node, open) without one in `known` (node, layer). All steps of a chain end at its root,
+    so parallel ways between two nodes are one link: how many, and the longest."""
+    rest = cut_lineage(nodes.filter("open > 0").join(known, "node", "left_anti"))
+    steps = cut_lineage(steps.join(rest.select(F.col("node").alias("dst"), "open"), "dst"))
+    chained, cyclic = chain_ends(steps.filter("open = 1").select(F.col("dst").alias("node"), F.col("src").alias("parent")))
     ends = chained.select(F.col("node").alias("src"), "root", "dist")
-    # all steps of a chain end at its root, so parallel ways between two nodes are one row: how many, and the longest
     links = cut_lineage(
-        steps.join(merges.select(F.col("node").alias("dst")), "dst", "left_semi")
-        .join(cyclic.select(F.col("node").alias("src")), "src", "left_anti").join(ends, "src", "left")
+        steps.filter("open > 1").join(cyclic.select(F.col("node").alias("src")), "src", "left_anti").join(ends, "src", "left")
         .groupBy(F.coalesce("root", "src").alias("src"), F.col("dst").alias("node"))
         .agg(F.count("*").alias("ways"), F.max(F.coalesce("dist", F.lit(0)) + 1).alias("length")))
-    spark, folder = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/layers-{uuid.uuid4().hex}"
-    free = cut_lineage(nodes.join(entered, "node", "left_anti").select("node", F.lit(0).cast("bigint").alias("layer")))
-    layers, touched = free, None
-    for layer in count(1):
-        closed = links.join(free.select(F.col("node").alias("src"), "layer"), "src") \
-            .groupBy("node").agg(F.sum("ways").alias("closed"), F.max(F.col("layer") + F.col("length")).alias("layer"))
-        total, most = F.col("closed"), F.col("layer")
-        if touched is not None:  # what earlier rounds took off the counters of these nodes
-            earlier = touched.join(closed.select("node"), "node", "left_semi") \
-                .groupBy("node").agg(F.sum("closed").alias("before"), F.max("layer").alias("highest"))
-            closed = closed.join(earlier, "node", "left")
-            total, most = total + F.coalesce("before", F.lit(0)), F.greatest("layer", "highest")
-        state = closed.join(merges, "node").select("node", "closed", most.alias("layer"), (total == F.col("open")).alias("is_free"))
-        state.write.parquet(f"{folder}/{layer}")
-        state = spark.read.schema(state.schema).parquet(f"{folder}/{layer}")
-        if state.isEmpty():
-            break
-        free = state.filter("is_free").select("node", "layer")
-        touched = spark.read.schema(state.schema).parquet(f"{folder}/*")
-    if touched is not None:
-        layers = layers.unionByName(touched.filter("is_free").select("node", "layer"))
-    on_chains = chained.join(layers.select(F.col("node").alias("root"), F.col("layer").alias("above")), "root") \
+    merged, _ = _peel(links, rest.filter("open > 1"), known)
+    on_chains = chained.join(known.unionByName(merged).select(F.col("node").alias("root"), F.col("layer").alias("above")), "root") \
         .select("node", (F.col("above") + F.col("dist")).alias("layer"))
-    return nodes.join(layers.unionByName(on_chains), "node", "left").select("node", F.col("layer").cast("int").alias("layer"))
+    return merged.unionByName(on_chains)
 
 
 def graph_endpoints(edges: DataFrame) -> DataFrame:

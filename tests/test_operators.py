@@ -114,6 +114,34 @@ def test_topo_layers_of_a_long_chain_and_a_pure_cycle(spark):
     assert ln.topo_layers(spark.createDataFrame([], "src string, dst string")).collect() == []
 
 
+def layers_of(spark, pairs, **options):
+    return {r["node"]: r["layer"] for r in ln.topo_layers(spark.createDataFrame(pairs, "src string, dst string"), **options).collect()}
+
+
+def test_topo_layers_of_a_shallow_graph_contract_no_chains(spark, monkeypatch):
+    """Four layers with chains in them are peeled as they are."""
+    pick = random.Random(5)
+    pairs = [(f"c{k % 5}", f"o{k}") for k in range(20)] + [(f"o{k}", f"p{pick.randrange(9)}") for k in range(20)] + [(f"p{k}", f"s{k % 4}") for k in range(9)] * 2
+    monkeypatch.setattr(ln, "chain_ends", lambda parents: pytest.fail("contracted"))
+    assert layers_of(spark, pairs) == plain_layers(pairs)
+
+
+@pytest.mark.parametrize("plain_rounds", [0, 1, 3])
+def test_topo_layers_whether_peeled_or_contracted(spark, plain_rounds):
+    pick = random.Random(plain_rounds)
+    forward = [tuple(sorted(pick.sample(range(60), 2))) for _ in range(75)] + [(k, k + 1) for k in range(30, 45)]
+    pairs = [(str(a), str(b)) for a, b in forward] + [("59", "x"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "end"), ("3", "end")]
+    got = layers_of(spark, pairs, plain_rounds=plain_rounds)
+    assert got == plain_layers(pairs) and max(n for n in got.values() if n is not None) > 6 and got["end"] is None
+
+
+def test_topo_layers_with_nulls(spark):
+    """What follows an unknown node has no layer, nor has the unknown node."""
+    pairs = [("a", "b"), ("b", None), (None, "c"), ("a", "c"), ("c", "d"), (None, "e"), ("b", "f")]
+    for rounds in (0, 4):
+        assert layers_of(spark, pairs, plain_rounds=rounds) == {"a": 0, "b": 1, "f": 2, None: None, "c": None, "d": None, "e": None}
+
+
 def plain_facts(links, io):
     """Facts per workflow: its own and those of all that is nested in it, at any depth."""
     known = set(io)
