@@ -119,3 +119,25 @@ def test_words_and_tokens_found_before_the_pairing_give_the_same_scores(spark):
     late = mt.name_pairs(mt.domain_pairs(rows, "l", "r"), "l", "r").collect()
     early = mt.name_pairs(mt.domain_pairs(rows, "lw", "rw"), "l", "r", "lt", "rt").collect()
     assert late == early
+
+
+def test_all_blocks_meet_when_shuffles_keep_their_tasks(spark, monkeypatch):
+    """Keys of the two sides had different types, so blocks only met where all of a shuffle was brought to one task."""
+    processes, components = estate(True, seed=6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for module, name, value in ((grids, "CHUNK_BYTES", 1500), (grids, "TASK_ROWS", 4), (mt, "TILE", 3)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    monkeypatch.setattr(mt, "grid", lambda a, b, f, schema, block=5: grids.grid(a, b, f, schema, 5))
+    try:
+        p = spark.createDataFrame(processes, "process_id string, system string, name string, business_function string, description string, "
+                                             "tables_involved array<string>, input_sources array<string>")
+        c = spark.createDataFrame(components, "process_id string, component_type string, input_dataset string, output_dataset string")
+        found = mt.match_processes(p, c, "hadoop", "databricks", 0.5)
+        got = {r["source_id"]: (r["target_id"], r["score"]) for r in found.collect()}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = brute(processes, components, 0.5)
+    assert got.keys() == want.keys() and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    assert "Union" in plan  # several chunks
