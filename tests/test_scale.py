@@ -120,3 +120,33 @@ def test_a_level_of_nested_workflows_does_not_meet_all_facts(spark, monkeypatch)
         assert ln.nested_io(links, io).count() == (length + 1) * (length + 2) // 2
         return max(seen)
     assert scans(14) - scans(6) <= 3
+
+
+def test_components_with_a_name_hit_do_not_move_by_dataset(spark, monkeypatch):
+    pairs = spark.createDataFrame([("s", "t"), ("s", "u")], "source_process string, target_process string")
+    side = lambda rows: spark.createDataFrame(rows, "component_id string, process_id string, name string, datasets array<string>")
+    target = side([("t0", "t", "load", ["d0"]), ("u1", "u", "other", ["d1"]), ("u2", "u", "z", ["d0"])])
+    dealt_to, real = [], mt.dealt
+    monkeypatch.setattr(mt, "dealt", lambda df, rows, *keys: dealt_to.append(keys) or real(df, rows, *keys))
+    rows = lambda source: sorted(tuple(r) for r in mt.equivalent_component(pairs, side(source), target).collect())
+    assert rows([("s0", "s", "Load", ["d0"]), ("s1", "s", "x_load_other", ["d1"])]) == [("s0", "t0", 1), ("s0", "t0", 3), ("s1", "t0", 2), ("s1", "u1", 2)]
+    assert ("pid", "ds") in dealt_to  # s0 has no name in u; the least target over all of its rows counts, t0 by d0
+    dealt_to.clear()
+    assert rows([("s1", "s", "x_load_other", ["d1"]), ("s1", "s", "x_load_other", None)]) == [("s1", "t0", 2)] * 2 + [("s1", "u1", 2)] * 2
+    assert ("pid", "ds") not in dealt_to
+
+
+def test_fields_of_a_component_travel_as_one_row(spark):
+    fields = spark.createDataFrame([("a", "X"), ("a", "x"), ("a", None), ("a", "y"), ("b", "Y"), ("b", None), (None, "q"), (None, "r"), ("c", "z"), ("a", "w")], "id string, item string").coalesce(1)
+    packed = gp._packed(fields.withColumn("item", F.lower("item")))
+    assert sorted((r["id"] or "", r["item"]) for r in packed.collect()) == [("", ["q"]), ("", ["r"]), ("a", ["w"]), ("a", ["x", "y", None]), ("b", ["y", None]), ("c", ["z"])]
+    equivalents = spark.createDataFrame([("a", "b"), ("c", "a"), ("b", "none"), (None, "b")], "source_component string, target_component string")
+    rows = gp.missing_component_columns(equivalents, fields.toDF("component_id", "field")).select("source_component", "target_component", "item").collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [("a", "b", "x"), ("a", "b", "w"), ("a", "b", None), ("c", "a", "z")]))
+
+
+def test_shuffle_files_go_after_a_long_step(spark, monkeypatch):
+    from estatelens.functions import scale
+    asked = []
+    monkeypatch.setattr(scale, "_let_go", lambda session, seconds: asked.append(seconds >= 0))
+    assert scale.cut_lineage(spark.range(3)).count() == 3 and asked == [True]
