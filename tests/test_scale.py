@@ -150,3 +150,18 @@ def test_shuffle_files_go_after_a_long_step(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(scale, "_let_go", lambda session, seconds: asked.append(seconds >= 0))
     assert scale.cut_lineage(spark.range(3)).count() == 3 and asked == [True]
+
+
+def test_component_pairs_are_listed_where_they_meet(spark):
+    field = lambda *names: [(n, "int") for n in names]
+    comps = spark.createDataFrame(
+        [("a", "p0", [], field("id", "x"), ["i"], ["d1", "d2", "d1"]), ("a2", "p0", [], field("id"), ["i"], ["d2"]), ("a2", "p0", [], field("id"), ["i"], ["d2"]),
+         ("b", "p1", field("ID"), [], ["d2", "d1"], None), ("b2", "p1", field("x"), [], ["d1"], None), ("c", "p1", field("x"), [], [None], None)],
+        "component_id string, process_id string, in_fields array<struct<name:string,type:string>>, "
+        "out_fields array<struct<name:string,type:string>>, inputs array<string>, outputs array<string>")
+    pairs = spark.createDataFrame([("p0", "p1"), ("p0", "p1"), ("p1", None)], "source_process string, target_process string")
+    rows = st.cross_process_mappings(pairs, comps, comps)
+    got = sorted((r["source_component"], r["target_component"], r["source_column"], r["target_column"]) for r in rows.collect())
+    assert got == [("a", "b", "id", "ID"), ("a", "b2", "x", "x"), ("a2", "b", "id", "ID"), ("a2", "b", "id", "ID")]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 2  # components of either side; no pair
