@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ RARE_LEVELS = 2  # seeds tried without them
 LEVELS = 24  # seeds tried before empty segments are indexed too
 BLOCK = 1_000_000  # n-grams of a cluster that one side of a verification task holds
 PIECE = 1 << 20  # bytes of a text hashed at once
+SLICES = 2  # signatures are made and met in so many parts, one after the other
 RUN = 500_000  # signatures of a task that are brought together before they are sent
 
 _SPACE = np.zeros(256, bool)
@@ -242,8 +243,8 @@ def met(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
                            names=["key", "node", "hub"])
 
 
-def signatures(docs: DataFrame, n: int, schemes: Schemes) -> DataFrame:
-    """`met` rows of all texts; a task looks at equal sets once. node: first half of the set's key."""
+def signatures(docs: DataFrame, n: int, schemes: Schemes, part: int = 0, parts: int = 1) -> DataFrame:
+    """`met` rows of all texts, of the signatures of one part; a task looks at equal sets once. node: first half of the set's key."""
     def run(batches):
         seen = set()
         sigs, nodes, held = [], [], 0
@@ -252,6 +253,8 @@ def signatures(docs: DataFrame, n: int, schemes: Schemes) -> DataFrame:
                 continue
             seen.add(key)
             own = schemes.signatures(grams)
+            if parts > 1:
+                own = own[mix(own, 13) % np.uint64(parts) == part]
             sigs.append(_signed(own))
             nodes.append(np.full(len(own), key[0], np.int64))
             held += len(own)
@@ -397,7 +400,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5) -> D
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = stage(classes.where("rep is not null"))
 
-    clusters = connected(candidate_edges(signatures(docs, n, Schemes(p, q, loads, frequent(docs, n)))))
+    schemes = Schemes(p, q, loads, frequent(docs, n))
+    # signatures take more room than anything else on the way; the files of a part go before the next one is made
+    edges = [stage(candidate_edges(signatures(docs, n, schemes, part, SLICES))) for part in range(SLICES)]
+    clusters = connected(reduce(DataFrame.union, edges))
     members = clusters.select(F.col("node").alias("h1"), F.col("component").alias("root")).join(classes, "h1")
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     members = members.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

@@ -384,3 +384,12 @@ def test_native_operators_use_no_python(spark):
     docs = frame(spark, ["a"])
     for df in (line_dedup.without_repeats(docs), secret_scan.scan(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_signatures_of_all_parts_are_those_of_the_whole(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 300, 60)) for _ in range(20)]
+    docs, schemes = frame(spark, texts).select("doc_id", "text"), ngram_join.Schemes(4, 5)
+    rows = lambda *part: {(r["key"], r["node"]) for r in ngram_join.signatures(docs, 3, schemes, *part).where("hub is null").collect()}
+    parts = [rows(k, 3) for k in range(3)]
+    assert set().union(*parts) == rows() and sum(map(len, parts)) == len(rows()) and all(len(p) > len(rows()) / 5 for p in parts)

@@ -163,5 +163,5 @@ def test_component_pairs_are_listed_where_they_meet(spark):
     rows = st.cross_process_mappings(pairs, comps, comps)
     got = sorted((r["source_component"], r["target_component"], r["source_column"], r["target_column"]) for r in rows.collect())
     assert got == [("a", "b", "id", "ID"), ("a", "b2", "x", "x"), ("a2", "b", "id", "ID"), ("a2", "b", "id", "ID")]
-    plan = rows._jdf.queryExecution().executedPlan().toString()
+    plan = rows.select("*")._jdf.queryExecution().executedPlan().toString()  # not run yet, so there is one
     assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 2  # components of either side; no pair
